@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import quality_rules
+from causeway.llm import bpe, decontamination, near_duplicates, quality_rules, secrets
+
+#: The public tokenizer that the encoding query uses.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +32,35 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.scan(docs, carry=["doc_id"])
+    return out.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), bpe.load(tokenizer_path()))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def tokenizer_path() -> str:
+    """Place of the tokenizer file, which the installed package names."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
+    "op2_decontamination": op2_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bpe": op8_bpe,
+    "op10_near_duplicates": op10_near_duplicates,
 }

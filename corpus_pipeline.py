@@ -1,12 +1,18 @@
-"""A cleaning pipeline over ``documents`` in stages."""
+"""A cleaning pipeline over ``documents`` in five stages.
+
+Rows are kept or dropped whole, except that the secret scan blacks out what it
+finds.  Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from causeway.llm import quality_rules
+from causeway.llm import bpe, decontamination, near_duplicates, quality_rules, secrets
+from causeway.llm.queries import tokenizer_path
 from causeway.llm.staging import stage
 
 
@@ -15,10 +21,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_duplicates.drop_copies(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def blacken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets blacked out and ``n_chars`` counted anew."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the kept documents."""
+    return bpe.round_trip(docs, bpe.load(tokenizer_path()))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("near-duplicates", deduplicate),
+    ("decontamination", decontaminate),
+    ("secret scans", blacken),
+    ("encoding", encode),
 ]
 
+#: Candidate search and encoding have no SQL form; tests use brute force.
 ORACLE_SQL: str | None = None
 
 
