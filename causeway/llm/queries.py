@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, decontamination, near_duplicates, quality_rules, secrets
+from causeway.llm import bpe, decontamination, language_model, near_duplicates, quality_classifier, quality_rules, secrets, url_filters, warc
 
 #: The public tokenizer that the encoding query uses.
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,22 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_read(spark, sf_dir, "pages"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = quality_rules.quality_verdicts(docs, carry=["doc_id"])
@@ -60,7 +76,11 @@ def tokenizer_path() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_decontamination": op2_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_warc": op5_warc,
+    "op6_url_filters": op6_url_filters,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_language_model": op9_language_model,
     "op10_near_duplicates": op10_near_duplicates,
 }
