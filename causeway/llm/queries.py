@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, decontamination, language_model, near_duplicates, quality_classifier, quality_rules, secrets, url_filters, warc
+from causeway.llm import bpe, decontamination, html_extraction, language_model, near_duplicates, quality_classifier, quality_rules, secrets, url_filters, warc
 
 #: The public tokenizer that the encoding query uses.
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -76,6 +80,7 @@ def tokenizer_path() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_decontamination": op2_decontamination,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_warc": op5_warc,
     "op6_url_filters": op6_url_filters,
