@@ -37,9 +37,9 @@ from causeway.llm.textkit import LOWER, SPACED, Chunk, chunks, words
 
 DEPTH = 4
 #: Entries of the words and of the n-grams that are sent to every executor (16 bytes each).
-HEAD = 600_000
+HEAD = 400_000
 #: Entries that a counting task merges before it hands them on.
-MERGED = 2_000_000
+MERGED = 1_000_000
 END = 255
 _WORD, _GRAM = 0, 1
 

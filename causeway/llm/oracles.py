@@ -1,5 +1,116 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, written apart from the operators."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from causeway.llm import quality_rules as q
+from causeway.llm import secrets
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans(k: int, rule: secrets.Rule) -> str:
+    """Spans of one rule: text between matches and matches in turn give the places."""
+    pattern = _quoted(rule.pattern)
+    return f"""SELECT rid, {k} AS kind, start, start + length(hit) AS stop, part FROM (
+      SELECT rid, hits[i] AS hit, parts[i] AS part, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+      FROM (SELECT rid, hits, parts, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT rid, regexp_extract_all(body, {pattern}, 0) AS hits, regexp_extract_all(body, {pattern}, {rule.part}) AS parts, string_split_regex(body, {pattern}) AS gaps FROM docs)))
+    WHERE length(part) >= {rule.least}"""
+
+
+def _secret_sql() -> str:
+    kinds = "[" + ", ".join(_quoted(r.kind) for r in secrets.RULES) + "]"
+    base = ", ".join(str(k) for k, r in enumerate(secrets.RULES) if r.base)
+    shown = f"string_agg({kinds}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+  found AS ({" UNION ALL ".join(_spans(k, r) for k, r in enumerate(secrets.RULES))}),
+  told AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, {shown} FILTER (kind IN ({base})) AS base, {shown} AS spans FROM found GROUP BY rid)
+  SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told ON docs.rid = told.rid"""
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_CONTAMINATION = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+  items AS MATERIALIZED (SELECT cast(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+  wins AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+  spots AS (SELECT rid, s.n AS n, i, array_to_string(w[i:i + s.n - 1], ' ') AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs CROSS JOIN (SELECT DISTINCT n FROM wins) WHERE len(w) >= n) s),
+  hits AS MATERIALIZED (SELECT rid, i, spots.n AS n, item FROM spots JOIN wins ON spots.win = wins.win AND spots.n = wins.n),
+  cover AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
+  which AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM docs LEFT JOIN cover ON docs.rid = cover.rid LEFT JOIN which ON docs.rid = which.rid"""
+
+_WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+  f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM f"""
+
+
+def _rules_sql() -> str:
+    """The quality rules with all concentration steps."""
+    xs = [f"x_{i}" for i in range(q.P)]
+    group = "g_lang, g_source"
+    steps, total = q.distance_sql()
+    lower = [n for n, _ in q.cholesky_sql()]
+
+    def distances(name: str, rows: str, estimates: str) -> str:
+        """Forward substitution, one nested query per step, since a step uses the one before."""
+        out = f"SELECT r.*, {', '.join(f'e.m_{i}' for i in range(q.P))}, {', '.join('e.' + n for n in lower)} FROM {rows} r LEFT JOIN {estimates} e ON r.g_lang = e.g_lang AND r.g_source = e.g_source"
+        for z, sql in steps:
+            out = f"SELECT *, {sql} AS {z} FROM ({out})"
+        return f"{name} AS MATERIALIZED (SELECT *, {total} AS d2 FROM ({out}))"
+
+    def estimates(name: str, rows: str) -> str:
+        sums = ", ".join([*(f"sum({x}) AS s_{i}" for i, x in enumerate(xs)), *(f"sum(x_{i} * x_{j}) AS q_{i}_{j}" for i in range(q.P) for j in range(i + 1))])
+        out = f"SELECT {group}, count(*) AS n_core, {sums} FROM {rows} GROUP BY {group}"
+        out = f"SELECT *, {', '.join(f's_{i} / n_core AS m_{i}' for i in range(q.P))} FROM ({out})"
+        cells = ", ".join(f"q_{i}_{j} / n_core - m_{i} * m_{j}" + (f" + {q.FLOORS[i] ** 2!r}::DOUBLE" if i == j else "") + f" AS c_{i}_{j}" for i in range(q.P) for j in range(i + 1))
+        out = f"SELECT *, {cells} FROM ({out})"
+        for n, sql in q.cholesky_sql():
+            out = f"SELECT *, {sql} AS {n} FROM ({out})"
+        return f"{name} AS MATERIALIZED ({out})"
+
+    parts = [
+        r"docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)",
+        "tri AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs))",
+        "rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, t) AS k FROM tri) WHERE k > 1) GROUP BY rid)",
+        r"lin AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT rid, unnest(string_split(body, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid)",
+        "st AS MATERIALIZED (SELECT docs.rid AS rid, doc_id, lang, source, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words "
+        "FROM docs LEFT JOIN lin ON docs.rid = lin.rid LEFT JOIN rep ON docs.rid = rep.rid)",
+        f"vc AS MATERIALIZED (SELECT *, {', '.join(f'CASE WHEN NOT base_failed THEN {sql} END AS x_{i}' for i, sql in enumerate(q.vector_sql()))} FROM (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM st))",
+        "sz AS MATERIALIZED (SELECT lang, source, count(*) AS n FROM vc WHERE NOT base_failed GROUP BY 1, 2)",
+        f"pl AS (SELECT lang, sum(n) AS n_lang FROM sz WHERE n < {q.MIN_GROUP} GROUP BY 1)",
+        f"ky AS MATERIALIZED (SELECT sz.lang AS lang, source, CASE WHEN n >= {q.MIN_GROUP} OR n_lang >= {q.MIN_GROUP} THEN coalesce('=' || sz.lang, 'null') ELSE '*' END AS g_lang, CASE WHEN n >= {q.MIN_GROUP} THEN coalesce('=' || source, 'null') ELSE '*' END AS g_source "
+        "FROM sz LEFT JOIN pl ON sz.lang IS NOT DISTINCT FROM pl.lang)",
+        "gr AS MATERIALIZED (SELECT vc.* EXCLUDE (lang, source), coalesce(g_lang, '*') AS g_lang, coalesce(g_source, '*') AS g_source FROM vc LEFT JOIN ky ON vc.lang IS NOT DISTINCT FROM ky.lang AND vc.source IS NOT DISTINCT FROM ky.source)",
+        f"ft AS MATERIALIZED (SELECT {group}, {', '.join(xs)} FROM gr WHERE NOT base_failed)",
+        "lg AS (" + " UNION ALL ".join(f"SELECT {group}, {i} AS i, floor(x_{i} * {q.START})::INTEGER AS cell FROM ft" for i in range(q.P)) + ")",
+        f"hs AS (SELECT {group}, i, cell, count(*) AS n FROM lg GROUP BY ALL)",
+        f"rk AS (SELECT *, sum(n) OVER (PARTITION BY {group}, i ORDER BY cell) AS reached, sum(n) OVER (PARTITION BY {group}, i) AS whole FROM hs)",
+        f"qt AS (SELECT {group}, i, {', '.join(f'(min(cell) FILTER (reached >= {s} * whole) + 0.5e0) / {q.START} AS {n}' for n, s in (('low', 0.25), ('mid', 0.5), ('high', 0.75)))} FROM rk GROUP BY ALL)",
+        f"e0 AS MATERIALIZED (SELECT {group}, {', '.join(f'max(mid) FILTER (i = {i}) AS m_{i}' for i in range(q.P))}, "
+        + ", ".join(
+            f"sqrt(pow((max(high) FILTER (i = {i}) - max(low) FILTER (i = {i})) / 1.349e0, 2) + {q.FLOORS[i] ** 2!r}::DOUBLE) AS l_{i}_{j}" if i == j else f"0e0 AS l_{i}_{j}" for i in range(q.P) for j in range(i + 1)
+        )
+        + f" FROM qt GROUP BY {group})",
+    ]
+    for k in range(q.STEPS):
+        parts += [
+            distances(f"d{k}", "ft", f"e{k}"),
+            f"k{k} AS MATERIALIZED (SELECT {group}, min(cell) AS last_cell FROM (SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY cell) AS reached, sum(n) OVER (PARTITION BY {group}) AS whole FROM (SELECT {group}, floor(ln(d2 + 1e-6) * {q.GRID})::INTEGER AS cell, count(*) AS n FROM d{k} GROUP BY ALL)) WHERE reached >= {q.CORE} * whole GROUP BY {group})",
+            f"o{k} AS MATERIALIZED (SELECT d{k}.* FROM d{k} JOIN k{k} ON d{k}.g_lang = k{k}.g_lang AND d{k}.g_source = k{k}.g_source WHERE floor(ln(d2 + 1e-6) * {q.GRID}) <= last_cell)",
+            estimates(f"e{k + 1}", f"o{k}"),
+        ]
+    parts.append(f"fin AS MATERIALIZED (SELECT * FROM e{q.STEPS} WHERE n_core >= {q.CORE * q.MIN_GROUP})")
+    parts.append(distances("judged", "gr", "fin"))
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 > {q.CUT}, false) AS kept FROM judged"
+
+
+ORACLES: dict[str, str] = {
+    "op1_secret_scans": _secret_sql(),
+    "op2_decontamination": _CONTAMINATION,
+    "op5_warc": _WARC,
+    "op7_quality_rules": _rules_sql(),
+}

@@ -37,6 +37,8 @@ CUT = 18.467
 FLOORS = (0.12, 0.08, 0.12, 0.2)
 #: Steps of the logarithmic grid on which distances are ranked, per e-fold.
 GRID = 32
+#: Steps per unit of the grid on which the first medians and quartiles are found.
+START = 250
 #: Rows of group estimates up to which the join broadcasts them (about 200 bytes each).
 BROADCAST_GROUPS = 50_000
 P = len(FLOORS)
@@ -200,17 +202,26 @@ def _grouped(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _first_estimates(vectors: DataFrame) -> DataFrame:
-    """Start of the concentration: medians, and spreads from the quartiles."""
-    quart = vectors.groupBy("g_lang", "g_source").agg(
-        F.count("*").alias("n_core"), *[F.percentile_approx(f"x_{i}", [0.25, 0.5, 0.75], 1000).alias(f"p_{i}") for i in range(P)]
+    """Start of the concentration: medians, and spreads from the quartiles, on a grid of ``START`` steps per unit."""
+    long = vectors.select("g_lang", "g_source", F.posexplode(F.array(*[f"x_{i}" for i in range(P)])).alias("i", "x"))
+    cells = long.groupBy("g_lang", "g_source", "i", F.floor(F.col("x") * START).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    ranked = cells.selectExpr(
+        "g_lang", "g_source", "i", "cell", "sum(n) over (partition by g_lang, g_source, i order by cell) as reached", "sum(n) over (partition by g_lang, g_source, i) as whole"
+    )
+    parts = {"low": 0.25, "mid": 0.5, "high": 0.75}
+    quart = ranked.groupBy("g_lang", "g_source", "i").agg(
+        F.max("whole").alias("n"), *[F.min(F.when(F.col("reached") >= share * F.col("whole"), F.col("cell"))).alias(name) for name, share in parts.items()]
+    )
+    wide = quart.groupBy("g_lang", "g_source").agg(
+        F.max("n").alias("n_core"), *[F.max(F.when(F.col("i") == i, (F.col(name) + 0.5) / START)).alias(f"{name}_{i}") for i in range(P) for name in parts]
     )
-    return quart.select(
+    return wide.select(
         "g_lang",
         "g_source",
         "n_core",
-        *[F.col(f"p_{i}")[1].alias(f"m_{i}") for i in range(P)],
+        *[F.col(f"mid_{i}").alias(f"m_{i}") for i in range(P)],
         *[
-            (F.sqrt(F.pow((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
+            (F.sqrt(F.pow((F.col(f"high_{i}") - F.col(f"low_{i}")) / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
             for i in range(P)
             for j in range(i + 1)
         ],
