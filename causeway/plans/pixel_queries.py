@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from causeway.functions import hashing, pixels as px
 from causeway.operators import catalog, compare, evaluate, learn, scenarios
 from causeway.plans.bindings import table, view
+from causeway.staging import stage
 
 WEIGHTS = [0.4, -0.3, 1.5, 0.5, -2.0, -1.0, -0.5, 1.2, 2.4]
 INTERCEPT = 0.1
@@ -330,6 +331,23 @@ def set_checks(spark, sf_dir):
     return compare.set_relation(lines.filter("l_discount > 0.05").select("l_partkey"), lines.filter("l_tax > 0.02").select("l_partkey"))
 
 
+def logistic_fit(spark, sf_dir):
+    """Weights of the linear model after a few steps of gradient descent on the train events."""
+    rows, where = _pixels(spark, sf_dir).filter("split = 'train' AND eligible"), F.col("eligible")
+    inputs = {b: px.radar_channel(F.col(b), where) for b in ("vv", "vh")} | {b: px.optical_channel(F.col(b), where) for b in ("b3", "b4", "b8", "b11", "b12")} | {b: F.col(b) for b in ("ndwi", "mndwi")}
+    table_ = stage(rows.select("label", *[c.alias(f"in_{n}") for n, c in inputs.items()]), "features")
+    names = [f"in_{f}" for f in px.FEATURES]
+    weights, curve = learn.fit_logistic(table_, names, steps=12)
+    return spark.createDataFrame([*zip([*px.FEATURES, "intercept"], map(float, weights)), ("loss", float(curve[-1]))], "name string, value double")
+
+
+def monotone_fit(spark, sf_dir):
+    """Slope and intercept of the event-balanced calibration of the water index."""
+    rows = learn.block_sample(_pixels(spark, sf_dir).filter("split = 'train'"), size=32, order=["px_row", "px_col", "px_tie"])
+    fit = learn.fit_monotone(rows.select("event_id", F.col("ndwi").alias("x"), F.col("label").alias("y")))
+    return spark.createDataFrame([(k, float(v)) for k, v in fit.items()], "name string, value double")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -338,6 +356,6 @@ QUERIES = {
         retained_state, confusion_by_tile, metrics_by_event, event_macro, support_coverage, worst_tile, sensor_availability, threshold_curve, best_threshold, logistic_score,
         calibrated_probability, reliability_bins, reliability_summary, reliability_pooled, abstention_table, calibration_weights, class_weight, stress_block_pixels, late_fusion,
         optical_conditions, scenario_masks, scenario_summary, scenario_jaccard, band_stats, percentile_stretch, model_gain_vs_reference, promotion_rule, step_parity, replay_diff,
-        tolerance_diff, set_checks,
+        tolerance_diff, set_checks, logistic_fit, monotone_fit,
     )
 }
