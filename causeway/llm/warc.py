@@ -5,8 +5,8 @@ dictionary, then one Zstandard frame per record.  Equal payloads of at least
 ``LEAST_BYTES`` are stored once; the record of the largest page is the response
 and the others revisit it.
 
-Writing tasks deal pages by id in a fixed order and name files by task, so a task
-that runs again replaces its own files.  Reading loads whole archives (at most
+Writing tasks hold pages in a fixed order and name files by task, so a task that
+runs again replaces its own files.  Reading loads whole archives (at most
 about ``ARCHIVE_BYTES`` before compression) and checks every header and length.
 
 Cases
@@ -212,7 +212,7 @@ def write(pages: DataFrame, path: str, *, id_column: str = "page_id", url: str =
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     revisits = salted.join(spread, ["digest", "salt"]).filter(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("r_page"), F.col("digest").alias("r_digest"), "first").distinct()
     joined = rows.join(revisits, F.col("page").eqNullSafe(F.col("r_page")) & (F.sha1(F.col("body").cast("binary")) == F.col("r_digest")), "left")
-    laid = joined.select("page", "target", "body", F.col("r_digest").isNotNull().alias("revisit"), "first").repartition("page").sortWithinPartitions("page", "body", "target")
+    laid = joined.select("page", "target", "body", F.col("r_digest").isNotNull().alias("revisit"), "first").sortWithinPartitions("page", "body", "target")
     written = laid.mapInArrow(_writer(path), "file string, records long")
     return written.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
 
