@@ -11,6 +11,8 @@ THRESHOLDS = (0.65, 0.50, 0.35)
 SEEDS = tuple(range(501, 509))
 BLOCK = 64
 OFFSET = 0.12
+#: Rows of block offsets up to which they are broadcast (about 60 bytes each).
+BROADCAST_SHIFTS = 200_000
 
 
 def masks(
@@ -27,14 +29,21 @@ def masks(
 
     Unknown pixels stay NULL in every scenario.
     """
-    rows = [(f"threshold_{t:.2f}", float(t), None) for t in thresholds] + [(f"offset_seed_{s}", None, int(s)) for s in seeds]
-    grid = scored.sparkSession.createDataFrame(rows, "scenario_id string, threshold double, seed int")
-    top, left = (F.floor(F.col(c) / block) * block for c in ("px_row", "px_col"))
-    text = F.concat_ws(":", F.lit(salt), "tile_id", top.cast("bigint"), left.cast("bigint"), "seed")
-    moved = F.greatest(F.least(F.col(probability) + (2 * unit(text) - 1) * offset, F.lit(1.0)), F.lit(0.0))
-    wet = F.when(F.col("seed").isNull(), F.col(probability) >= F.col("threshold")).otherwise(moved >= 0.5)
-    out = scored.crossJoin(F.broadcast(grid)).withColumn("value", F.when(F.col("eligible") & F.col(probability).isNotNull(), wet.cast("int")))
-    return out.drop("threshold", "seed")
+    spark = scored.sparkSession
+    known = F.col("eligible") & F.col(probability).isNotNull()
+    placed = scored.withColumns({f"block_{n}": (F.floor(F.col(c) / block) * block).cast("bigint") for n, c in (("top", "px_row"), ("left", "px_col"))})
+    place = ["tile_id", "block_top", "block_left"]
+    # The hash is taken once per block and seed, not once per pixel.
+    seeds_table = spark.createDataFrame([(f"offset_seed_{s}", int(s)) for s in seeds], "scenario_id string, seed int")
+    shifts = placed.select(*place).distinct().crossJoin(F.broadcast(seeds_table))
+    shifts = shifts.withColumn("shift", (2 * unit(F.concat_ws(":", F.lit(salt), *place, "seed")) - 1) * offset).drop("seed")
+    few = shifts.limit(BROADCAST_SHIFTS + 1).count() <= BROADCAST_SHIFTS
+    moved = placed.join(F.broadcast(shifts) if few else shifts, place)
+    value = F.greatest(F.least(F.col(probability) + F.col("shift"), F.lit(1.0)), F.lit(0.0)) >= 0.5
+    moved = moved.withColumn("value", F.when(known, value.cast("int"))).drop("shift", *place[1:])
+    fixed_table = spark.createDataFrame([(f"threshold_{t:.2f}", float(t)) for t in thresholds], "scenario_id string, threshold double")
+    fixed = scored.crossJoin(F.broadcast(fixed_table)).withColumn("value", F.when(known, (F.col(probability) >= F.col("threshold")).cast("int"))).drop("threshold")
+    return fixed.unionByName(moved)
 
 
 def summary(long: DataFrame, keys: list[str]) -> DataFrame:
