@@ -51,7 +51,8 @@ free-bets.test/en/7 sports-bets.test/odds m.free-bets.test/fr/20 betting-tips.te
 poker-room.test/tables slots-jackpot.test/spin lottery-prize.test/claim gamble-now.test/vip
 adult-x.test/en/5 www.adult-x.test/video adult-cams.test/live m.adult-x.test/es/9 xxx-tube.test/watch porn-hub.test/clips sex-chat.test/room nude-pics.test/gallery escort-girls.test/city
 spam-farm.test/en/1 www.spam-farm.test/links blog.spam-farm.test/es/2 link-farm.test/list seo-spam.test/buy spam-offers.test/mail
-cheap-pills.test/order viagra-shop.test/buy pharma-pills.test/deal diet-pills.test/fast
+cheap-pills.test/order www.cheap-pills.test/en/9 m.cheap-pills.test/fr/176/ viagra-shop.test/buy pharma-pills.test/deal diet-pills.test/fast pills-online.test/de/3
+ads-track.test/pixel www.ads-track.test/en/4 m.ads-track.test/es/81.html ad-track.test/click track-ads.test/count banner-ads.test/show click-track.test/go
 malware-drop.test/get.exe phish-login.test/verify crack-keys.test/download warez-zone.test/iso payday-loan.test/apply fast-cash.test/loan free-money.test/win
 replica-watches.test/sale fake-designer.test/outlet crypto-doubler.test/send miracle-cure.test/offer
 """.split()
