@@ -258,12 +258,13 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
     return estimates.filter(F.col("n_core") >= CORE * MIN_GROUP)
 
 
-def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT, carry: list[str] | None = None) -> DataFrame:
+def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT, carry: list[str] | None = None, twice: bool = False) -> DataFrame:
     """Statistics and verdict of every row.
 
     Returns ``row`` (the columns ``carry`` of ``docs``, all by default, as a
     struct), ``stats``, ``base_failed``, ``distance2`` (null where the rules
-    already reject or the group is too small) and ``kept``.
+    already reject or the group is too small) and ``kept``.  With ``twice`` the
+    text is read a second time for the verdicts, and no whole rows are staged.
     """
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row"),
@@ -272,12 +273,14 @@ def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang",
         F.col(source).cast("string").alias("g_source"),
     )
     measured = base_statistics(packed, "t").drop("t")
-    rows = stage(measured.withColumn("base_failed", base_failed()), "op7-rows")
+    rows = measured.withColumn("base_failed", base_failed())
+    rows = rows if twice else stage(rows, "op7-rows")
     flat = (
         rows.select("row", "stats", "base_failed", "g_lang", "g_source", "stats.*")
         .select("row", "stats", "base_failed", "g_lang", "g_source", *[F.when(~F.col("base_failed"), F.expr(sql)).alias(f"x_{i}") for i, sql in enumerate(vector_sql())])
     )
     fit = flat.filter(~F.col("base_failed")).select("g_lang", "g_source", *[f"x_{i}" for i in range(P)])
+    fit = stage(fit, "op7-fit") if twice else fit
     keys = stage(_group_keys(fit), "op7-groups")
     estimates = mcd_estimates(stage(_grouped(fit, keys), "op7-vectors"))
     judged = _distances(_grouped(flat, keys), estimates)
@@ -292,4 +295,4 @@ def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang",
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    return quality_verdicts(docs, **options).filter("kept").select("row.*")
+    return quality_verdicts(docs, twice=True, **options).filter("kept").select("row.*")
