@@ -55,6 +55,20 @@ def test_constant_slots_are_template(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_alignment_reads_inside_marked_parts(spark):
+    """Constant text of an article goes, its varying text stays, and an article that is only a teaser does not stand for the page."""
+    inside = lambda k: f"<body><article>By our staff<h1>Title {k}</h1><div>Share this story</div><p>Story {k} told</p><p>Read <b>more {k}</b> here</p></article><div>About us</div></body>"
+    teaser = lambda k: f"<body><div><article><b>Next: part {k}</b></article></div><section><p>A long report number {k} about many things</p></section><div>About us</div></body>"
+    rows = [(k, f"http://a.test/{k}", inside(k)) for k in range(8)] + [(100 + k, f"http://b.test/{k}", teaser(k)) for k in range(8)]
+    rows += [(200 + k, f"http://copies.test/{k}", inside(7)) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    assert got[3] == "Title 3\nStory 3 told\nRead more 3 here"
+    assert got[103] == "Next: part 3\nA long report number 3 about many things"
+    assert got[205] == "By our staff\nTitle 7\nShare this story\nStory 7 told\nRead more 7 here"
+    assert html_extraction.main_text(inside(3)) == "By our staff\nTitle 3\nShare this story\nStory 3 told\nRead more 3 here"
+
+
 def test_tree_matching_keeps_order():
     tree = lambda *kids: ["x", 0, list(kids)]
     leaf = lambda name: [name, 0, []]
