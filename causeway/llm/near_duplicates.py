@@ -13,9 +13,15 @@ compares its members with up to ``LEADERS`` leaders, the same ones in all tables
 as far as possible.  Members outside the component of the first leader are
 outsiders: some of them, twice as many each time, lead the next round, until a
 bucket has no outsiders.  Documents of buckets with more than ``SMALL`` outsiders
-are dealt again into ``FINER`` tables of longer sketches, which keep similar
-documents together and part the others; after ``LEVELS`` such steps the rounds go
-on until nobody is left.
+are dealt again, once, by prefixes: with shingles in one order, rare ones first,
+two texts that reach the threshold always share a shingle among the first
+n - ceil(0.8 n) + 1 of each.  No pair is lost by that, while unlike texts with a
+common passage part, since its shingles come last.  Then the rounds go on until
+nobody is left.
+
+What can be missed: a pair is compared if it shares a bucket of the ``TABLES``
+sketches, at exactly 0.8 all but about (1 - 0.8 ** 3) ** 10 = 0.08 % of them.
+Dealing again adds nothing to that, however crowded the bucket.
 
 Cases
 * null, empty or wordless texts are classes of their own;
@@ -41,11 +47,11 @@ SHINGLE = 5
 SIMILAR = 0.8
 TABLES = 10
 PICK = 3
-#: Tables of the finer sketches, how often documents are dealt by them, and the labels they add each time.
-FINER, LEVELS, LONGER = 16, 2, 2
+#: Slots in which shingles are counted for the order of prefixes; any order is right, a good one parts better.
+SLOTS = 1 << 18
 #: Leaders of a bucket in the first round; the number doubles up to ``SMALL``.
 LEADERS = 3
-#: A bucket with up to so many outsiders elects leaders without finer sketches.
+#: A bucket with up to so many outsiders elects leaders without being dealt again.
 SMALL = 48
 #: Tasks over which the rows of one hot key are dealt.
 SALTS = 16
@@ -240,19 +246,57 @@ def _verified_by(sent):
     return run
 
 
-def _finer(level: int):
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all texts as hashes, and their n + 1 offsets from 0."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    key = mix(lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64) + np.uint64(1))
+    return key, ends - ends[0]
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        counts += np.bincount(_slot(_flat(batch.column(0))[0]), minlength=SLOTS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "n"])
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """Shingles of a text of ``n`` among which each similar text has one, in any common order."""
+    return n - np.ceil(SIMILAR * n - 1e-9).astype(np.int64) + 1
+
+
+def _prefixes(sent):
+    """Bucket keys of the rarest labelled shingles of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
         for batch in batches:
-            lists = batch.column(2)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            key = mix(lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64) + np.uint64(1))
-            sketch = order_sketches(key, ends - ends[0], FINER, PICK + LONGER * level, seed=level)
-            keys = _list(sketch.reshape(-1).view(np.int64), np.arange(batch.num_rows + 1) * FINER, pa.int64())
+            key, ends = _flat(batch.column(2))
+            size = np.diff(ends)
+            owner = np.repeat(np.arange(len(size)), size)
+            label = mix(key + _occurrences(key, owner) * _STEP)
+            order = np.lexsort((label, counts[_slot(key)], owner))
+            first = np.arange(len(key)) - np.repeat(ends[:-1], size) < np.repeat(prefix_length(size), size)
+            keys = _list(label[order][first].view(np.int64), np.concatenate([[0], np.cumsum(prefix_length(size))]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], names=["rid", "n", "keys"])
 
     return run
 
 
+def _dealt_by_prefix(rows: DataFrame) -> DataFrame:
+    """``(rid, n, bucket)`` for ``rows(rid, n, shingles)``, such that similar ones always share a bucket."""
+    counted = rows.select("shingles").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(counts)
+    return rows.select("rid", "n", "shingles").mapInArrow(_prefixes(sent), "rid long, n long, keys array<long>").select("rid", "n", F.explode("keys").alias("bucket"))
+
+
 def _salted(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join ``few``, unique by ``on``, with a hot key of ``rows`` dealt over ``SALTS`` tasks."""
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
@@ -349,7 +393,7 @@ def _links(reps: DataFrame, source: DataFrame, repeated: bool) -> DataFrame | No
     sequences = stage(_sequences(source, stage(wanted, "op10-wanted"), repeated), "op10-sequences")
     columns = ["rid", "n", "t", "bucket", "outside"]
     labels: DataFrame | None = None
-    leaders, level = LEADERS, 0
+    leaders, dealt_again = LEADERS, False
     while True:
         chosen = stage(_leaders(members, leaders), "op10-leaders")
         if chosen.isEmpty():
@@ -370,11 +414,10 @@ def _links(reps: DataFrame, source: DataFrame, repeated: bool) -> DataFrame | No
         left = stage(_salted(left, open_, ["t", "bucket"], "inner"), "op10-open")
         members, large = left.select(*columns), left.filter(F.col("outsiders") > SMALL)
         leaders = min(SMALL, 2 * leaders)
-        if level < LEVELS and not large.isEmpty():
-            level += 1
-            again = _only(sequences, large.select("rid").distinct()).join(reps.select("rid", "n"), "rid").select("rid", "n", "shingles")
-            dealt = again.mapInArrow(_finer(level), "rid long, n long, keys array<long>").select("rid", "n", F.posexplode("keys").alias("s", "bucket"))
-            dealt = _shared(dealt.select("rid", "n", (F.col("s") + 1000 * level).alias("t"), "bucket")).withColumn("outside", F.lit(True))
+        if not dealt_again and not large.isEmpty():
+            dealt_again = True
+            again = stage(_only(sequences, large.select("rid").distinct()).join(reps.select("rid", "n"), "rid").select("rid", "n", "shingles"), "op10-again")
+            dealt = _shared(_dealt_by_prefix(again).withColumn("t", F.lit(TABLES))).withColumn("outside", F.lit(True))
             members = stage(left.filter(F.col("outsiders") <= SMALL).select(*columns).unionByName(dealt.select(*columns)), "op10-members")
 
 
