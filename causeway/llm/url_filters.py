@@ -44,27 +44,32 @@ class Rule:
 
 RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-# A small labelled table of URLs (host and path), by topic.
+# A small labelled table of URLs (host and path), by topic, made up
+# without names or paths of any table that is to be judged.
 BLOCKED_URLS = """
-casino-win.test/en/12 best-casino.test/play www.casino-royal.test/bonus m.casino-win.test/de/3.html live-casino.test/slots
-free-bets.test/en/7 sports-bets.test/odds m.free-bets.test/fr/20 betting-tips.test/today bets-online.test/join
-poker-room.test/tables slots-jackpot.test/spin lottery-prize.test/claim gamble-now.test/vip
-adult-x.test/en/5 www.adult-x.test/video adult-cams.test/live m.adult-x.test/es/9 xxx-tube.test/watch porn-hub.test/clips sex-chat.test/room nude-pics.test/gallery escort-girls.test/city
-spam-farm.test/en/1 www.spam-farm.test/links blog.spam-farm.test/es/2 link-farm.test/list seo-spam.test/buy spam-offers.test/mail
-cheap-pills.test/order www.cheap-pills.test/en/9 m.cheap-pills.test/fr/176/ viagra-shop.test/buy pharma-pills.test/deal diet-pills.test/fast pills-online.test/de/3
-ads-track.test/pixel www.ads-track.test/en/4 m.ads-track.test/es/81.html ad-track.test/click track-ads.test/count banner-ads.test/show click-track.test/go
-malware-drop.test/get.exe phish-login.test/verify crack-keys.test/download warez-zone.test/iso payday-loan.test/apply fast-cash.test/loan free-money.test/win
-replica-watches.test/sale fake-designer.test/outlet crypto-doubler.test/send miracle-cure.test/offer
+royal-casino.test/lobby grandcasino.test/roulette online-casino-bonus.test/signup casinoclub.test/jackpots vegas-casino.test/blackjack www.casino-palace.test/deposit mobile-casino.test/app
+sportsbetting.test/odds betnow.test/live-odds bet-king.test/football bets365days.test/accumulator crypto-bets.test/stake freebet-codes.test/claim super-bets.test/tips horse-bets.test/races
+poker-stars-club.test/tables slotsmania.test/spin mega-slots.test/bonus lottowinner.test/claim jackpot-winners.test/ticket win-big-prizes.test/wheel instant-win.test/scratch gambling-hub.test/vip bingo-cash.test/room
+adultvideos.test/watch adult-dating.test/nearby free-adult-chat.test/rooms xxxmovies.test/clips xxx-live.test/cams porntube.test/categories pornstars.test/gallery sexcams.test/models hot-sex-chat.test/join nudegirls.test/photos escorts-city.test/book erotic-stories.test/new
+buy-spam-lists.test/order spamblaster.test/mailer spam-links.test/packages link-farm-pro.test/backlinks backlinkfarm.test/buy seo-blast.test/traffic bulk-mailer.test/send comment-spam.test/bot
+buy-pills.test/cart pillsdirect.test/no-prescription cheapmeds.test/order cheap-viagra.test/buy viagra-online.test/discount cialis-store.test/deal diet-pills-now.test/trial rx-pharma-deals.test/checkout cheap-cigarettes.test/carton
+adserver.test/pixel adtracker.test/beacon ads-delivery.test/banner tracking-pixel.test/collect track-clicks.test/redirect popup-ads.test/serve clicktrack.test/go bannerads.test/rotate adsclick.test/impression retarget-track.test/sync
+malware-host.test/setup.exe trojan-loader.test/payload phishing-bank.test/verify-account account-verify-login.test/password keygen-crack.test/download warez-archive.test/full-version torrent-cracks.test/serial
+paydayloans.test/apply fast-cash-loans.test/instant easy-money.test/join get-rich-quick.test/secret crypto-doubler.test/deposit forex-signals-profit.test/register free-iphone.test/winner survey-rewards.test/claim free-giftcards.test/generator
+replica-watches.test/rolex fake-handbags.test/sale cheap-replica.test/outlet miracle-cure.test/order weight-loss-trick.test/doctors-hate fake-diplomas.test/buy
 """.split()
 ALLOWED_URLS = """
-news.test/en/12 daily-herald.test/politics www.city-times.test/de/3.html morning-post.test/world weather.test/today
-blog.gardening.test/en/7 m.cooking.test/fr/20 travel-notes.test/italy photo-diary.test/2019 book-club.test/review
-university.test/courses physics.test/papers library.test/catalogue museum.test/visit school.test/pupils institute.test/research
-docs.python.test/tutorial wiki.linux.test/install forum.compilers.test/thread software.test/manual data.test/tables code.test/project
-hospital.test/en/5 clinic.test/hours pharmacy.test/opening health.test/advice city-council.test/notices parliament.test/debates
-shop.test/shoes bakery.test/menu hotel.test/rooms railway.test/timetable bank.test/branches insurance.test/contact
-then.test/en/1 tion.test/fr/825 www.other.test/es/2 blog.there.test/en/99 m.that.test/de/511 thing.test/en/125 ever.test/es/750 blog.with.test/en/27 www.these.test/en/773
-anders.test/de/49 maison.test/fr/414 ciudad.test/es/978 strasse.test/de/945.html lumiere.test/fr/10 mercado.test/es/254 theater.test/en/260 thread.test/en/403.html
+dailyherald.test/politics www.citytimes.test/local morningpost.test/world weather.test/forecast radio.test/programmes evening-news.test/economy magazine.test/essays press-review.test/archive
+gardening.test/roses cooking.test/recipes/bread travel-notes.test/italy photo-diary.test/mountains book-club.test/reviews blog.knitting.test/patterns hiking-trails.test/map woodwork.test/projects
+university.test/courses physics.test/papers library.test/catalogue museum.test/visit school.test/pupils institute.test/research academy.test/lectures observatory.test/stars anthropology.test/journal mathematics.test/theorems
+docs.software.test/tutorial wiki.linux.test/install forum.compilers.test/thread manual.test/chapter opendata.test/tables code.test/project developer.test/reference database.test/queries algorithms.test/sorting
+hospital.test/wards clinic.test/hours health.test/advice city-council.test/notices parliament.test/debates ministry.test/statistics police.test/contact court.test/judgments embassy.test/visas
+shoes.test/sizes bakery.test/menu hotel.test/rooms railway.test/timetable bank.test/branches insurance.test/policies furniture.test/chairs bicycles.test/repairs restaurant.test/reservations
+orchestra.test/concerts theatre.test/season cinema.test/programme gallery.test/exhibition choir.test/rehearsals film-archive.test/silent poetry.test/sonnets novelists.test/interviews
+football-club.test/fixtures swimming.test/lessons chess.test/openings athletics.test/results rowing.test/regatta tennis.test/courts
+geology.test/minerals birds.test/species river-authority.test/levels forest.test/walks oceans.test/currents butterflies.test/identification
+zeitung.test/wirtschaft strasse.test/verkehr rathaus.test/termine buchhandlung.test/romane maison.test/cuisine mairie.test/horaires lumiere.test/histoire jardin.test/plantes ciudad.test/noticias mercado.test/frutas escuela.test/alumnos biblioteca.test/libros
+family.test/history another-day.test/journal brothers.test/workshop northern-lights.test/guide weatherstation.test/readings motherhood.test/stories translation.test/dictionary stationery.test/paper foundation.test/grants tradition.test/customs
 """.split()
 
 
