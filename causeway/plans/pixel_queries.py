@@ -332,12 +332,12 @@ def set_checks(spark, sf_dir):
 
 
 def logistic_fit(spark, sf_dir):
-    """Weights of the linear model after a few steps of gradient descent on the train events."""
+    """Weights of the linear model after all steps of gradient descent on the train events."""
     rows, where = _pixels(spark, sf_dir).filter("split = 'train' AND eligible"), F.col("eligible")
     inputs = {b: px.radar_channel(F.col(b), where) for b in ("vv", "vh")} | {b: px.optical_channel(F.col(b), where) for b in ("b3", "b4", "b8", "b11", "b12")} | {b: F.col(b) for b in ("ndwi", "mndwi")}
     table_ = stage(rows.select("label", *[c.alias(f"in_{n}") for n, c in inputs.items()]), "features")
     names = [f"in_{f}" for f in px.FEATURES]
-    weights, curve = learn.fit_logistic(table_, names, steps=12)
+    weights, curve = learn.fit_logistic(table_, names)
     return spark.createDataFrame([*zip([*px.FEATURES, "intercept"], map(float, weights)), ("loss", float(curve[-1]))], "name string, value double")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from causeway.contracts import ContractError
 from causeway.functions import geometry, pixels as px
 from causeway.operators import catalog, compare, evaluate, learn, scenarios, spatial
+from causeway.plans import pixel_queries
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +83,20 @@ def test_monotone_fit(spark):
     assert learn.fit_monotone(df.withColumn("y", 1 - F.col("y")), steps=300)["slope"] == 0.0
 
 
+def test_logistic_query_takes_all_steps(spark, monkeypatch):
+    fit, taken = learn.fit_logistic, []
+
+    def counted(rows, features, **options):
+        bound = inspect.signature(fit).bind(rows, features, **options)
+        bound.apply_defaults()
+        taken.append(bound.arguments["steps"])
+        return [0.0] * (len(features) + 1), [0.0]
+
+    monkeypatch.setattr(learn, "fit_logistic", counted)
+    pixel_queries.logistic_fit(spark, "/root/testdata/sf0.001")
+    assert taken == [150]
+
+
 def test_logistic_fit_is_gradient_descent(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 2))
