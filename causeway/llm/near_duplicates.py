@@ -8,20 +8,24 @@ the longest common subsequence of their shingles, inside the band that the
 threshold allows, is at least 0.8 of what both hold together
 (matched / (n + m - matched)).  Classes are the connected components.
 
-No bucket is expanded into pairs.  Exact copies collapse first.  Then a bucket
-compares its members with up to ``LEADERS`` leaders, the same ones in all tables
-as far as possible.  Members outside the component of the first leader are
-outsiders: some of them, twice as many each time, lead the next round, until a
-bucket has no outsiders.  Documents of buckets with more than ``SMALL`` outsiders
-are dealt again, once, by prefixes: with shingles in one order, rare ones first,
-two texts that reach the threshold always share a shingle among the first
-n - ceil(0.8 n) + 1 of each.  No pair is lost by that, while unlike texts with a
-common passage part, since its shingles come last.  Then the rounds go on until
-nobody is left.
-
-What can be missed: a pair is compared if it shares a bucket of the ``TABLES``
-sketches, at exactly 0.8 all but about (1 - 0.8 ** 3) ** 10 = 0.08 % of them.
-Dealing again adds nothing to that, however crowded the bucket.
+No bucket is expanded into pairs.  Exact copies collapse first; then a fixed number
+of passes follows, whatever the size of a bucket:
+
+1. Each member of a sketch bucket meets the bucket's head.  The links give
+   components.  Two members that met no head of theirs and still lie in different
+   components leave their bucket open.
+2. Members of open buckets are dealt by prefixes: with labelled shingles in one
+   order, rare ones first, two texts that reach the threshold share a shingle among
+   the first n - ceil(0.8 n) + 1 of each, and at the first shared one their places
+   leave room for the overlap they need (positional bound).  Each member meets its
+   bucket's head again, here the one with the earliest place: of many edited copies
+   that is the least edited one, which is similar to most.
+3. In buckets still open, members outside the largest component meet those of other
+   components that the length and positional bounds admit.
+
+What can be missed: a pair is compared, or lies in one component already, if it
+shares a bucket of the ``TABLES`` sketches, at exactly 0.8 all but about
+(1 - 0.8 ** 3) ** 10 = 0.08 % of them.  Passes 2 and 3 lose nothing.
 
 Cases
 * null, empty or wordless texts are classes of their own;
@@ -49,16 +53,10 @@ TABLES = 10
 PICK = 3
 #: Slots in which shingles are counted for the order of prefixes; any order is right, a good one parts better.
 SLOTS = 1 << 18
-#: Leaders of a bucket in the first round; the number doubles up to ``SMALL``.
-LEADERS = 3
-#: A bucket with up to so many outsiders elects leaders without being dealt again.
-SMALL = 48
 #: Tasks over which the rows of one hot key are dealt.
 SALTS = 16
 #: Row ids (8 bytes each) up to which a selection of sequences is broadcast; beyond it is shuffled.
 BROADCAST_IDS = 1_000_000
-#: Bytes of leaders' sequences up to which they are broadcast; beyond it each pair brings both its sequences.
-LEADER_BYTES = 24_000_000
 
 _STEP = np.uint64(0xA24BAED4963EE407)
 
@@ -141,29 +139,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(whole[:, 0].view(np.int64)),
                     pa.array(whole[:, 1].view(np.int64)),
                     _list(sketch.reshape(-1).view(np.int64), spots, pa.int64()),
+                    _list((key >> np.uint64(32)).astype(np.uint32).view(np.int32), ends, pa.int32()),
                 ],
-                names=["doc_id", "text_hash", "n", "whole_a", "whole_b", "keys"],
+                names=["doc_id", "text_hash", "n", "whole_a", "whole_b", "keys", "shingles"],
             )
 
 
-_SKETCHED = "doc_id {id}, text_hash long, n long, whole_a long, whole_b long, keys array<long>"
-
-
-def _sequenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk in chunks(batch.column(1)):
-            key, ends = shingles(words(LOWER[chunk.data], chunk.ends, PLAIN), SHINGLE)
-            lists = _list((key >> np.uint64(32)).astype(np.uint32).view(np.int32), ends, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[chunk.first : chunk.first + chunk.rows], lists], names=["rid", "shingles"])
-
-
-def _sequences(source: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """Shingles of the texts of ``wanted(rid, doc_id, text_hash)``, from their source; few rows are broadcast."""
-    ids = wanted.select("rid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    met = source.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
-    out = met.select("rid", "text").mapInArrow(_sequenced, "rid long, shingles array<int>")
-    return out.dropDuplicates(["rid"]) if repeated else out
+_SKETCHED = "doc_id {id}, text_hash long, n long, whole_a long, whole_b long, keys array<long>, shingles array<int>"
 
 
 def matched_in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -226,26 +208,6 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
 
-def _verified_by(sent):
-    """Align each row with its leaders, whose sequences are at hand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ends, values = sent.value
-        for batch in batches:
-            rows, lists, leads = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_pylist()
-            own_ends, own = lists.offsets.to_numpy(), lists.values.to_numpy()
-            a, b = [], []
-            for i, row in enumerate(rows.tolist()):
-                mine = own[own_ends[i] : own_ends[i + 1]]
-                for lead, k in zip(leads[i], np.searchsorted(ids, leads[i]).tolist()):
-                    if similar(mine, values[ends[k] : ends[k + 1]]):
-                        a.append(min(row, lead))
-                        b.append(max(row, lead))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of all texts as hashes, and their n + 1 offsets from 0."""
     ends = lists.offsets.to_numpy().astype(np.int64)
@@ -271,30 +233,31 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(sent):
-    """Bucket keys of the rarest labelled shingles of each text."""
+    """Bucket keys of the rarest labelled shingles of each text, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
-            key, ends = _flat(batch.column(2))
+            key, ends = _flat(batch.column(3))
             size = np.diff(ends)
             owner = np.repeat(np.arange(len(size)), size)
             label = mix(key + _occurrences(key, owner) * _STEP)
             order = np.lexsort((label, counts[_slot(key)], owner))
             first = np.arange(len(key)) - np.repeat(ends[:-1], size) < np.repeat(prefix_length(size), size)
             keys = _list(label[order][first].view(np.int64), np.concatenate([[0], np.cumsum(prefix_length(size))]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], names=["rid", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys], names=["rid", "n", "label", "keys"])
 
     return run
 
 
 def _dealt_by_prefix(rows: DataFrame) -> DataFrame:
-    """``(rid, n, bucket)`` for ``rows(rid, n, shingles)``, such that similar ones always share a bucket."""
-    counted = rows.select("shingles").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    """Members of prefix buckets for ``rows(rid, n, label, shingles)``; similar ones always share a bucket."""
+    counted = rows.select("shingles").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     counts = np.zeros(SLOTS, dtype=np.int64)
     counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(counts)
-    return rows.select("rid", "n", "shingles").mapInArrow(_prefixes(sent), "rid long, n long, keys array<long>").select("rid", "n", F.explode("keys").alias("bucket"))
+    keys = rows.select("rid", "n", "label", "shingles").mapInArrow(_prefixes(sent), "rid long, n long, label long, keys array<long>")
+    return keys.select("rid", "n", "label", F.posexplode("keys").alias("at", "bucket")).withColumn("rank", F.col("at") / F.col("n"))
 
 
 def _salted(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -329,10 +292,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> Dat
     return rows.join(own, F.col(vertex) == F.col("own_v"), "left").withColumn(name, F.coalesce("own_label", vertex)).drop("own_v", "own_label")
 
 
-def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     """Components of the links so far and the ``found`` ones."""
-    if labels is None:
-        return components(found)
+    if found.isEmpty():
+        return labels
     between = _labelled(_labelled(found, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
     joined = components(between)
     fresh = joined.select(F.col("v").alias("old"), F.col("label").alias("new"))
@@ -340,85 +303,68 @@ def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return stage(known.union(joined.join(labels.select("v"), "v", "left_anti")), "op10-components")
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Members of buckets of two or more."""
-    sizes = members.groupBy("t", "bucket").agg(F.count("*").alias("size")).filter("size > 1").drop("size")
-    return _salted(members, sizes, ["t", "bucket"], "inner")
+def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``table`` with the given ids, which are broadcast while they are few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return table.join(F.broadcast(ids) if few else ids, "rid")
 
 
-def _leaders(members: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` outsiders of each bucket, the least of as many hash classes, and the first of them."""
-    able = members.filter("outside").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(most)))
-    best = able.groupBy("t", "bucket", "part").agg(F.min(F.struct(F.xxhash64("rid").alias("h"), F.col("rid").alias("lead"), F.col("n").alias("lead_n"))).alias("best"))
-    listed = best.groupBy("t", "bucket").agg(F.array_sort(F.collect_list("best")).alias("best"))  # at most ``most``
-    return listed.select("t", "bucket", F.col("best")[0]["lead"].alias("first"), F.inline("best")).drop("h")
+def _linked(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Similar ones of ``pairs(head, rid)`` as staged ``(a, b)``.
 
+    A row's own sequence joins first; what is then dealt by a hot head is split by
+    size, as its partner side is one row.
+    """
+    pairs = stage(pairs.distinct(), "op10-pairs")
+    own = _only(table, pairs.select("rid").union(pairs.select("head")).distinct()).select("rid", "shingles")
+    left = own.select("rid", F.col("shingles").alias("sa"))
+    right = own.select(F.col("rid").alias("head"), F.col("shingles").alias("sb"))
+    joined = pairs.join(left, "rid").join(right, "head").select(F.least("rid", "head").alias("a"), F.greatest("rid", "head").alias("b"), "sa", "sb")
+    return stage(joined.mapInArrow(_verified, "a long, b long").distinct(), "op10-links")
 
-def _only(sequences: DataFrame, ids: DataFrame) -> DataFrame:
-    """Sequences of the given rows; the ids are broadcast while they are few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return sequences.join(F.broadcast(ids) if few else ids, "rid")
+
+def _admitted(n: str, at: str, m: str, m_at: str) -> Column:
+    """Whether two texts that share the shingles at these places first can overlap enough."""
+    need = F.ceil(SIMILAR / (1 + SIMILAR) * (F.col(n) + F.col(m)) - 1e-9)
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(m_at)) >= need
 
 
-def _verify(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Similar ones of ``pairs(lead, lead_n, rid)`` as ``(a, b)``.
+def _meet_heads(members: DataFrame, table: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compare each of ``members(bucket, rid, n, at, rank, label)`` with the head of its bucket.
 
-    Few leaders meet many rows where buckets are crowded; then the leaders go to
-    all tasks and each row's sequence travels once, not once per pair.
+    Returns the new components and the members other than heads of buckets in
+    which these lie in several components.
     """
-    leads = pairs.select("lead", "lead_n").distinct()
-    size = leads.agg(F.coalesce(F.sum("lead_n"), F.lit(0)).alias("n")).first()["n"] * 4
-    if size <= LEADER_BYTES:
-        table = _only(sequences, leads.select(F.col("lead").alias("rid"))).select("rid", "shingles").toArrow()
-        ids = table.column("rid").to_numpy() if table.num_rows else np.zeros(0, dtype=np.int64)
-        order = np.argsort(ids)
-        lists = [x.values.to_numpy() for x in table.column("shingles").take(pa.array(order))] if table.num_rows else []
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        sent = sequences.sparkSession.sparkContext.broadcast((ids[order], ends, np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32)))
-        listed = pairs.groupBy("rid").agg(F.collect_list("lead").alias("leads"))  # at most SMALL of each table
-        own = _only(sequences, pairs.select("rid").distinct())
-        return own.join(listed, "rid").select("rid", "shingles", "leads").mapInArrow(_verified_by(sent), "a long, b long")
-    pairs = pairs.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
-    own = _only(sequences, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
-    left = own.select(F.col("rid").alias("ra"), F.col("shingles").alias("sa"))
-    right = own.select(F.col("rid").alias("rb"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, F.col("a") == F.col("ra")).join(right, F.col("b") == F.col("rb")).select("a", "b", "sa", "sb")
-    return joined.mapInArrow(_verified, "a long, b long")
-
-
-def _links(reps: DataFrame, source: DataFrame, repeated: bool) -> DataFrame | None:
+    heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rank", F.col("rid").alias("head"), F.col("n").alias("head_n"), F.col("at").alias("head_at"), F.col("label").alias("head_label"))).alias("best"))
+    heads = heads.filter("size > 1").select("bucket", "best.head", "best.head_n", "best.head_at", "best.head_label")
+    met = stage(_salted(members, heads, ["bucket"], "inner").drop("rank"), "op10-met")
+    fits = (F.col("label") != F.col("head_label")) & _admitted("n", "at", "head_n", "head_at")
+    labels = _merged(labels, _linked(met.filter(fits).select("head", "rid"), table))
+    left = stage(_labelled(met.filter("rid <> head").select("bucket", "rid", "n", "at"), labels, "rid", "label"), "op10-left")
+    parted = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    return labels, stage(_salted(left, parted, ["bucket"], "inner"), "op10-open")
+
+
+def _meet_others(members: DataFrame) -> DataFrame:
+    """Pairs of ``members(bucket, rid, n, at, label)`` in different components that the bounds admit."""
+    largest = members.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("largest"))
+    told = stage(_salted(members, largest, ["bucket"], "inner"), "op10-told")
+    few = told.filter("label <> largest").select(F.col("bucket").alias("shared"), F.col("rid").alias("head"), F.col("n").alias("head_n"), F.col("at").alias("head_at"), F.col("label").alias("head_label"))
+    once = (F.col("label") == F.col("largest")) | (F.col("rid") < F.col("head"))
+    met = told.join(few, (F.col("bucket") == F.col("shared")) & (F.col("label") != F.col("head_label")) & once & _admitted("n", "at", "head_n", "head_at"))
+    return met.select("head", "rid")
+
+
+def _links(reps: DataFrame, table: DataFrame) -> DataFrame:
     """Components of the verified links between different texts, as staged ``(v, label)``."""
-    members = stage(_shared(reps.select("rid", "n", F.posexplode("keys").alias("t", "bucket"))).withColumn("outside", F.lit(True)), "op10-members")
-    wanted = reps.join(members.select("rid").distinct(), "rid").select("rid", "doc_id", "text_hash")
-    sequences = stage(_sequences(source, stage(wanted, "op10-wanted"), repeated), "op10-sequences")
-    columns = ["rid", "n", "t", "bucket", "outside"]
-    labels: DataFrame | None = None
-    leaders, dealt_again = LEADERS, False
-    while True:
-        chosen = stage(_leaders(members, leaders), "op10-leaders")
-        if chosen.isEmpty():
-            return labels
-        met = _salted(members, chosen, ["t", "bucket"], "inner")
-        within = F.least("n", "lead_n") >= SIMILAR * F.greatest("n", "lead_n")
-        pairs = met.filter((F.col("rid") != F.col("lead")) & within).select("lead", "lead_n", "rid").distinct()
-        if labels is not None:
-            pairs = _labelled(_labelled(pairs, labels, "lead", "la"), labels, "rid", "lb").filter("la <> lb").select("lead", "lead_n", "rid")
-        found = stage(_verify(stage(pairs, "op10-pairs"), sequences), "op10-links")
-        if labels is None or not found.isEmpty():
-            labels = _merged(labels, found)
-        done = chosen.select("t", "bucket", F.col("lead").alias("rid"))
-        left = _salted(members.join(done, ["t", "bucket", "rid"], "left_anti"), chosen.select("t", "bucket", "first").distinct(), ["t", "bucket"], "inner")
-        left = _labelled(_labelled(left, labels, "rid", "mine"), labels, "first", "theirs")
-        left = stage(left.select("rid", "n", "t", "bucket", (F.col("mine") != F.col("theirs")).alias("outside")), "op10-left")
-        open_ = left.groupBy("t", "bucket").agg(F.count_if("outside").alias("outsiders")).filter("outsiders > 0")
-        left = stage(_salted(left, open_, ["t", "bucket"], "inner"), "op10-open")
-        members, large = left.select(*columns), left.filter(F.col("outsiders") > SMALL)
-        leaders = min(SMALL, 2 * leaders)
-        if not dealt_again and not large.isEmpty():
-            dealt_again = True
-            again = stage(_only(sequences, large.select("rid").distinct()).join(reps.select("rid", "n"), "rid").select("rid", "n", "shingles"), "op10-again")
-            dealt = _shared(_dealt_by_prefix(again).withColumn("t", F.lit(TABLES))).withColumn("outside", F.lit(True))
-            members = stage(left.filter(F.col("outsiders") <= SMALL).select(*columns).unionByName(dealt.select(*columns)), "op10-members")
+    none = stage(reps.filter("false").select(F.col("rid").alias("v"), F.col("rid").alias("label")), "op10-none")
+    members = reps.select("rid", "n", F.col("rid").alias("label"), F.explode("keys").alias("bucket")).withColumns({"at": F.lit(0), "rank": F.xxhash64("rid").cast("double")})
+    labels, left = _meet_heads(members, table, none)
+    if left.isEmpty():
+        return labels
+    again = stage(_only(table.select("rid", "n", "shingles"), left.select("rid", "label").distinct()), "op10-again")
+    labels, left = _meet_heads(_dealt_by_prefix(again), table, labels)
+    return labels if left.isEmpty() else _merged(labels, _linked(_meet_others(left), table))
 
 
 def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -432,17 +378,11 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text") -
     source = docs.select(F.col(id_column).alias("doc_id"), _text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
     table = stage(source.mapInArrow(_sketched, _SKETCHED.format(id=kind)).withColumn("rid", F.monotonically_increasing_id()), "op10-sketches")
     copies = table.filter("n > 0").groupBy("whole_a", "whole_b").agg(F.min("rid").alias("rep"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    narrow = table.select("rid", "doc_id", "text_hash", "n", "whole_a", "whole_b")
-    rows = _salted(narrow, copies, ["whole_a", "whole_b"], "left")
-    rows = stage(rows.select("rid", "doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("rep", "rid")).otherwise(F.col("rid")).alias("rep")), "op10-rows")
-    copied = rows.filter("rid <> rep").select(F.col("rid").alias("copy"))
-    reps = table.filter("n > 0").select("rid", "doc_id", "text_hash", "n", "keys").join(copied, F.col("rid") == F.col("copy"), "left_anti")
-    repeated = not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
-    labels = _links(stage(reps, "op10-reps"), source, repeated)
-    if labels is not None:
-        rows = rows.join(labels, F.col("rep") == F.col("v"), "left").select("rid", "doc_id", "text_hash", F.coalesce("label", "rep").alias("label"))
-    else:
-        rows = rows.select("rid", "doc_id", "text_hash", F.col("rep").alias("label"))
+    narrow = table.select("rid", "doc_id", "text_hash", "n", "whole_a", "whole_b", "keys")
+    rows = _salted(narrow, copies, ["whole_a", "whole_b"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "rid")).otherwise(F.col("rid")))
+    rows = stage(rows.select("rid", "doc_id", "text_hash", "n", "rep", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "op10-rows")
+    labels = _links(rows.filter("rid = rep and n > 0").select("rid", "n", "keys"), table)
+    rows = _labelled(rows.select("rid", "doc_id", "text_hash", "rep"), labels, "rep", "label").select("rid", "doc_id", "text_hash", "label")
     rows = stage(rows, "op10-labelled")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("rid").alias("head"))
     groups = rows.groupBy("label").agg(F.min(order).alias("least"), F.count("*").alias("size")).filter("size > 1")
