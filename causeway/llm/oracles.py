@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from causeway.llm import quality_rules as q
 from causeway.llm import secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,28 +48,31 @@ _WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_byte
 
 
 def _rules_sql() -> str:
-    """The quality rules with all concentration steps."""
-    xs = [f"x_{i}" for i in range(q.P)]
-    group = "g_lang, g_source"
-    steps, total = q.distance_sql()
-    lower = [n for n, _ in q.cholesky_sql()]
-
-    def distances(name: str, rows: str, estimates: str) -> str:
-        """Forward substitution, one nested query per step, since a step uses the one before."""
-        out = f"SELECT r.*, {', '.join(f'e.m_{i}' for i in range(q.P))}, {', '.join('e.' + n for n in lower)} FROM {rows} r LEFT JOIN {estimates} e ON r.g_lang = e.g_lang AND r.g_source = e.g_source"
-        for z, sql in steps:
-            out = f"SELECT *, {sql} AS {z} FROM ({out})"
-        return f"{name} AS MATERIALIZED (SELECT *, {total} AS d2 FROM ({out}))"
-
-    def estimates(name: str, rows: str) -> str:
-        sums = ", ".join([*(f"sum({x}) AS s_{i}" for i, x in enumerate(xs)), *(f"sum(x_{i} * x_{j}) AS q_{i}_{j}" for i in range(q.P) for j in range(i + 1))])
-        out = f"SELECT {group}, count(*) AS n_core, {sums} FROM {rows} GROUP BY {group}"
-        out = f"SELECT *, {', '.join(f's_{i} / n_core AS m_{i}' for i in range(q.P))} FROM ({out})"
-        cells = ", ".join(f"q_{i}_{j} / n_core - m_{i} * m_{j}" + (f" + {q.FLOORS[i] ** 2!r}::DOUBLE" if i == j else "") + f" AS c_{i}_{j}" for i in range(q.P) for j in range(i + 1))
-        out = f"SELECT *, {cells} FROM ({out})"
-        for n, sql in q.cholesky_sql():
-            out = f"SELECT *, {sql} AS {n} FROM ({out})"
-        return f"{name} AS MATERIALIZED ({out})"
+    """The quality rules, their statistics, three starts, twelve concentration steps, reweighting and cut."""
+    n = range(4)
+    floors = (0.0144, 0.0064, 0.0144, 0.04)  # squares of the least standard deviations
+
+    def inverse_by_rows(rows: str) -> str:
+        """Factor c = L L' column by column, one nested query per entry that others use."""
+        out = rows
+        for i in n:
+            for j in range(i + 1):
+                done = "".join(f" - f{i}{k} * f{j}{k}" for k in range(j))
+                out = f"SELECT *, {f'sqrt(greatest(v{i}{i}{done}, 1e-12))' if i == j else f'(v{i}{j}{done}) / f{j}{j}'} AS f{i}{j} FROM ({out})"
+        return f"SELECT *, ln(f00) + ln(f11) + ln(f22) + ln(f33) AS det FROM ({out})"
+
+    def spread(rows: str, by: str, factor: str) -> str:
+        sums = ", ".join([*(f"sum(x{i}) AS s{i}" for i in n), *(f"sum(x{i} * x{j}) AS s{i}{j}" for i in n for j in range(i + 1))])
+        cov = ", ".join(f"{factor} * (s{i}{j} / m - (s{i} / m) * (s{j} / m))" + (f" + {floors[i]}::DOUBLE" if i == j else "") + f" AS v{i}{j}" for i in n for j in range(i + 1))
+        return inverse_by_rows(f"SELECT {by}, m, {', '.join(f's{i} / m AS u{i}' for i in n)}, {cov} FROM (SELECT {by}, count(*) AS m, {sums} FROM {rows} GROUP BY ALL)")
+
+    place = ", ".join([*(f"u{i}" for i in n), *(f"f{i}{j}" for i in n for j in range(i + 1))])
+
+    def far(rows: str, estimates: str, start: str, how: str) -> str:
+        out = f"SELECT r.*{start}, e.* EXCLUDE (gl, gs{', st' if start else ''}) FROM {rows} r {how} JOIN {estimates} e ON r.gl = e.gl AND r.gs = e.gs"
+        for i in n:
+            out = f"SELECT *, (x{i} - u{i}{''.join(f' - f{i}{k} * y{k}' for k in range(i))}) / f{i}{i} AS y{i} FROM ({out})"
+        return f"SELECT *, y0 * y0 + y1 * y1 + y2 * y2 + y3 * y3 AS dd FROM ({out})"
 
     parts = [
         r"docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)",
@@ -79,33 +81,40 @@ def _rules_sql() -> str:
         r"lin AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT rid, unnest(string_split(body, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid)",
         "st AS MATERIALIZED (SELECT docs.rid AS rid, doc_id, lang, source, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words "
         "FROM docs LEFT JOIN lin ON docs.rid = lin.rid LEFT JOIN rep ON docs.rid = rep.rid)",
-        f"vc AS MATERIALIZED (SELECT *, {', '.join(f'CASE WHEN NOT base_failed THEN {sql} END AS x_{i}' for i, sql in enumerate(q.vector_sql()))} FROM (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM st))",
+        "vc AS MATERIALIZED (SELECT *, CASE WHEN NOT base_failed THEN ln(word_chars / n_words::DOUBLE) END AS x0, CASE WHEN NOT base_failed THEN ln(1 + n_symbols / n_words::DOUBLE) END AS x1, "
+        "CASE WHEN NOT base_failed THEN n_repeat_words / n_words::DOUBLE END AS x2, CASE WHEN NOT base_failed THEN n_dup_lines / greatest(n_lines, 1)::DOUBLE END AS x3 "
+        "FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM st))",
         "sz AS MATERIALIZED (SELECT lang, source, count(*) AS n FROM vc WHERE NOT base_failed GROUP BY 1, 2)",
-        f"pl AS (SELECT lang, sum(n) AS n_lang FROM sz WHERE n < {q.MIN_GROUP} GROUP BY 1)",
-        f"ky AS MATERIALIZED (SELECT sz.lang AS lang, source, CASE WHEN n >= {q.MIN_GROUP} OR n_lang >= {q.MIN_GROUP} THEN coalesce('=' || sz.lang, 'null') ELSE '*' END AS g_lang, CASE WHEN n >= {q.MIN_GROUP} THEN coalesce('=' || source, 'null') ELSE '*' END AS g_source "
+        "pl AS (SELECT lang, sum(n) AS n_lang FROM sz WHERE n < 50 GROUP BY 1)",
+        "ky AS MATERIALIZED (SELECT sz.lang AS lang, source, CASE WHEN n >= 50 OR n_lang >= 50 THEN coalesce('=' || sz.lang, 'null') ELSE '*' END AS gl, CASE WHEN n >= 50 THEN coalesce('=' || source, 'null') ELSE '*' END AS gs "
         "FROM sz LEFT JOIN pl ON sz.lang IS NOT DISTINCT FROM pl.lang)",
-        "gr AS MATERIALIZED (SELECT vc.* EXCLUDE (lang, source), coalesce(g_lang, '*') AS g_lang, coalesce(g_source, '*') AS g_source FROM vc LEFT JOIN ky ON vc.lang IS NOT DISTINCT FROM ky.lang AND vc.source IS NOT DISTINCT FROM ky.source)",
-        f"ft AS MATERIALIZED (SELECT {group}, {', '.join(xs)} FROM gr WHERE NOT base_failed)",
-        "lg AS (" + " UNION ALL ".join(f"SELECT {group}, {i} AS i, floor(x_{i} * {q.START})::INTEGER AS cell FROM ft" for i in range(q.P)) + ")",
-        f"hs AS (SELECT {group}, i, cell, count(*) AS n FROM lg GROUP BY ALL)",
-        f"rk AS (SELECT *, sum(n) OVER (PARTITION BY {group}, i ORDER BY cell) AS reached, sum(n) OVER (PARTITION BY {group}, i) AS whole FROM hs)",
-        f"qt AS (SELECT {group}, i, {', '.join(f'(min(cell) FILTER (reached >= {s} * whole) + 0.5e0) / {q.START} AS {n}' for n, s in (('low', 0.25), ('mid', 0.5), ('high', 0.75)))} FROM rk GROUP BY ALL)",
-        f"e0 AS MATERIALIZED (SELECT {group}, {', '.join(f'max(mid) FILTER (i = {i}) AS m_{i}' for i in range(q.P))}, "
-        + ", ".join(
-            f"sqrt(pow((max(high) FILTER (i = {i}) - max(low) FILTER (i = {i})) / 1.349e0, 2) + {q.FLOORS[i] ** 2!r}::DOUBLE) AS l_{i}_{j}" if i == j else f"0e0 AS l_{i}_{j}" for i in range(q.P) for j in range(i + 1)
+        "gr AS MATERIALIZED (SELECT vc.* EXCLUDE (lang, source), coalesce(gl, '*') AS gl, coalesce(gs, '*') AS gs FROM vc LEFT JOIN ky ON vc.lang IS NOT DISTINCT FROM ky.lang AND vc.source IS NOT DISTINCT FROM ky.source)",
+        "ft AS MATERIALIZED (SELECT gl, gs, x0, x1, x2, x3 FROM gr WHERE NOT base_failed)",
+        "hs AS (SELECT gl, gs, i, cell, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT gl, gs, {i} AS i, floor(x{i} * 250)::INTEGER AS cell FROM ft" for i in n) + ") GROUP BY ALL)",
+        "rk AS (SELECT *, sum(n) OVER (PARTITION BY gl, gs, i ORDER BY cell) AS reached, sum(n) OVER (PARTITION BY gl, gs, i) AS whole FROM hs)",
+        "qt AS MATERIALIZED (SELECT gl, gs, i, (min(cell) FILTER (reached >= 0.25 * whole) + 0.5e0) / 250 AS q1, (min(cell) FILTER (reached >= 0.5 * whole) + 0.5e0) / 250 AS q2, (min(cell) FILTER (reached >= 0.75 * whole) + 0.5e0) / 250 AS q3 FROM rk GROUP BY ALL)",
+        "e0 AS MATERIALIZED ("
+        + " UNION ALL ".join(
+            f"SELECT gl, gs, {s} AS st, 0 AS m, {', '.join(f'max({q}) FILTER (i = {i}) AS u{i}' for i in n)}, "
+            + ", ".join(f"sqrt(pow((max(q3) FILTER (i = {i}) - max(q1) FILTER (i = {i})) / 1.349e0, 2) + {floors[i]}::DOUBLE) AS f{i}{j}" if i == j else f"0e0 AS f{i}{j}" for i in n for j in range(i + 1))
+            + ", 1e300 AS det FROM qt GROUP BY gl, gs"
+            for s, q in enumerate(("q2", "q1", "q3"))
         )
-        + f" FROM qt GROUP BY {group})",
+        + ")",
     ]
-    for k in range(q.STEPS):
+    for k in range(12):
         parts += [
-            distances(f"d{k}", "ft", f"e{k}"),
-            f"k{k} AS MATERIALIZED (SELECT {group}, min(cell) AS last_cell FROM (SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY cell) AS reached, sum(n) OVER (PARTITION BY {group}) AS whole FROM (SELECT {group}, floor(ln(d2 + 1e-6) * {q.GRID})::INTEGER AS cell, count(*) AS n FROM d{k} GROUP BY ALL)) WHERE reached >= {q.CORE} * whole GROUP BY {group})",
-            f"o{k} AS MATERIALIZED (SELECT d{k}.* FROM d{k} JOIN k{k} ON d{k}.g_lang = k{k}.g_lang AND d{k}.g_source = k{k}.g_source WHERE floor(ln(d2 + 1e-6) * {q.GRID}) <= last_cell)",
-            estimates(f"e{k + 1}", f"o{k}"),
+            f"d{k} AS MATERIALIZED (SELECT *, floor(ln(dd + 1e-6) * 32)::INTEGER AS cell FROM ({far('ft', f'e{k}', ', e.st', 'INNER')}))",
+            f"k{k} AS MATERIALIZED (SELECT gl, gs, st, min(cell) AS last FROM (SELECT *, sum(n) OVER (PARTITION BY gl, gs, st ORDER BY cell) AS reached, sum(n) OVER (PARTITION BY gl, gs, st) AS whole FROM (SELECT gl, gs, st, cell, count(*) AS n FROM d{k} GROUP BY ALL)) WHERE reached >= 0.5 * whole GROUP BY ALL)",
+            f"n{k} AS MATERIALIZED ({spread(f'(SELECT d.gl, d.gs, d.st, x0, x1, x2, x3 FROM d{k} d JOIN k{k} k ON d.gl = k.gl AND d.gs = k.gs AND d.st = k.st WHERE cell <= last)', 'gl, gs, st', '2.1091e0')})",
+            f"e{k + 1} AS MATERIALIZED (SELECT o.gl, o.gs, o.st, {', '.join(f'CASE WHEN w.det < o.det - 1e-9 THEN w.{c} ELSE o.{c} END AS {c}' for c in ('m, ' + place + ', det').split(', '))} FROM e{k} o JOIN n{k} w ON o.gl = w.gl AND o.gs = w.gs AND o.st = w.st)",
         ]
-    parts.append(f"fin AS MATERIALIZED (SELECT * FROM e{q.STEPS} WHERE n_core >= {q.CORE * q.MIN_GROUP})")
-    parts.append(distances("judged", "gr", "fin"))
-    return "WITH " + ", ".join(parts) + f" SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 > {q.CUT}, false) AS kept FROM judged"
+    parts += [
+        f"be AS MATERIALIZED (SELECT gl, gs, {place} FROM (SELECT *, row_number() OVER (PARTITION BY gl, gs ORDER BY det, st) AS k FROM e12) WHERE k = 1)",
+        f"nr AS MATERIALIZED (SELECT gl, gs, x0, x1, x2, x3 FROM ({far('ft', 'be', '', 'INNER')}) WHERE dd <= 11.1433)",
+        f"fi AS MATERIALIZED (SELECT gl, gs, {place} FROM ({spread('nr', 'gl, gs', '1.0645e0')}) WHERE m >= 25)",
+    ]
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(dd > 18.467, false) AS kept FROM ({far('gr', 'fi', '', 'LEFT')})"
 
 
 ORACLES: dict[str, str] = {

@@ -7,7 +7,11 @@ distance, and far documents are rejected.
 
 Everything is Catalyst expressions and aggregates; no Python runs on executors.
 The text is read once.  The statistics are staged, and each concentration step
-is two small aggregates over them.
+is one aggregate over them: moments by group, start and cell of a distance grid,
+of which the nearest cells up to half of the group are summed.  Steps go on while
+a determinant falls; of three starts (medians, lower and upper quartiles) the one
+with the least determinant stays.  Rows within the 0.975 quantile then give the
+final, reweighted estimate.
 
 Cases
 * null or empty text: no words, so ``base_failed``;
@@ -28,11 +32,14 @@ from causeway.llm.staging import stage
 MIN_WORDS = 50
 MIN_GROUP = 50
 #: Share of a group that a concentration step keeps.
-CORE = 0.75
-STEPS = 4
-#: Squared distance from which a document is an outlier: the 0.999 quantile of
-#: the chi-squared law with four degrees of freedom.
-CUT = 18.467
+CORE = 0.5
+#: Steps after which concentration ends although the determinant still falls.
+MOST_STEPS = 12
+#: Fixed values of the chi-squared law with four degrees of freedom: its 0.975 and
+#: 0.999 quantiles, and the factors that make the covariance of the nearest half,
+#: and of the nearest 0.975, consistent at a normal law (share / P(chi2 of 6 <= quantile)).
+NEAR, CUT = 11.1433, 18.467
+HALF_FACTOR, NEAR_FACTOR = 2.1091, 1.0645
 #: Least standard deviation of each statistic; keeps constant ones invertible.
 FLOORS = (0.12, 0.08, 0.12, 0.2)
 #: Steps of the logarithmic grid on which distances are ranked, per e-fold.
@@ -41,6 +48,8 @@ GRID = 32
 START = 250
 #: Rows of group estimates up to which the join broadcasts them (about 200 bytes each).
 BROADCAST_GROUPS = 50_000
+#: Rejected rows up to which their marks are broadcast (16 bytes each).
+BROADCAST_REJECTED = 500_000
 P = len(FLOORS)
 _SPACE = "[ \\x09-\\x0D]+"
 
@@ -132,24 +141,25 @@ def distance_sql() -> tuple[list[tuple[str, str]], str]:
 
 
 _MOMENTS = [("n_core", "count(*)")] + [(f"s_{i}", f"sum(x_{i})") for i in range(P)] + [(f"q_{i}_{j}", f"sum(x_{i} * x_{j})") for i in range(P) for j in range(i + 1)]
+_PLACE = [f"m_{i}" for i in range(P)] + [n for n, _ in cholesky_sql()]
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
-    """Location, regularised covariance and its Cholesky factor from sums."""
-    means = moments.select("g_lang", "g_source", "n_core", *[F.expr(f"s_{i} / n_core").alias(f"m_{i}") for i in range(P)], *[f"q_{i}_{j}" for i in range(P) for j in range(i + 1)])
-    out = means.select(
-        "*",
+def _estimates(moments: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Location, consistent covariance with floors, its Cholesky factor and log determinant, from sums."""
+    out = moments.select("*", *[F.expr(f"s_{i} / n_core").alias(f"m_{i}") for i in range(P)])
+    out = out.select(
+        *by,
+        "n_core",
+        *[f"m_{i}" for i in range(P)],
         *[
-            F.expr(f"q_{i}_{j} / n_core - m_{i} * m_{j}" + (f" + {FLOORS[i] ** 2!r}D" if i == j else "")).alias(f"c_{i}_{j}")
+            F.expr(f"{factor!r}D * (q_{i}_{j} / n_core - m_{i} * m_{j})" + (f" + {FLOORS[i] ** 2!r}D" if i == j else "")).alias(f"c_{i}_{j}")
             for i in range(P)
             for j in range(i + 1)
         ],
     )
     for name, sql in cholesky_sql():
         out = out.withColumn(name, F.expr(sql))
-    logdet = " + ".join(f"ln(l_{i}_{i})" for i in range(P))
-    keep = ["g_lang", "g_source", "n_core", *[f"m_{i}" for i in range(P)], *[n for n, _ in cholesky_sql()]]
-    return out.withColumn("logdet", F.expr(logdet)).select(*keep, "logdet")
+    return out.select(*by, "n_core", *_PLACE, F.expr(" + ".join(f"ln(l_{i}_{i})" for i in range(P))).alias("logdet"))
 
 
 def _on_group(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -167,13 +177,14 @@ def _on_group(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, same & (F.col("a_salt") == F.col("b_salt")), how).drop("b_lang", "b_source", "a_salt", "b_salt")
 
 
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with ``d2``; groups without estimates get null."""
-    joined = _on_group(rows, estimates, "left")
+def _distances(rows: DataFrame, estimates: DataFrame, how: str = "left") -> DataFrame:
+    """Rows, and the start of each estimate if there are several, with ``d2``; groups without estimates get null."""
+    joined = _on_group(rows, estimates, how)
     steps, total = distance_sql()
     for name, sql in steps:
         joined = joined.withColumn(name, F.expr(sql))
-    return joined.select(*rows.columns, F.expr(total).alias("d2"))
+    start = ["start"] if "start" in estimates.columns else []
+    return joined.select(*rows.columns, *start, F.expr(total).alias("d2"))
 
 
 def _tagged(name: str) -> Column:
@@ -202,69 +213,70 @@ def _grouped(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _first_estimates(vectors: DataFrame) -> DataFrame:
-    """Start of the concentration: medians, and spreads from the quartiles, on a grid of ``START`` steps per unit."""
+    """Three starts: medians and quartiles on a grid of ``START`` steps per unit, with spreads from the quartiles."""
     long = vectors.select("g_lang", "g_source", F.posexplode(F.array(*[f"x_{i}" for i in range(P)])).alias("i", "x"))
     cells = long.groupBy("g_lang", "g_source", "i", F.floor(F.col("x") * START).cast("int").alias("cell")).agg(F.count("*").alias("n"))
     ranked = cells.selectExpr(
         "g_lang", "g_source", "i", "cell", "sum(n) over (partition by g_lang, g_source, i order by cell) as reached", "sum(n) over (partition by g_lang, g_source, i) as whole"
     )
-    parts = {"low": 0.25, "mid": 0.5, "high": 0.75}
-    quart = ranked.groupBy("g_lang", "g_source", "i").agg(
-        F.max("whole").alias("n"), *[F.min(F.when(F.col("reached") >= share * F.col("whole"), F.col("cell"))).alias(name) for name, share in parts.items()]
-    )
-    wide = quart.groupBy("g_lang", "g_source").agg(
-        F.max("n").alias("n_core"), *[F.max(F.when(F.col("i") == i, (F.col(name) + 0.5) / START)).alias(f"{name}_{i}") for i in range(P) for name in parts]
-    )
-    return wide.select(
-        "g_lang",
-        "g_source",
-        "n_core",
-        *[F.col(f"mid_{i}").alias(f"m_{i}") for i in range(P)],
-        *[
-            (F.sqrt(F.pow((F.col(f"high_{i}") - F.col(f"low_{i}")) / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
-            for i in range(P)
-            for j in range(i + 1)
-        ],
-        F.lit(0.0).alias("logdet"),
-    )
+    parts = {"mid": 0.5, "low": 0.25, "high": 0.75}
+    quart = ranked.groupBy("g_lang", "g_source", "i").agg(*[F.min(F.when(F.col("reached") >= share * F.col("whole"), F.col("cell"))).alias(name) for name, share in parts.items()])
+    wide = quart.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("i") == i, (F.col(name) + 0.5) / START)).alias(f"{name}_{i}") for i in range(P) for name in parts])
+
+    def spread(i: int) -> Column:
+        return F.sqrt(F.pow((F.col(f"high_{i}") - F.col(f"low_{i}")) / 1.349, 2) + FLOORS[i] ** 2)
+
+    starts = [
+        F.struct(
+            F.lit(k).alias("start"),
+            *[F.col(f"{name}_{i}").alias(f"m_{i}") for i in range(P)],
+            *[(spread(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(P) for j in range(i + 1)],
+        )
+        for k, name in enumerate(parts)
+    ]
+    return wide.select("g_lang", "g_source", F.inline(F.array(*starts))).withColumns({"n_core": F.lit(0).cast("long"), "logdet": F.lit(1e300)})
 
 
 def _concentrate(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One C-step: the nearest ``CORE`` of each group give the next estimates.
+    """One C-step of every start; one whose determinant does not fall stays as it is, with ``moved`` false.
 
     Distances are ranked on a logarithmic grid by counting, so that no group is
     sorted or gathered; all rows of the last grid cell are kept.
     """
-    near = _distances(vectors, estimates).withColumn("cell", F.floor(F.log(F.col("d2") + 1e-6) * GRID).cast("int"))
-    cells = near.groupBy("g_lang", "g_source", "cell").agg(F.count("*").alias("n"))
+    by = ["g_lang", "g_source", "start"]
+    near = _distances(vectors, estimates, "inner").withColumn("cell", F.floor(F.log(F.col("d2") + 1e-6) * GRID).cast("int"))
+    cells = near.groupBy(*by, "cell").agg(*[F.expr(sql).alias(name) for name, sql in _MOMENTS])
     ranked = cells.selectExpr(
-        "g_lang",
-        "g_source",
-        "cell",
-        "sum(n) over (partition by g_lang, g_source order by cell) as reached",
-        "sum(n) over (partition by g_lang, g_source) as whole",
+        "*", "sum(n_core) over (partition by g_lang, g_source, start order by cell) as reached", "sum(n_core) over (partition by g_lang, g_source, start) as whole"
     )
-    last = ranked.filter(F.col("reached") >= CORE * F.col("whole")).groupBy("g_lang", "g_source").agg(F.min("cell").alias("last_cell"))
-    last = stage(last, "op7-core")
-    core = _on_group(near, last).filter("cell <= last_cell")
-    return stage(_estimates(core.groupBy("g_lang", "g_source").agg(*[F.expr(sql).alias(name) for name, sql in _MOMENTS])), "op7-step")
+    core = ranked.filter(F.col("reached") - F.col("n_core") < CORE * F.col("whole")).groupBy(*by).agg(*[F.sum(name).alias(name) for name, _ in _MOMENTS])
+    new = _estimates(core, by, HALF_FACTOR).select(*by, F.struct("n_core", *_PLACE, "logdet").alias("new"))
+    old = estimates.select(*by, F.struct("n_core", *_PLACE, "logdet").alias("old"))
+    fell = F.col("new.logdet") < F.col("old.logdet") - 1e-9
+    kept = old.join(new, by).select(*by, F.when(fell, F.col("new")).otherwise(F.col("old")).alias("best"), fell.alias("moved"))
+    return stage(kept.select(*by, "best.*", "moved"), "op7-step")
 
 
 def mcd_estimates(vectors: DataFrame) -> DataFrame:
     """MCD location and Cholesky factor per group, for ``vectors(g_lang, g_source, x_*)``."""
     estimates = stage(_first_estimates(vectors), "op7-start")
-    for _ in range(STEPS):
-        estimates = _concentrate(vectors, estimates)
-    return estimates.filter(F.col("n_core") >= CORE * MIN_GROUP)
-
-
-def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT, carry: list[str] | None = None, twice: bool = False) -> DataFrame:
+    for _ in range(MOST_STEPS):
+        stepped = _concentrate(vectors, estimates)
+        estimates = stepped.drop("moved")
+        if stepped.filter("moved").isEmpty():
+            break
+    least = estimates.groupBy("g_lang", "g_source").agg(F.min(F.struct("logdet", "start", *_PLACE)).alias("best")).select("g_lang", "g_source", *[F.col(f"best.{c}").alias(c) for c in _PLACE])
+    near = _distances(vectors, stage(least, "op7-least"), "inner").filter(F.col("d2") <= NEAR)
+    moments = near.groupBy("g_lang", "g_source").agg(*[F.expr(sql).alias(name) for name, sql in _MOMENTS])
+    return stage(_estimates(moments, ["g_lang", "g_source"], NEAR_FACTOR), "op7-final").filter(F.col("n_core") >= CORE * MIN_GROUP)
+
+
+def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT, carry: list[str] | None = None) -> DataFrame:
     """Statistics and verdict of every row.
 
     Returns ``row`` (the columns ``carry`` of ``docs``, all by default, as a
     struct), ``stats``, ``base_failed``, ``distance2`` (null where the rules
-    already reject or the group is too small) and ``kept``.  With ``twice`` the
-    text is read a second time for the verdicts, and no whole rows are staged.
+    already reject or the group is too small) and ``kept``.
     """
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row"),
@@ -272,15 +284,13 @@ def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang",
         F.col(lang).cast("string").alias("g_lang"),
         F.col(source).cast("string").alias("g_source"),
     )
-    measured = base_statistics(packed, "t").drop("t")
+    measured = stage(base_statistics(packed, "t").drop("t"), "op7-rows")
     rows = measured.withColumn("base_failed", base_failed())
-    rows = rows if twice else stage(rows, "op7-rows")
     flat = (
         rows.select("row", "stats", "base_failed", "g_lang", "g_source", "stats.*")
         .select("row", "stats", "base_failed", "g_lang", "g_source", *[F.when(~F.col("base_failed"), F.expr(sql)).alias(f"x_{i}") for i, sql in enumerate(vector_sql())])
     )
     fit = flat.filter(~F.col("base_failed")).select("g_lang", "g_source", *[f"x_{i}" for i in range(P)])
-    fit = stage(fit, "op7-fit") if twice else fit
     keys = stage(_group_keys(fit), "op7-groups")
     estimates = mcd_estimates(stage(_grouped(fit, keys), "op7-vectors"))
     judged = _distances(_grouped(flat, keys), estimates)
@@ -293,6 +303,17 @@ def quality_verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     )
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    return quality_verdicts(docs, twice=True, **options).filter("kept").select("row.*")
+def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that pass, with the columns of ``docs``.
+
+    A verdict depends on text, language and source alone, so rejected rows are
+    named by two hashes of these, and whole rows are neither staged nor measured twice.
+    """
+    held = [c for name in (text, lang, source) for c in (F.col(name).isNull(), F.col(name).cast("string"))]
+    marks = {f"mark_{k}": F.xxhash64(F.lit(k), *held) for k in (1, 2)}
+    marked = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), *[c.alias(n) for n, c in marks.items()])
+    bad = quality_verdicts(marked, carry=list(marks), **options).filter("not kept").select("row.*").distinct()
+    bad = stage(bad, "op7-rejected")
+    few = bad.limit(BROADCAST_REJECTED + 1).count() <= BROADCAST_REJECTED
+    packed = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in marks.items()])
+    return packed.join(F.broadcast(bad) if few else bad, list(marks), "left_anti").select("row.*")

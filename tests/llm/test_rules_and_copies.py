@@ -52,6 +52,44 @@ def test_quality_rules(spark, mixed):
     assert kept >= set(range(90)) | {204} and not kept & {100, 101, 102, 200, 201, 203}
 
 
+def _mcd(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense estimate of one group: three starts, C-steps on the same grid of distances, reweighting."""
+    floors = np.diag([0.12**2, 0.08**2, 0.12**2, 0.2**2])
+    quart = (np.stack([np.sort(np.floor(x * 250), axis=0)[int(np.ceil(p * len(x))) - 1] for p in (0.25, 0.5, 0.75)]) + 0.5) / 250
+    best = None
+    for start in (1, 0, 2):
+        m, c, det = quart[start], np.diag(((quart[2] - quart[0]) / 1.349) ** 2) + floors, np.inf
+        while True:
+            cell = np.floor(np.log(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) + 1e-6) * 32)
+            core = x[cell <= np.sort(cell)[int(np.ceil(len(x) / 2)) - 1]]
+            new = 2.1091 * np.cov(core.T, bias=True) + floors
+            if np.linalg.slogdet(new)[1] / 2 >= det - 1e-9:
+                break
+            m, c, det = core.mean(axis=0), new, np.linalg.slogdet(new)[1] / 2
+        if best is None or det < best[0]:
+            best = det, m, c
+    _, m, c = best
+    near = x[np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) <= 11.1433]
+    return near.mean(axis=0), 1.0645 * np.cov(near.T, bias=True) + floors
+
+
+def test_mcd_by_dense_linear_algebra_with_a_third_of_junk(spark):
+    """A tight junk family of a third of the group stays outside; other rows are kept."""
+    rng = np.random.default_rng(5)
+    good = rng.normal([1.6, 0.02, 0.05, 0.0], [0.1, 0.02, 0.05, 0.05], (400, 4))
+    junk = rng.normal([2.6, 1.5, 0.45, 0.9], 0.01, (200, 4))
+    x = np.concatenate([good, junk])
+    names = [f"x_{i}" for i in range(4)]
+    df = spark.createDataFrame([("=en", "=s", *map(float, r)) for r in x], "g_lang string, g_source string, " + ", ".join(f"{c} double" for c in names))
+    row = quality_rules.mcd_estimates(df).first()
+    m, c = _mcd(x)
+    low = np.linalg.cholesky(c)
+    assert np.allclose([row[f"m_{i}"] for i in range(4)], m, atol=1e-9)
+    assert np.allclose([row[f"l_{i}_{j}"] for i in range(4) for j in range(i + 1)], [low[i, j] for i in range(4) for j in range(i + 1)], atol=1e-9)
+    d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    assert (d2[:400] <= quality_rules.CUT).all() and (d2[400:] > quality_rules.CUT).all()
+
+
 def test_keep_good_carries_all_columns(spark, mixed):
     out = quality_rules.keep_good(mixed)
     assert out.columns == mixed.columns and out.filter("doc_id = 0").count() == 2
@@ -257,6 +295,19 @@ def test_contamination_by_brute_force(spark, monkeypatch, block):
     assert clean.columns == frame.columns and clean.count() == sum(not r["contaminated"] for r in found)
 
 
+def test_shared_and_repeated_windows_are_tried_once(spark, monkeypatch):
+    """One word over and over, and a passage in many items, in small slices."""
+    monkeypatch.setattr(decontamination, "SLICE", 100)
+    rng = random.Random(16)
+    passage = _text(rng, 30)
+    items = [(0, "ba " * 300), (1, "ba ba ko")] + [(10 + k, f"{_text(rng, 5)} {passage} {_text(rng, 5)}") for k in range(30)]
+    docs = [(0, "ba " * 900), (1, f"{_text(rng, 9)} {passage}"), (2, "ko ba ba ko"), (3, _text(rng, 50)), (3, _text(rng, 50)), (4, "ba " * 9)]
+    keys = decontamination.item_windows(pa.array(["ba " * 300, passage, passage]))
+    assert len(keys[0]) == 1 + 21 and keys[2][-1] == 1 + 2 * 21
+    found = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter(tuple(r) for r in found.drop("text_hash").collect()) == _contamination_by_hand(docs, items)
+
+
 def test_contamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
