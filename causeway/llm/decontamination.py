@@ -8,8 +8,13 @@ Only where a document has a prefix word is a window tried: the word's place in
 the window fixes where the window starts (positional bound), the whole window
 must fit into the text (length bound), and then all its words are compared.
 
+Equal windows are one window with a list of items, so a passage that many items
+share is tried once.  Where a frequent word is the rarest of many windows, they are
+tried in slices of ``SLICE``, so memory stays bounded.
+
 The index of windows goes to executors in blocks of at most ``BLOCK_BYTES`` of
-benchmark text; a larger benchmark is joined block after block.
+benchmark text; a larger benchmark is joined block after block, and only rows with
+hits are brought together.
 
 Cases
 * null or empty texts and items have no words;
@@ -35,15 +40,18 @@ from causeway.llm.textkit import LOWER, PLAIN, chunks, words
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
+#: Windows that are tried at a time.
+SLICE = 500_000
 
 
 @dataclass
 class Index:
-    """Windows of a block of items: word numbers per window, and windows by their prefix word."""
+    """Distinct windows of a block of items: their words' numbers and items, and windows by prefix word."""
 
     vocabulary: np.ndarray
     window: np.ndarray
     length: np.ndarray
+    item_ends: np.ndarray
     item: np.ndarray
     names: list[str | None]
     prefix_ends: np.ndarray
@@ -65,8 +73,8 @@ def numbered(key: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def item_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes per window (padded with 0), window lengths and item places."""
+def item_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of each distinct window (padded with 0), its length, and offsets and places of its items."""
     rows, lengths, owners = [], [], []
     for chunk in chunks(texts):
         found = words(LOWER[chunk.data], chunk.ends, PLAIN)
@@ -74,20 +82,26 @@ def item_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             key = found.key[found.ends[i] : found.ends[i + 1]]
             size = min(len(key), WINDOW)
             if size:
-                cut = np.lib.stride_tricks.sliding_window_view(key, size)
+                cut = np.unique(np.lib.stride_tricks.sliding_window_view(key, size), axis=0)
                 padded = np.zeros((len(cut), WINDOW), dtype=np.uint64)
                 padded[:, :size] = cut
                 rows.append(padded)
                 lengths.append(np.full(len(cut), size))
                 owners.append(np.full(len(cut), chunk.first + i))
     if not rows:
-        return np.zeros((0, WINDOW), dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(rows), np.concatenate(lengths), np.concatenate(owners)
+        return np.zeros((0, WINDOW), dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    every, length, owner = np.concatenate(rows), np.concatenate(lengths), np.concatenate(owners)
+    order = np.lexsort((owner, *every.T[::-1], length))
+    every, length, owner = every[order], length[order], owner[order]
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = (length[1:] != length[:-1]) | (every[1:] != every[:-1]).any(axis=1)
+    first = np.flatnonzero(new)
+    return every[first], length[first], np.append(first, len(every)), owner
 
 
 def build_index(names: list[str | None], texts: pa.Array, vocabulary: np.ndarray, seen: np.ndarray) -> Index:
     """Order the words of each window by ``seen``, their count in the corpus, and index the rarest."""
-    keys, length, item = item_windows(texts)
+    keys, length, item_ends, item = item_windows(texts)
     inside = np.arange(WINDOW)[None, :] < length[:, None]
     number = np.where(inside, np.searchsorted(vocabulary, keys).clip(0, max(len(vocabulary) - 1, 0)), -1)
     count = np.where(inside, seen[number] if len(seen) else 0, np.iinfo(np.int64).max)
@@ -95,7 +109,7 @@ def build_index(names: list[str | None], texts: pa.Array, vocabulary: np.ndarray
     prefix = number[np.arange(len(number)), place]
     order = np.argsort(prefix, kind="stable")
     ends = np.searchsorted(prefix[order], np.arange(len(vocabulary) + 1))
-    return Index(vocabulary, number, length, item, names, ends, order, place[order])
+    return Index(vocabulary, number, length, item_ends, item, names, ends, order, place[order])
 
 
 def occurrences(index: Index, number: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,19 +117,35 @@ def occurrences(index: Index, number: np.ndarray, ends: np.ndarray) -> tuple[np.
     spot = np.flatnonzero(number >= 0)
     tried = index.prefix_ends[number[spot] + 1] - index.prefix_ends[number[spot]]
     spot, tried = spot[tried > 0], tried[tried > 0]
+    upto = np.concatenate([[0], np.cumsum(tried)])
     first = index.prefix_ends[number[spot]]
-    entry = np.repeat(first - np.concatenate([[0], np.cumsum(tried)[:-1]]), tried) + np.arange(tried.sum()) if len(spot) else np.zeros(0, dtype=np.int64)
-    window = index.prefix_window[entry]
-    word = np.repeat(spot, tried)
-    start = word - index.prefix_place[entry]
-    text = np.searchsorted(ends, word, side="right") - 1
-    fits = (start >= ends[text]) & (start + index.length[window] <= ends[text + 1])
-    start, window = start[fits], window[fits]
-    for k in range(WINDOW):
-        short = index.length[window] <= k
-        same = short | (number[np.minimum(start + k, len(number) - 1)] == index.window[window, k])
-        start, window = start[same], window[same]
-    return start, window
+    starts, windows = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for low in range(0, int(upto[-1]), SLICE):
+        at = np.arange(low, min(low + SLICE, upto[-1]))
+        own = np.searchsorted(upto, at, side="right") - 1
+        entry = first[own] + at - upto[own]
+        window, word = index.prefix_window[entry], spot[own]
+        start = word - index.prefix_place[entry]
+        text = np.searchsorted(ends, word, side="right") - 1
+        fits = (start >= ends[text]) & (start + index.length[window] <= ends[text + 1])
+        start, window = start[fits], window[fits]
+        for k in range(WINDOW):
+            short = index.length[window] <= k
+            same = short | (number[np.minimum(start + k, len(number) - 1)] == index.window[window, k])
+            start, window = start[same], window[same]
+        starts.append(start)
+        windows.append(window)
+    return np.concatenate(starts), np.concatenate(windows)
+
+
+def items_of(index: Index, text: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Distinct pairs of text and item for occurrences of windows in texts."""
+    pairs = np.unique(np.stack([text, window], axis=1), axis=0) if len(text) else np.zeros((0, 2), dtype=np.int64)
+    size = index.item_ends[pairs[:, 1] + 1] - index.item_ends[pairs[:, 1]]
+    at = np.repeat(index.item_ends[pairs[:, 1]] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(pairs) else np.zeros(0, dtype=np.int64)
+    owner, item = np.repeat(pairs[:, 0], size), index.item[at]
+    named = np.array([n is not None for n in index.names], dtype=bool)[item] if len(item) else np.zeros(0, dtype=bool)
+    return np.unique(np.stack([owner[named], item[named]], axis=1), axis=0) if named.any() else np.zeros((0, 2), dtype=np.int64)
 
 
 def _counter(vocabulary):
@@ -136,7 +166,6 @@ def _matcher(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = block.value
         names = np.array([n if n is not None else "" for n in index.names], dtype=object)
-        named = np.array([n is not None for n in index.names], dtype=bool)
         for batch in batches:
             for chunk in chunks(batch.column(2)):
                 found = words(LOWER[chunk.data], chunk.ends, PLAIN)
@@ -156,8 +185,7 @@ def _matcher(block):
                 own = np.searchsorted(found.ends, begin, side="right") - 1
                 ranges = np.stack([begin - found.ends[own], stop - found.ends[own]], axis=1).astype(np.int32).reshape(-1)
                 range_ends = 2 * np.searchsorted(own, np.arange(chunk.rows + 1))
-                good = named[index.item[window]] if len(window) else np.zeros(0, dtype=bool)
-                pairs = np.unique(np.stack([text[good], index.item[window][good]], axis=1), axis=0) if good.any() else np.zeros((0, 2), dtype=np.int64)
+                pairs = items_of(index, text, window)
                 item_ends = np.searchsorted(pairs[:, 0], np.arange(chunk.rows + 1))
                 rows = slice(chunk.first, chunk.first + chunk.rows)
                 yield pa.RecordBatch.from_arrays(
@@ -209,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("name", "body"), F.lit(blocks)) == k)
         table = own.orderBy("name", "body").toArrow()
         texts = table.column("body").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        keys, length, _ = item_windows(texts)
+        keys, length, _, _ = item_windows(texts)
         vocabulary = np.unique(keys[np.arange(WINDOW)[None, :] < length[:, None]])
         known = spark.sparkContext.broadcast(vocabulary)
         counted = source.select("text").mapInArrow(_counter(known), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
@@ -220,12 +248,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
         found.append(source.mapInArrow(_matcher(index), f"doc_id {kind}, text_hash long, n_words long, ranges array<int>, items array<string>"))
     rows = found[0]
     if blocks > 1:
-        for more in found[1:]:
-            rows = rows.union(more)
-        rows = rows.groupBy("doc_id", "text_hash", "n_words").agg(
-            F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"), (F.count("*") / blocks).cast("int").alias("copies")
-        )
-        rows = rows.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+        key = ["doc_id", "text_hash"]
+        hits = [more.filter(F.size("ranges") > 0).select(*key, "ranges", "items", F.lit(k).alias("block")) for k, more in enumerate(found)]
+        hit = hits[0]
+        for more in hits[1:]:
+            hit = hit.union(more)
+        hit = hit.dropDuplicates([*key, "block"]).groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))  # a row per block at most
+        hit = stage(hit.withColumnsRenamed({"doc_id": "h_id", "text_hash": "h_hash"}), "op2-blocks")
+        rows = rows.select(*key, "n_words").join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
+        rows = rows.select(*key, "n_words", F.coalesce("ranges", F.array().cast("array<int>")).alias("ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     out = rows.mapInArrow(_summary, f"doc_id {kind}, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
