@@ -10,6 +10,7 @@ the entries that end at a byte, however its merges are nested.
 Cases
 * null text counts as empty and gives no ids;
 * strings of added tokens in a text become their ids, as the file's tokenizer does;
+* a definition with a normalizer, another splitter or special flags raises ``ValueError``;
 * decoding unknown ids is an error; bytes that are no UTF-8 decode to U+FFFD;
 * repeated rows and null ids are encoded like others;
 * extra columns are carried through.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import ahocorasick
 import numpy as np
@@ -55,11 +57,51 @@ class Pieces(dict):
         return ids
 
 
+def checked(definition: str) -> dict:
+    """The parsed definition; one that asks for more than byte-level pair encoding raises ``ValueError``."""
+    parsed = json.loads(definition)
+    model, before = parsed["model"], parsed.get("pre_tokenizer") or {}
+    faults = [
+        name
+        for name, found in (
+            ("a model other than BPE", model.get("type", "BPE") != "BPE"),
+            ("a normalizer", parsed.get("normalizer") is not None),
+            ("a pre-tokenizer other than ByteLevel with its own pattern", before.get("type") != "ByteLevel" or before.get("use_regex") is False),
+            ("a space before the text", before.get("add_prefix_space", True)),
+            ("ignore_merges", bool(model.get("ignore_merges"))),
+            ("dropout, prefix or suffix", bool(model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))),
+            ("an added token that takes spaces or whole words", any(t.get(k) for t in parsed.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))),
+        )
+        if found
+    ]
+    if faults:
+        raise ValueError("not supported: " + ", ".join(faults))
+    return parsed
+
+
+class Alphabet:
+    """Bytes of every token, end to end: all that decoding needs."""
+
+    def __init__(self, parsed: dict):
+        letters = byte_letters()
+        own = {i: bytes(letters[c] for c in s) for s, i in parsed["model"]["vocab"].items()}
+        own |= {t["id"]: t["content"].encode() for t in parsed.get("added_tokens", [])}
+        size = max(own) + 1
+        self.lengths = np.array([len(own.get(i, b"")) for i in range(size)], dtype=np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.joined = np.frombuffer(b"".join(own.get(i, b"") for i in range(size)), dtype=np.uint8)
+
+    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of all tokens one after the other."""
+        size = self.lengths[ids]
+        first = np.repeat(self.offsets[ids] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(ids) else np.zeros(0, dtype=np.int64)
+        return self.joined[first + np.arange(len(first))]
+
+
 class Coder:
-    """Encoder and decoder of one byte-level vocabulary."""
+    """Encoder of one byte-level vocabulary."""
 
-    def __init__(self, definition: str):
-        parsed = json.loads(definition)
+    def __init__(self, parsed: dict):
         letters = byte_letters()
         vocab: dict[str, int] = parsed["model"]["vocab"]
         self.bytes = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
@@ -82,10 +124,6 @@ class Coder:
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.pieces = Pieces(self)
-        size = max(self.bytes) + 1
-        self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(size)], dtype=np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.joined = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), dtype=np.uint8)
 
     def _border(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens on the border of ``token`` over time, each with the rank of the merge that ends it."""
@@ -168,28 +206,24 @@ class Coder:
                 parts += map(self.pieces.__getitem__, self.find(part))
         return b"".join(parts)
 
-    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of all tokens one after the other."""
-        size = self.lengths[ids]
-        first = np.repeat(self.offsets[ids] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(ids) else np.zeros(0, dtype=np.int64)
-        return self.joined[first + np.arange(len(first))]
-
 
-_CODERS: dict[int, Coder] = {}
+_READY: dict[tuple[type, int], Coder | Alphabet] = {}
 
 
-def _coder(shared) -> Coder:
-    """The coder of a broadcast definition, built once in each Python worker."""
-    if shared.id not in _CODERS:
-        _CODERS.clear()
-        _CODERS[shared.id] = Coder(shared.value)
-    return _CODERS[shared.id]
+def _ready(shared, kind: type) -> Coder | Alphabet:
+    """The coder or alphabet of a broadcast definition, built once in each Python worker."""
+    if (kind, shared.id) not in _READY:
+        for other in [k for k in _READY if k[1] != shared.id]:
+            del _READY[other]
+        _READY[kind, shared.id] = kind(json.loads(shared.value))
+    return _READY[kind, shared.id]
 
 
 class _Shared:
     """A broadcast definition that names itself."""
 
     def __init__(self, spark: SparkSession, definition: str):
+        checked(definition)
         self.sent = spark.sparkContext.broadcast(definition)
         self.id = hash(definition)
 
@@ -211,7 +245,7 @@ def encode(docs: DataFrame, definition: str, *, text: str = "text", ids: str = "
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        coder = _ready(shared, Coder)
         for batch in batches:
             # A few texts at a time bound the memory, however long they are.
             column, first = batch.column(1), 0
@@ -239,7 +273,7 @@ def decode(encoded: DataFrame, definition: str, *, ids: str = "ids", text: str =
     rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        alphabet = _ready(shared, Alphabet)
         for batch in batches:
             lists = batch.column(1)
             ends = lists.offsets.to_numpy()
@@ -248,8 +282,8 @@ def decode(encoded: DataFrame, definition: str, *, ids: str = "ids", text: str =
             while first < batch.num_rows:
                 stop = max(first + 1, int(np.searchsorted(ends, ends[first] + 500_000, side="right")) - 1)
                 own = values[ends[first] : ends[stop]]
-                raw = coder.decode_bytes(own)
-                size = np.concatenate([[0], np.cumsum(coder.lengths[own])])
+                raw = alphabet.decode_bytes(own)
+                size = np.concatenate([[0], np.cumsum(alphabet.lengths[own])])
                 cuts = size[ends[first : stop + 1] - ends[first]]
                 view = raw.tobytes()
                 texts = [view[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
@@ -261,12 +295,24 @@ def decode(encoded: DataFrame, definition: str, *, ids: str = "ids", text: str =
 
 
 def round_trip(docs: DataFrame, definition: str, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digest of encoding and decoding: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
-    encoded = encode(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), definition)
-    back = decode(encoded, definition)
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    """Digest of encoding and decoding: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    Both ways run in one Python worker, so ids do not travel back and forth.
+    """
+    shared = _Shared(docs.sparkSession, definition)
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, alphabet = _ready(shared, Coder), _ready(shared, Alphabet)
+        for batch in batches:
+            counts, ids_sums, text_sums = [], [], []
+            for body in batch.column(1):
+                ids = np.frombuffer(coder.encode(body.as_py()), dtype="<i4")
+                decoded = alphabet.decode_bytes(ids).tobytes().decode("utf-8", "replace")
+                counts.append(len(ids))
+                ids_sums.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                text_sums.append(sha256(decoded.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sums, pa.string()), pa.array(text_sums, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -107,8 +107,16 @@ def test_encoding_equals_the_library(spark, definition):
     assert bpe.round_trip(df.limit(0), definition).count() == 0
 
 
+def test_unsupported_definitions_raise(definition):
+    import json
+
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True})):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.checked(json.dumps(json.loads(definition) | {key: value}))
+
+
 def test_every_token_encodes_as_by_merging(definition):
-    coder = bpe.Coder(definition)
+    coder = bpe.Coder(bpe.checked(definition))
 
     def merged(data: bytes) -> list[int]:
         ids = [coder.single[b] for b in data]
