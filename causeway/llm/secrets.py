@@ -23,6 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.staging import stage
+
+#: Candidate rows up to which their join broadcasts them (about 30 bytes each); beyond it texts are shuffled.
+BROADCAST_CANDIDATES = 200_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -211,7 +216,12 @@ def _found(docs: DataFrame, carry: list[str], id_column: str, text: str, rules:
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
     trigrams = sorted(set().union(*(trigrams_of(q) for q in queries.values())))
     maybe = candidates(postings(keyed, trigrams), queries)
-    joined = keyed.join(maybe, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_hash") == F.col("c_hash")), "left")
+    some = F.lit(False)
+    for kind in queries:
+        some = some | F.col(f"maybe_{kind}")
+    maybe = stage(maybe.filter(some), "op1-candidates")
+    few = maybe.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+    joined = keyed.join(F.broadcast(maybe) if few else maybe, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_hash") == F.col("c_hash")), "left")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     every = [
         F.when(F.col(f"maybe_{r.kind}"), _spans(r, k, F.col("text"))).otherwise(none) if r.kind in queries else _spans(r, k, F.col("text"))
