@@ -24,6 +24,7 @@ Cases
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,24 +200,25 @@ def _head(table: DataFrame, count: str) -> int:
 
 
 def _sent(table: DataFrame, value: str):
-    """Lookup of a head table, which holds at most ``HEAD`` rows."""
+    """A token and the broadcast of a head table, which holds at most ``HEAD`` rows."""
     rows = table.select("key", value).toArrow()
     keys = rows.column("key").to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64)
     values = rows.column(value).to_numpy() if rows.num_rows else np.zeros(0)
     order = np.argsort(keys)
-    return table.sparkSession.sparkContext.broadcast((keys[order].view(np.uint64), values[order].astype(np.float64)))
+    return uuid.uuid4().hex, table.sparkSession.sparkContext.broadcast((keys[order].view(np.uint64), values[order].astype(np.float64)))
 
 
-_READY: dict[int, Lookup] = {}
+_READY: dict[str, Lookup] = {}
 
 
 def _lookup(sent) -> Lookup:
-    key = sent._jid if hasattr(sent, "_jid") and sent._jid is not None else id(sent)
-    if key not in _READY:
+    """Lookup of a sent table, built once in each Python worker and known by the token that the driver drew."""
+    token, table = sent
+    if token not in _READY:
         if len(_READY) >= 2:
             _READY.clear()
-        _READY[key] = Lookup(*sent.value)
-    return _READY[key]
+        _READY[token] = Lookup(*table.value)
+    return _READY[token]
 
 
 def _scorer(depth: int, word_head, gram_head, words_whole: bool, grams_whole: bool, unknown: float, end: float, end_known: int):

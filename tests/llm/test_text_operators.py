@@ -161,6 +161,49 @@ def test_classifier_edges(spark):
     assert quality_classifier.scores(docs.limit(0), one).count() == 0
 
 
+def _statistics_by_hand(text: str) -> list[float]:
+    data = text.encode()
+    found = [w for w in re.split(rb"[ \t-\r]+", data) if w]
+    low = [w.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for w in found]
+    runs = [tuple(low[i : i + 3]) for i in range(max(len(low) - 2, min(len(low), 1)))]
+    size, many = max(len(data), 1), max(len(found), 1)
+    share = lambda keep: sum(keep(b) for b in data) / size
+    return [
+        math.log1p(len(data)), math.log1p(len(found)), sum(map(len, found)) / many, share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57),
+        share(lambda b: chr(b) in "#*$%&|<>@^~=_{}[]\\"), share(lambda b: chr(b) in "!?;:\"'()-/"), share(lambda b: b >= 128), 1 - sum(map(len, found)) / size, share(lambda b: b == 10),
+        len(set(low)) / many, 1 - len(set(runs)) / max(len(runs), 1), sum(len(w) == 1 for w in found) / many, sum(len(w) > 14 for w in found) / many,
+    ]
+
+
+def test_classifier_by_dense_algebra(spark):
+    """Statistics, random cosines, ridge and pooled violators from their definitions, scores equal to 1e-9."""
+    rng = random.Random(21)
+    word = lambda junk: "".join(rng.choice("#$%AX01" if junk and rng.random() < 0.3 else "aeitnsr\u00e9") for _ in range(rng.randint(1, 18)))
+    rows = [(k, " ".join(word(k % 3 == 0) for _ in range(rng.randint(0, 90))) + "\n" * (k % 4)) for k in range(160)]
+    labels = [(k, int(k % 3 != 0) if rng.random() < 0.9 else int(k % 3 == 0)) for k in range(160)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    spare = {r[0] for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(quality_classifier.SPARE)) == 0).select("doc_id").collect()}
+    x, y = np.array([_statistics_by_hand(t) for _, t in rows]), np.array([q for _, q in labels], dtype=float)
+    learnt = np.array([zlib.crc32(str(k).encode()) % 3 != 1 for k in range(160)])
+    ridge, after = learnt & [k not in spare for k in range(160)], learnt & [k in spare for k in range(160)]
+    draw = np.random.default_rng(quality_classifier.SEED)
+    waves, phases = draw.normal(scale=1 / quality_classifier.WIDTH, size=(14, quality_classifier.COSINES)), draw.uniform(0, 2 * np.pi, quality_classifier.COSINES)
+    z = np.clip((x - x[ridge].mean(axis=0)) / np.maximum(x[ridge].std(axis=0), 1e-3), -6, 6)
+    wide = np.column_stack([np.ones(160), np.cos(z @ waves + phases) * math.sqrt(2 / quality_classifier.COSINES)])
+    square = wide[ridge].T @ wide[ridge] + quality_classifier.RIDGE * ridge.sum() * np.diag([0.0] + [1.0] * quality_classifier.COSINES)
+    raw = wide @ np.linalg.solve(square, wide[ridge].T @ y[ridge])
+    cell = np.clip((raw + 1) * 200, 0, 599).astype(int)
+    level = {c: [sum(y[after & (cell == c)]), int((after & (cell == c)).sum())] for c in set(cell[after].tolist())}
+    blocks = [[[c], *level[c]] for c in sorted(level)]
+    while any(a[1] * b[2] >= b[1] * a[2] for a, b in zip(blocks, blocks[1:])):
+        k = next(k for k, (a, b) in enumerate(zip(blocks, blocks[1:])) if a[1] * b[2] >= b[1] * a[2])
+        blocks[k : k + 2] = [[blocks[k][0] + blocks[k + 1][0], blocks[k][1] + blocks[k + 1][1], blocks[k][2] + blocks[k + 1][2]]]
+    centre = [(sum(c * level[c][1] for c in own) / n + 0.5) / 200 - 1 for own, _, n in blocks]
+    expected = np.interp(raw, centre, [g / n for _, g, n in blocks])
+    found = {r["doc_id"]: r["score"] for r in quality_classifier.scores(docs, known).collect()}
+    assert np.allclose([found[k] for k in range(160)], expected, atol=1e-9)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     total = rng.integers(1, 20, 50)
@@ -227,14 +270,15 @@ def test_language_model_by_brute_force(spark, monkeypatch, head):
     texts = [" ".join(rng.choice(["the", "Thing", "was", "né", "over", "x"]) + rng.choice(["", "s", "!"]) for _ in range(rng.randint(1, 25))) for _ in range(40)]
     rows = [*enumerate(texts), (900, None), (901, ""), (902, "\t \n"), (None, "the null id"), (3, texts[3]), (903, "the long one " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
-    found = language_model.scores(df, depth=2).collect()
+    depth = 2 if head == 40 else language_model.DEPTH
+    found = language_model.scores(df, depth=depth).collect()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     train = [t or "" for i, t in rows if not out(i)]
     count: Counter = Counter()
     for t in train:
         count.update([*re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)), "\n"])
     whole, distinct = sum(count.values()), len(count)
-    model = _weighted_by_hand(train, [t or "" for _, t in rows], 2)
+    model = _weighted_by_hand(train, [t or "" for _, t in rows], depth)
     expected = defaultdict(list)
     for (i, t), score in zip(rows, model):
         tokens = [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), "\n"]
@@ -247,6 +291,20 @@ def test_language_model_by_brute_force(spark, monkeypatch, head):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-7)
 
 
+def test_language_models_of_one_session_do_not_mix(spark):
+    """Five tables, one after the other in the same Python workers, against a plain count of words."""
+    for seed in range(5):
+        rng = random.Random(seed)
+        rows = [(k, " ".join(f"w{rng.randint(0, 8 + 4 * seed)}" for _ in range(20))) for k in range(30)]
+        train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1]
+        count = Counter(w for t in train for w in [*t.split(), ""])
+        whole = sum(count.values()) + 0.5 * (len(count) + 1)
+        found = {r["doc_id"]: r for r in language_model.scores(spark.createDataFrame(rows, "doc_id long, text string"), depth=1).collect()}
+        for k, t in rows:
+            assert found[k]["n_known"] == sum(count[w] > 0 for w in [*t.split(), ""])
+            assert found[k]["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.5) / whole) for w in [*t.split(), ""]), rel=1e-9)
+
+
 def test_language_model_without_training_text(spark):
     out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = language_model.scores(spark.createDataFrame([(out, "ab")], "doc_id long, text string"), depth=2).first()
