@@ -117,7 +117,18 @@ def _rules_sql() -> str:
     return "WITH " + ", ".join(parts) + f" SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(dd > 18.467, false) AS kept FROM ({far('gr', 'fi', '', 'LEFT')})"
 
 
+_URL_RULES = rf"""WITH u AS (SELECT page_id, instr(coalesce(url, ''), '://') AS k, coalesce(url, '') AS url FROM pages),
+  v AS (SELECT page_id, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS rest FROM u),
+  h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM v),
+  f AS (SELECT *, '.' || host AS dotted FROM h)
+  SELECT page_id, host, path,
+    CASE WHEN dotted LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN dotted LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN dotted LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN dotted LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule,
+    CASE WHEN dotted LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'allow' WHEN dotted LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'block'
+         WHEN dotted LIKE '%.org' AND starts_with(path, '/fr/') THEN 'allow' WHEN dotted LIKE '%.net' AND starts_with(path, '/') THEN 'block' END AS verdict FROM f"""
+
 ORACLES: dict[str, str] = {
+    "url_rules": _URL_RULES,
     "op1_secret_scans": _secret_sql(),
     "op2_decontamination": _CONTAMINATION,
     "op5_warc": _WARC,

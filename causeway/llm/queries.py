@@ -33,6 +33,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_read(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, the part of the URL filters that SQL can express."""
+    return url_filters.ruled(_read(spark, sf_dir, "pages"))
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(_read(spark, sf_dir, "documents"))
 
@@ -88,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_language_model": op9_language_model,
     "op10_near_duplicates": op10_near_duplicates,
+    "url_rules": url_rules,
 }

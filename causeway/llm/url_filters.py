@@ -127,14 +127,20 @@ def _fits(rule: Rule, host: Column, path: Column) -> Column:
     return ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
 
 
-def judge(pages: DataFrame, *, id_column: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, table: DataFrame | None = None) -> DataFrame:
-    """Verdict of every row: ``page_id``, ``host``, ``path``, ``rule``, ``block_logit`` and ``verdict``."""
-    weights, intercept = train(labelled(pages.sparkSession) if table is None else table)
+def ruled(pages: DataFrame, *, id_column: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``page_id``, ``host``, ``path``, the longest fitting ``rule`` and its ``verdict``; both null if none fits."""
     host, path = parts(F.col(url))
     rows = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), [-ord(c) for c in r.text])):
         fits = _fits(r, F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-    scored = rows.withColumn("block_logit", logit(F.col("host"), F.col("path"), weights, intercept))
-    return scored.select("page_id", "host", "path", rule.alias("rule"), "block_logit", F.coalesce(verdict, F.when(F.col("block_logit") >= 0, "block").otherwise("allow")).alias("verdict"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def judge(pages: DataFrame, *, id_column: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, table: DataFrame | None = None) -> DataFrame:
+    """Verdict of every row: ``page_id``, ``host``, ``path``, ``rule``, ``block_logit`` and ``verdict``."""
+    weights, intercept = train(labelled(pages.sparkSession) if table is None else table)
+    scored = ruled(pages, id_column=id_column, url=url, rules=rules).withColumn("block_logit", logit(F.col("host"), F.col("path"), weights, intercept))
+    own = F.when(F.col("block_logit") >= 0, "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", "rule", "block_logit", F.coalesce("verdict", own).alias("verdict"))
