@@ -27,6 +27,9 @@ DATA = "/root/testdata/sf0.001"
         ("<article><p>one <b>two</b>\nthree</p><script>var t='</p>';</script><p>four</article><footer>f</footer><p>outside", "one two three\nfour"),
         ("<div id=cookie-notice>c</div><main><section class='share-buttons'>s</section><p>kept</main>", "kept"),
         ("<p>a</p></div></p><!-- <p>no --><p>b<!-- open", "a\nb"),
+        ('<main><article>Story</article><article class="comment"><p>Reader says hi</p></article></main>', "Story"),
+        ('<article><p>A</p><section class="related-work"><p>Body section</p></section><div class="related-posts">r</div></article>', "A\nBody section"),
+        ("<div>" * 3000 + "deep<p>down</p>" + "</div>" * 2999 + "up", "deep\ndown\nup"),
         ("<ul><li>x<li>y</ul><table><tr><td>1<td>2</table>", "x\ny\n1\n2"),
     ],
 )
@@ -69,6 +72,18 @@ def test_alignment_reads_inside_marked_parts(spark):
     assert html_extraction.main_text(inside(3)) == "By our staff\nTitle 3\nShare this story\nStory 3 told\nRead more 3 here"
 
 
+def test_template_of_merged_trees(spark):
+    """Neutral names, no article mark, more than a thousand nodes, one odd page: what pages share goes, wherever it stands."""
+    rows = []
+    for k in range(30):
+        parts = "".join(f"<div class=a{j % 2}><b>part {j} of {k}</b></div>" for j in range(700))
+        extra = "<div class=q><i>Only on some pages</i></div>" if k % 2 else ""
+        rows.append((k, f"http://long.test/{k}", f"<body><div class=x1><span>Our site</span></div>{extra}<div class=x2>{parts}</div><div class=x3><span>Printed in town</span></div></body>"))
+    rows += [(-1, "http://long.test/odd", "<body><p>Gone</p></body>"), (-2, "http://long.test/none", None)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(f"part {j} of {k}" for j in range(700)) for k in range(30)) and got[-1] == "Gone" and got[-2] == ""
+
+
 def test_tree_matching_keeps_order():
     tree = lambda *kids: ["x", 0, list(kids)]
     leaf = lambda name: [name, 0, []]
