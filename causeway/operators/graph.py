@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import roads
@@ -107,33 +107,94 @@ def weak_components(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
     raise NoConvergence(f"weak components after {rounds} rounds")
 
 
-def nearest_facility(edges: DataFrame, facilities: DataFrame, *, closed: DataFrame | None = None, scenarios: DataFrame | None = None, rounds: int = 500) -> DataFrame:
+def missing_nodes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes that a way names and ``nodes(node_id, ...)`` lacks, as ``(way_id, node)``."""
+    named = ways.select("way_id", F.explode("nodes").alias("node"))
+    return named.join(nodes.select(F.col("node_id").alias("node")), "node", "left_anti").select("way_id", "node")
+
+
+def build(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roads.SPEEDS_KMH) -> DataFrame:
+    """Directed edges as a staged table; a missing node, a position that is no number or an empty graph raises ``ValueError``."""
+    ways = stage(ways, "ways")
+    lost = missing_nodes(ways, nodes).first()
+    if lost is not None:
+        raise ValueError(f"way {lost['way_id']} names the missing node {lost['node']}")
+    if not nodes.filter(~_finite("x_m") | ~_finite("y_m")).isEmpty():
+        raise ValueError("a node has no finite position")
+    edges = stage(directed(segments(ways, nodes, defaults)), "edges")
+    if edges.isEmpty():
+        raise ValueError("the graph has no edge")
+    return edges
+
+
+def _finite(name: str) -> Column:
+    value = F.col(name)
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
+def _relaxed(state: DataFrame, roads_in: DataFrame) -> DataFrame:
+    """One hop: nodes that improved offer their cost to the nodes before them."""
+    front = state.filter("fresh").select("key", F.col("node").alias("from_node"), "cost")
+    offers = front.join(roads_in, "from_node").filter(~F.array_contains("shut", F.col("key")))
+    offers = offers.select("key", F.col("to_node").alias("node"), (F.col("cost") + F.col("cost_seconds")).alias("cost"), F.lit(None).cast("double").alias("old"))
+    merged = state.select("key", "node", "cost", F.col("cost").alias("old")).unionByName(offers).groupBy("key", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
+    return merged.select("key", "node", "cost", (F.col("old").isNull() | (F.col("cost") < F.col("old"))).alias("fresh"))
+
+
+def _shared_names(solved: DataFrame, sources: DataFrame, roads_in: DataFrame, rounds: int) -> DataFrame:
+    """Least facility that each node reaches along edges of cheapest paths, as ``(key, node, facility_id)``."""
+    down = solved.select("key", F.col("node").alias("from_node"), F.col("cost").alias("rest"))
+    tight = roads_in.join(down, "from_node").filter(~F.array_contains("shut", F.col("key")))
+    tight = tight.join(solved.select("key", F.col("node").alias("to_node"), "cost"), ["key", "to_node"]).filter(F.col("cost") == F.col("rest") + F.col("cost_seconds"))
+    tight = stage(tight.select("key", "from_node", "to_node"), "path-tight")
+    named = stage(solved.filter("cost = 0").select("key", "node").join(sources, "node").select("key", "node", "facility_id", F.lit(True).alias("fresh")), "path-names")
+    for _ in range(rounds):
+        told = named.filter("fresh").select("key", F.col("node").alias("from_node"), "facility_id").join(tight, ["key", "from_node"])
+        told = told.select("key", F.col("to_node").alias("node"), "facility_id", F.lit(None).cast("string").alias("old"))
+        merged = named.select("key", "node", "facility_id", F.col("facility_id").alias("old")).unionByName(told).groupBy("key", "node").agg(F.min("facility_id").alias("facility_id"), F.min("old").alias("old"))
+        named = stage(merged.select("key", "node", "facility_id", (F.col("old").isNull() | (F.col("facility_id") < F.col("old"))).alias("fresh")), "path-names")
+        if named.filter("fresh").isEmpty():
+            return named.select("key", "node", "facility_id")
+    raise NoConvergence(f"facilities after {rounds} rounds")
+
+
+def nearest_facility(
+    edges: DataFrame, facilities: DataFrame, *, closed: DataFrame | None = None, scenarios: DataFrame | None = None, strict: bool = True, rounds: int = 5_000
+) -> DataFrame:
     """Cheapest cost and nearest facility of every node that reaches one, for all scenarios at once.
 
     ``edges(edge_id, segment_id, source, target, cost_seconds)``;
     ``facilities(facility_id, node)``; ``closed(scenario_key, segment_id)`` lists
-    removed segments; ``scenarios(scenario_key)`` the keys to solve, one unnamed
-    key by default.  Costs spread backwards from the facilities; each round only
-    the nodes that improved in the last one send offers.  Equal costs go to the
-    least facility.
+    removed segments; ``scenarios(scenario_key)`` the keys to solve (a small
+    parameter table), one unnamed key by default.  Each edge carries the keys that
+    close it, so no round joins the closures.  Costs spread backwards from the
+    facilities, two hops a round; only nodes that improved send offers, and offers
+    are plain numbers that tasks reduce before they are dealt.  Facilities follow
+    along edges of cheapest paths; equal costs go to the least facility.  With
+    ``strict`` a facility outside the graph raises ``ValueError``; else it is left out.
     """
     spark = edges.sparkSession
-    keys = scenarios if scenarios is not None else spark.createDataFrame([("baseline",)], "scenario_key string")
-    roads_in = stage(edges.select("segment_id", F.col("source").alias("to_node"), F.col("target").alias("from_node"), "cost_seconds").repartition("from_node"), "path-edges")
-    open_nodes = roads_in.select(F.col("to_node").alias("node")).union(roads_in.select("from_node")).distinct()
-    sources = facilities.join(open_nodes, "node").select("node", "facility_id")
-    state = keys.crossJoin(F.broadcast(sources)).groupBy("scenario_key", "node").agg(F.min(F.struct(F.lit(0.0).alias("cost"), F.col("facility_id").alias("facility"))).alias("best")).withColumn("fresh", F.lit(True))
-    state = stage(state, "path-state")
+    names = sorted(r[0] for r in scenarios.select("scenario_key").distinct().collect()) if scenarios is not None else ["baseline"]
+    keys = spark.createDataFrame(list(enumerate(names)), "key int, scenario_key string")
+    roads_in = edges.select("segment_id", F.col("source").alias("to_node"), F.col("target").alias("from_node"), "cost_seconds")
+    if closed is not None:
+        shut = closed.join(F.broadcast(keys), "scenario_key").groupBy("segment_id").agg(F.collect_set("key").alias("shut"))  # at most all keys
+        roads_in = roads_in.join(shut, "segment_id", "left")
+    else:
+        roads_in = roads_in.withColumn("shut", F.lit(None).cast("array<int>"))
+    roads_in = roads_in.select("from_node", "to_node", "cost_seconds", F.coalesce("shut", F.array().cast("array<int>")).alias("shut"))
+    roads_in = stage(roads_in.repartition("from_node"), "path-edges")
+    inside = roads_in.select(F.col("to_node").alias("node")).union(roads_in.select("from_node")).distinct()
+    if strict and not facilities.join(inside, "node", "left_anti").isEmpty():
+        raise ValueError("a facility lies outside the graph")
+    sources = stage(facilities.join(inside, "node").groupBy("node").agg(F.min("facility_id").alias("facility_id")), "path-sources")
+    state = stage(keys.select("key").crossJoin(sources.select("node")).select("key", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")), "path-state")
     for _ in range(rounds):
-        front = state.filter("fresh").select("scenario_key", F.col("node").alias("from_node"), "best")
-        offers = front.join(roads_in, "from_node")
-        if closed is not None:
-            offers = offers.join(closed, ["scenario_key", "segment_id"], "left_anti")
-        offers = offers.select("scenario_key", F.col("to_node").alias("node"), F.struct((F.col("best.cost") + F.col("cost_seconds")).alias("cost"), F.col("best.facility").alias("facility")).alias("best"), F.lit(False).alias("kept"))
-        merged = state.select("scenario_key", "node", "best", F.lit(True).alias("kept")).unionByName(offers).groupBy("scenario_key", "node").agg(F.min("best").alias("best"), F.min(F.when(F.col("kept"), F.col("best"))).alias("old"))
-        state = stage(merged.select("scenario_key", "node", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")), "path-state")
+        state = stage(_relaxed(_relaxed(state, roads_in), roads_in), "path-state")
         if state.filter("fresh").isEmpty():
-            return state.select("scenario_key", "node", F.col("best.cost").alias("cost_seconds"), F.col("best.facility").alias("facility_id"))
+            named = _shared_names(state, sources, roads_in, rounds)
+            out = state.join(named, ["key", "node"]).join(F.broadcast(keys), "key")
+            return out.select("scenario_key", "node", F.col("cost").alias("cost_seconds"), "facility_id")
     raise NoConvergence(f"shortest paths after {rounds} rounds")
 
 
@@ -181,6 +242,11 @@ def cheapest(edges: DataFrame, origin: str, facility: str, policy: str = "baseli
     states = {"baseline": [], "exposed_only": ["exposed"], "conservative": ["exposed", "unknown"]}
     if policy not in states:
         raise ValueError(f"unknown policy {policy!r}")
+    cost = F.col("cost").cast("double")
+    named = (F.length(F.col("source")) > 0) & (F.length(F.col("target")) > 0)
+    fine = named & cost.isNotNull() & ~F.isnan(cost) & (cost >= 0) & (cost < float("inf")) & F.col("state").isin("clear", "exposed", "unknown")
+    if not edges.filter(~F.coalesce(fine, F.lit(False))).isEmpty():
+        raise ValueError("an edge has no endpoint, a cost that is negative or no number, or an unknown state")
     known = edges.select(F.col("source").alias("n")).union(edges.select("target")).distinct().filter(F.col("n").isin(origin, facility)).count()
     if known < len({origin, facility}):
         raise ValueError("a node is not in the graph")

@@ -37,7 +37,7 @@ VIEWS: dict[str, str] = {
         SELECT concat(replace(n_name, ' ', '-'), '_', CASE WHEN s_suppkey % 17 = 3 THEN s_suppkey + 1000000 ELSE s_suppkey END) AS chip,
                CASE WHEN s_suppkey % 23 = 5 THEN 'train' WHEN n_regionkey <= 2 THEN 'train' WHEN n_regionkey = 3 THEN 'validation' ELSE 'final_test' END AS official_split
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
-    # Ways are every tenth order, their nodes the parts of its lines.
+    # Ways are the orders, their nodes the parts of its lines; facilities are the parts of the largest size, origins all parts.
     "way_v": """
         SELECT o_orderkey AS way_id,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'primary' WHEN '2' THEN 'secondary' WHEN '3' THEN 'tertiary' WHEN '4' THEN 'residential' ELSE 'track' END AS highway,
@@ -48,17 +48,23 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_custkey % 13 = 0 THEN 'yes' END AS tunnel,
                CASE o_custkey % 4 WHEN 0 THEN '1' WHEN 1 THEN 'x' END AS layer,
                CASE WHEN o_custkey % 17 = 0 THEN 'roundabout' END AS junction
-        FROM {orders} WHERE o_orderkey % 10 = 0""",
+        FROM {orders}""",
     "way_node_v": """
         SELECT l_orderkey AS way_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx,
                l_partkey AS node, l_discount, l_tax
-        FROM {lineitem} WHERE l_orderkey % 10 = 0""",
+        FROM {lineitem}""",
     "node_v": """
         SELECT p_partkey AS node_id, cast(p_partkey * 7919 % 1000 AS double) AS x_m, cast(p_partkey * 104729 % 1009 AS double) AS y_m FROM {part}""",
     "facility_v": """
-        SELECT concat('f', p_partkey) AS facility_id, p_partkey AS node FROM {part} WHERE p_partkey IN (3, 50, 140)""",
+        SELECT concat('f', p_partkey) AS facility_id, p_partkey AS node FROM {part} WHERE p_size = 50""",
     "origin_v": """
-        SELECT concat('o', p_partkey) AS origin_id, p_partkey AS node FROM {part} WHERE p_partkey % 20 = 1""",
+        SELECT concat('o', p_partkey) AS origin_id, p_partkey AS node FROM {part}""",
+    # Pixels of 25 m over the plane of the nodes, from the lines of the parts that lie there.
+    "surface_v": """
+        SELECT px_row, px_col, count(*) % 7 <> 0 AS eligible, avg(l_discount * 10) AS p, cast(count(*) % 3 AS int) AS flags
+        FROM (SELECT cast(floor((p_partkey * 104729 % 1009) / 25) AS bigint) AS px_row, cast(floor((p_partkey * 7919 % 1000) / 25) AS bigint) AS px_col, l_discount
+              FROM {lineitem} JOIN {part} ON l_partkey = p_partkey)
+        GROUP BY px_row, px_col""",
     "point_v": """
         SELECT c_custkey AS point_id, (c_custkey * 7907 % 10007) / 10e0 AS x_m, (c_custkey * 104723 % 10009) / 10e0 AS y_m FROM {customer}""",
     "tag_v": """

@@ -7,7 +7,7 @@ from causeway.plans.pixel_oracles import ctes
 
 _SPEED = "CASE highway WHEN 'primary' THEN 70e0 WHEN 'secondary' THEN 60e0 WHEN 'tertiary' THEN 50e0 WHEN 'residential' THEN 30e0 END"
 _STATED = "CASE WHEN regexp_matches(lower(maxspeed), '^\\s*\\d+(\\.\\d+)?\\s*(mph|km/h|kph)?\\s*$') THEN regexp_extract(maxspeed, '\\d+(\\.\\d+)?')::DOUBLE * CASE WHEN lower(maxspeed) LIKE '%mph%' THEN 1.609344e0 ELSE 1e0 END END"
-_WAYS = ctes("way_v", "way_node_v", "node_v", "facility_v", "origin_v") + f""", w0 AS (SELECT *, {_STATED} AS stated, {_SPEED} AS fallback,
+_WAYS = ctes("way_v", "way_node_v", "node_v", "facility_v", "origin_v", "surface_v") + f""", w0 AS (SELECT *, {_STATED} AS stated, {_SPEED} AS fallback,
   CASE WHEN highway NOT IN ('primary', 'secondary', 'tertiary', 'residential') THEN 'class_outside_contract' WHEN access = 'private' THEN 'motor_access_restricted_or_area' WHEN oneway = 'reversible' THEN 'unsupported_direction' END AS reject_reason,
   CASE WHEN oneway = 'yes' THEN 1 WHEN oneway = '-1' THEN -1 WHEN oneway IS NOT NULL THEN NULL WHEN junction = 'roundabout' THEN 1 ELSE 0 END AS direction,
   CASE WHEN oneway = 'yes' THEN 'explicit_forward' WHEN oneway = '-1' THEN 'explicit_reverse' WHEN oneway IS NOT NULL THEN 'unsupported_oneway:' || oneway WHEN junction = 'roundabout' THEN 'inferred_one_way' ELSE 'assumed_two_way_unmarked' END AS direction_source,
@@ -38,8 +38,8 @@ def _spread(keys: str, barred: bool) -> str:
     bar = "WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.scenario_key = d.scenario_key AND cl.segment_id = e.segment_id)" if barred else ""
     return f""", d AS (SELECT 0 AS hop, k.scenario_key, f.node, 0e0 AS cost, min(f.facility_id) AS facility FROM ({keys}) k CROSS JOIN facility_v f WHERE f.node IN (SELECT s FROM ed UNION SELECT t FROM ed) GROUP BY k.scenario_key, f.node
  UNION ALL SELECT hop + 1, scenario_key, node, cost, facility FROM (SELECT *, row_number() OVER (PARTITION BY scenario_key, node ORDER BY cost, facility) AS n FROM
- (SELECT hop, scenario_key, node, cost, facility FROM d UNION ALL SELECT d.hop, d.scenario_key, e.s, d.cost + e.cost, d.facility FROM d JOIN ed e ON e.t = d.node {bar})) WHERE n = 1 AND hop < 70),
- sv AS (SELECT scenario_key, node, cost, facility FROM d WHERE hop = 70) """
+ (SELECT hop, scenario_key, node, cost, facility FROM d UNION ALL SELECT d.hop, d.scenario_key, e.s, d.cost + e.cost, d.facility FROM d JOIN ed e ON e.t = d.node {bar})) WHERE n = 1 AND hop < 24),
+ sv AS (SELECT scenario_key, node, cost, facility FROM d WHERE hop = 24) """
 
 
 _BASE = _spread("SELECT 'baseline' AS scenario_key", False)
@@ -61,7 +61,7 @@ _CLIP = f""", c0 AS (SELECT *, greatest(0e0, {_edge('ax', '(bx - ax)', _BOX[0],
  least(1e0, {_edge('ax', '(bx - ax)', _BOX[0], _BOX[2], 'greatest', '1e0')}, {_edge('ay', '(by_ - ay)', _BOX[1], _BOX[3], 'greatest', '1e0')}) AS t1,
  (bx <> ax OR ax BETWEEN {_BOX[0]} AND {_BOX[2]}) AND (by_ <> ay OR ay BETWEEN {_BOX[1]} AND {_BOX[3]}) AS fine FROM sg), cp AS (SELECT *, (t1 - t0) * length_m AS within_m FROM c0 WHERE fine AND t0 <= t1) """
 _SAMPLES = """, n0 AS (SELECT *, greatest(1, cast(ceil(within_m / 15e0) AS BIGINT)) AS n FROM cp WHERE within_m > 0), sm AS (SELECT segment_id, length_m, within_m, within_m / n AS weight, ax + (t0 + (t1 - t0) * ((i + 0.5e0) / n)) * (bx - ax) AS x, ay + (t0 + (t1 - t0) * ((i + 0.5e0) / n)) * (by_ - ay) AS y FROM (SELECT *, unnest(range(0, n)) AS i FROM n0)) """
-_ROADEV = """, pe AS (SELECT r AS px_row, c AS px_col, (r * 37 + c * 101) % 97 % 7 <> 0 AS eligible, ((r * 37 + c * 101) % 97) / 97e0 AS p, (r * 37 + c * 101) % 97 % 3 AS flags FROM range(0, 40) a(r) CROSS JOIN range(0, 40) b(c)),
+_ROADEV = """, pe AS MATERIALIZED (SELECT * FROM surface_v),
  re AS (SELECT segment_id, any_value(length_m) AS length_m, any_value(within_m) AS within_tile_m, coalesce(sum(weight) FILTER (eligible), 0e0) AS supported_m, coalesce(sum(weight) FILTER (eligible AND abs(p - 0.5e0) > 0.15e0), 0e0) AS retained_m,
  coalesce(sum(weight) FILTER (eligible AND flags <> 0), 0e0) AS flagged_m, coalesce(sum(weight) FILTER (eligible AND p >= 0.5e0), 0e0) AS water_m, sum(weight * p) FILTER (eligible) AS weighted
  FROM sm LEFT JOIN pe ON px_row = cast(floor(y / 25e0) AS BIGINT) AND px_col = cast(floor(x / 25e0) AS BIGINT) GROUP BY 1) """
@@ -73,11 +73,11 @@ def _turn(a: str, b: str, c: str) -> str:
 
 
 _P = [f"l.{x}/l.{y}" for x, y in (("ax", "ay"), ("bx", "by_"))] + [f"r.{x}/r.{y}" for x, y in (("ax", "ay"), ("bx", "by_"))]
-_CROSS = f""", cr AS (SELECT l.segment_id AS left_id, r.segment_id AS right_id, l.is_bridge OR r.is_bridge OR l.is_tunnel OR r.is_tunnel OR l.level IS DISTINCT FROM r.level AS grade_tagged FROM sg l JOIN sg r ON l.segment_id < r.segment_id
+_CROSS = f""", sx AS MATERIALIZED (SELECT * REPLACE (way_id * 8e0 + a * 7919 % 97 AS ax, (a * 104729 % 401)::DOUBLE AS ay, way_id * 8e0 + b * 7919 % 97 AS bx, (b * 104729 % 401)::DOUBLE AS by_) FROM sg), cr AS (SELECT l.segment_id AS left_id, r.segment_id AS right_id, l.is_bridge OR r.is_bridge OR l.is_tunnel OR r.is_tunnel OR l.level IS DISTINCT FROM r.level AS grade_tagged FROM sx l JOIN sx r ON l.segment_id < r.segment_id
  AND least(l.ax, l.bx) <= greatest(r.ax, r.bx) AND least(r.ax, r.bx) <= greatest(l.ax, l.bx) WHERE l.a NOT IN (r.a, r.b) AND l.b NOT IN (r.a, r.b)
  AND {_turn(_P[0], _P[1], _P[2])} * {_turn(_P[0], _P[1], _P[3])} < 0 AND {_turn(_P[2], _P[3], _P[0])} * {_turn(_P[2], _P[3], _P[1])} < 0) """
 _COMP = """, li AS (SELECT s AS u, t AS v FROM ed UNION SELECT t, s FROM ed), co AS (SELECT 0 AS hop, u AS node, u AS component FROM (SELECT DISTINCT u FROM li)
- UNION ALL SELECT hop + 1, node, min(component) FROM (SELECT hop, node, component FROM co UNION ALL SELECT co.hop, li.v, co.component FROM co JOIN li ON li.u = co.node) WHERE hop < 70 GROUP BY hop, node), wc AS (SELECT node, component FROM co WHERE hop = 70) """
+ UNION ALL SELECT hop + 1, node, min(component) FROM (SELECT hop, node, component FROM co UNION ALL SELECT co.hop, li.v, co.component FROM co JOIN li ON li.u = co.node) WHERE hop < 24 GROUP BY hop, node), wc AS (SELECT node, component FROM co WHERE hop = 24) """
 _RING = [(100, 100), (800, 200), (600, 900), (400, 500), (100, 100)]
 _SIDES = list(zip(_RING, _RING[1:]))
 _COVER = " + ".join(f"CASE WHEN ({p[1]} > y_m) <> ({q[1]} > y_m) AND x_m < ({q[0]} - {p[0]}) * (y_m - {p[1]}) / ({q[1]} - {p[1]})::DOUBLE + {p[0]} THEN 1 ELSE 0 END" for p, q in _SIDES)
@@ -104,14 +104,14 @@ ORACLES: dict[str, str] = {
     "closure_ids": _W + _closed() + "SELECT scenario_key, segment_id, reason FROM cl",
     "closure_reasons": _W + _closed() + "SELECT scenario_key, reason, count(*) AS segments FROM cl GROUP BY 1, 2",
     "policy_grid": _W + _closed() + "SELECT scenario_key, scenario_id, policy, rule AS bridge_rule, (SELECT count(*) FROM origin_v) AS origins FROM ky",
-    "batched_scenario_cost": _W + _access(["wet_05"]) + "SELECT scenario_key, count(*) AS reached_nodes, round(sum(cost), 3) AS total_cost_seconds FROM sv GROUP BY 1",
-    "access_rows": _W + _access(["wet_05"]) + "SELECT scenario_key, origin_id, facility AS nearest_facility_id, round(cost, 6) AS estimated_cost_seconds, round(base, 6) AS baseline_cost_seconds, round(delta, 6) AS cost_delta_seconds, base IS NULL AS baseline_unreachable, base IS NOT NULL AND cost IS NULL AS newly_disconnected, CASE WHEN cost IS NULL THEN 'no_graph_path' END AS reason FROM ar",
+    "batched_scenario_cost": _W + _access() + "SELECT scenario_key, count(*) AS reached_nodes, round(sum(cost), 3) AS total_cost_seconds FROM sv GROUP BY 1",
+    "access_rows": _W + _access() + "SELECT scenario_key, origin_id, facility AS nearest_facility_id, round(cost, 6) AS estimated_cost_seconds, round(base, 6) AS baseline_cost_seconds, round(delta, 6) AS cost_delta_seconds, base IS NULL AS baseline_unreachable, base IS NOT NULL AND cost IS NULL AS newly_disconnected, CASE WHEN cost IS NULL THEN 'no_graph_path' END AS reason FROM ar",
     "access_summary_by_policy": _W + _access() + """SELECT scenario_id, policy, rule AS bridge_rule, count(*) AS origins, count(*) FILTER (base IS NULL) AS baseline_unreachable, count(*) FILTER (base IS NOT NULL AND cost IS NULL) AS newly_disconnected, count(delta) AS paired_reachable,
         round(avg(delta), 5) AS mean_increase_seconds, round(max(delta), 6) AS greatest_increase_seconds, count(*) FILTER (delta < -1e-7) AS improved FROM ar JOIN ky ON ar.scenario_key = ky.scenario_key GROUP BY 1, 2, 3""",
-    "ranking_reversals": _W + _access(["wet_05"]) + """, pr AS (SELECT a.scenario_key, (a.base < b.base) <> (a.cost < b.cost) AS flipped FROM ar a JOIN ar b ON a.scenario_key = b.scenario_key AND a.origin_id < b.origin_id WHERE a.delta IS NOT NULL AND b.delta IS NOT NULL
+    "ranking_reversals": _W + _access() + """, pr AS (SELECT a.scenario_key, (a.base < b.base) <> (a.cost < b.cost) AS flipped FROM ar a JOIN ar b ON a.scenario_key = b.scenario_key AND a.origin_id < b.origin_id WHERE a.delta IS NOT NULL AND b.delta IS NOT NULL
         AND abs(a.base - b.base) > 1e-9 * greatest(abs(a.base), abs(b.base)) AND abs(a.cost - b.cost) > 1e-9 * greatest(abs(a.cost), abs(b.cost))) SELECT scenario_key, count(*) AS comparable_pairs, count(*) FILTER (flipped) AS reversed_pairs, round(count(*) FILTER (flipped) / count(*)::DOUBLE, 6) AS reversal_fraction FROM pr GROUP BY 1""",
-    "access_stability": _W + _access(["wet_05", "wet_08"]) + "SELECT origin_id, count(*) AS members, count(cost) AS reachable_members, round(min(cost), 6) AS least_cost_seconds, round(max(cost), 6) AS greatest_cost_seconds, count(*) FILTER (base IS NOT NULL AND cost IS NULL) AS newly_disconnected FROM ar GROUP BY 1",
-    "origin_table_sorted": _W + _access(["wet_05"]) + "SELECT origin_id, round(cost, 6) AS estimated_cost_seconds, row_number() OVER (ORDER BY cost NULLS LAST, origin_id) AS place FROM ar WHERE scenario_key = 'wet_05|supported_overlap|bridge_exempt'",
+    "access_stability": _W + _access() + "SELECT origin_id, count(*) AS members, count(cost) AS reachable_members, round(min(cost), 6) AS least_cost_seconds, round(max(cost), 6) AS greatest_cost_seconds, count(*) FILTER (base IS NOT NULL AND cost IS NULL) AS newly_disconnected FROM ar GROUP BY 1",
+    "origin_table_sorted": _W + _access() + "SELECT origin_id, round(cost, 6) AS estimated_cost_seconds, row_number() OVER (ORDER BY cost NULLS LAST, origin_id) AS place FROM ar WHERE scenario_key = 'wet_05|supported_overlap|bridge_exempt'",
     "scenario_lookup": _W + _closed() + "SELECT segment_id, reason FROM cl WHERE scenario_key = 'wet_05|retained_overlap|bridge_candidate'",
     "road_lookup": _W + _closed() + "SELECT sg.segment_id, highway, CASE WHEN seen THEN 'within_image' ELSE 'outside_image_unknown' END AS state, CASE WHEN seen THEN round(sg.length_m, 6) END AS supported_m, CASE WHEN seen THEN round(retained, 6) END AS retained_m FROM sg JOIN ev ON sg.segment_id = ev.segment_id",
     "export_row": _W + _closed() + """SELECT scenario_key, '{"key":"' || scenario_key || '","closed":' || count(*) || '}' AS document FROM cl GROUP BY scenario_key""",
@@ -123,7 +123,7 @@ ORACLES: dict[str, str] = {
     "segment_clip": _W + _CLIP + "SELECT segment_id, round(t0, 6) AS t0, round(t1, 6) AS t1, round(within_m, 6) AS within_m FROM cp",
     "line_samples": _W + _CLIP + _SAMPLES + "SELECT segment_id, count(*) AS samples, round(sum(weight), 5) AS weight FROM sm GROUP BY 1",
     "road_evidence": _W + _CLIP + _SAMPLES + _ROADEV + """SELECT segment_id, round(length_m, 5) AS length_m, round(within_tile_m, 5) AS within_tile_m, round(supported_m, 5) AS supported_m, round(retained_m, 5) AS retained_m, round(flagged_m, 5) AS flagged_m, round(water_m, 5) AS water_m,
-        round(greatest(0e0, length_m - supported_m), 5) AS unknown_m, round(least(1e0, supported_m / length_m), 5) AS coverage, round(weighted / nullif(supported_m, 0), 5) AS mean_score FROM re""",
+        round(greatest(0e0, length_m - supported_m), 5) AS unknown_m, round(least(1e0, supported_m / length_m) + 1e-9, 6) AS coverage, round(weighted / nullif(supported_m, 0), 5) AS mean_score FROM re""",
     "length_contract": _W + _CLIP + _SAMPLES + _ROADEV + "SELECT count(*) AS segments, count(*) FILTER (within_tile_m > length_m + 1e-5 OR supported_m > within_tile_m + 1e-5 OR retained_m > supported_m + 1e-5 OR water_m > supported_m + 1e-5) AS broken FROM re",
     "crossing_audit": _W + _CROSS + "SELECT count(*) AS crossings, count(*) FILTER (grade_tagged) AS grade_tagged, count(*) FILTER (NOT grade_tagged) AS untagged FROM cr",
     "crossing_examples": _W + _CROSS + "SELECT left_id, right_id, grade_tagged FROM cr ORDER BY left_id, right_id LIMIT 10",

@@ -25,7 +25,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(graph.directed(_segments(spark, sf_dir)), "edges")
+    return graph.build(ways(spark, sf_dir), view(spark, sf_dir, "node_v"))
 
 
 def _solved(spark: SparkSession, sf_dir: str, scenarios: list[str] | None = None) -> dict[str, DataFrame]:
@@ -37,7 +37,7 @@ def _solved(spark: SparkSession, sf_dir: str, scenarios: list[str] | None = None
     grid = access.policy_grid(spark, scenarios or list(SCENARIOS))
     closed = stage(access.closures(segments, seen, water, grid), "closures")
     keys = grid.select("scenario_key").union(spark.createDataFrame([("baseline",)], "scenario_key string"))
-    solved = stage(graph.nearest_facility(edges, facilities, closed=closed.select("scenario_key", "segment_id"), scenarios=keys), "solved")
+    solved = stage(graph.nearest_facility(edges, facilities, closed=closed.select("scenario_key", "segment_id"), scenarios=keys, strict=False), "solved")
     rows = access.access_rows(view(spark, sf_dir, "origin_v"), grid, solved.filter("scenario_key = 'baseline'"), solved.filter("scenario_key <> 'baseline'"))
     return {"edges": edges, "segments": segments, "closed": closed, "grid": grid, "solved": solved, "rows": rows}
 
@@ -82,13 +82,13 @@ def weak_components(spark, sf_dir):
 
 
 def nearest_facility(spark, sf_dir):
-    out = graph.nearest_facility(_edges(spark, sf_dir), view(spark, sf_dir, "facility_v"))
+    out = graph.nearest_facility(_edges(spark, sf_dir), view(spark, sf_dir, "facility_v"), strict=False)
     return out.select("node", _r("cost_seconds"), "facility_id")
 
 
 def path_audit(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    solved = stage(graph.nearest_facility(edges, view(spark, sf_dir, "facility_v")), "solved")
+    solved = stage(graph.nearest_facility(edges, view(spark, sf_dir, "facility_v"), strict=False), "solved")
     hops = stage(graph.next_edges(solved, edges).filter("edge_id IS NOT NULL"), "hops")
     ends = view(spark, sf_dir, "facility_v").select("node")
     hops = hops.join(ends, "node", "left_anti").select("node", "target")
@@ -113,12 +113,12 @@ def policy_grid(spark, sf_dir):
 
 
 def batched_scenario_cost(spark, sf_dir):
-    solved = _solved(spark, sf_dir, ["wet_05"])["solved"]
+    solved = _solved(spark, sf_dir)["solved"]
     return solved.groupBy("scenario_key").agg(F.count("*").alias("reached_nodes"), F.round(F.sum("cost_seconds"), 3).alias("total_cost_seconds"))
 
 
 def access_rows(spark, sf_dir):
-    rows = _solved(spark, sf_dir, ["wet_05"])["rows"]
+    rows = _solved(spark, sf_dir)["rows"]
     return rows.select("scenario_key", "origin_id", "nearest_facility_id", _r("estimated_cost_seconds"), _r("baseline_cost_seconds"), _r("cost_delta_seconds"), "baseline_unreachable", "newly_disconnected", "reason")
 
 
@@ -133,19 +133,19 @@ def access_summary_by_policy(spark, sf_dir):
 
 
 def ranking_reversals(spark, sf_dir):
-    rows = _solved(spark, sf_dir, ["wet_05"])["rows"]
+    rows = _solved(spark, sf_dir)["rows"]
     return access.ranking_reversals(stage(rows, "rows")).withColumn("reversal_fraction", F.round("reversal_fraction", 6))
 
 
 def access_stability(spark, sf_dir):
-    rows = _solved(spark, sf_dir, ["wet_05", "wet_08"])["rows"]
+    rows = _solved(spark, sf_dir)["rows"]
     return access.stability(rows).select("origin_id", "members", "reachable_members", _r("least_cost_seconds"), _r("greatest_cost_seconds"), "newly_disconnected")
 
 
 def origin_table_sorted(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    rows = _solved(spark, sf_dir, ["wet_05"])["rows"].filter("scenario_key = 'wet_05|supported_overlap|bridge_exempt'")
+    rows = _solved(spark, sf_dir)["rows"].filter("scenario_key = 'wet_05|supported_overlap|bridge_exempt'")
     order = W.orderBy(F.col("estimated_cost_seconds").asc_nulls_last(), "origin_id")
     return rows.select("origin_id", _r("estimated_cost_seconds"), F.row_number().over(order).cast("bigint").alias("place"))
 
@@ -208,18 +208,22 @@ def line_samples(spark, sf_dir):
 
 
 def _evidence_pixels(spark, sf_dir):
-    """A pixel grid over the plane of the nodes: known where two hashes of the cell allow."""
-    cells = spark.range(40).select(F.col("id").alias("px_row")).crossJoin(spark.range(40).select(F.col("id").alias("px_col")))
-    mixed = (F.col("px_row") * 37 + F.col("px_col") * 101) % 97
-    bounds = table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
-    p = mixed / F.lit(97.0)
-    return cells.crossJoin(bounds).select("px_row", "px_col", (mixed % 7 != 0).alias("eligible"), p.alias("p"), (mixed % 3).cast("int").alias("flags"), (F.abs(p - 0.5) > 0.15).alias("kept"), (p >= 0.5).alias("wet"))
+    pixels = view(spark, sf_dir, "surface_v")
+    return pixels.withColumns({"kept": F.abs(F.col("p") - 0.5) > 0.15, "wet": F.col("p") >= 0.5})
+
+
+def _streets(spark, sf_dir):
+    """Segments with short lines, on a plane that grows with the ways: a way has its own strip."""
+    along = lambda node: F.col("way_id") * 8.0 + F.col(node) * 7919 % 97
+    across = lambda node: (F.col(node) * 104729 % 401).cast("double")
+    return _segments(spark, sf_dir).withColumns({"ax": along("a"), "ay": across("a"), "bx": along("b"), "by_": across("b")})
 
 
 def road_evidence(spark, sf_dir):
     parts = spatial.clipped(_segments(spark, sf_dir), BOX)
     out = spatial.road_evidence(parts, _evidence_pixels(spark, sf_dir), step_m=STEP_M, pixel_m=PIXEL_M)
-    return out.select("segment_id", *[_r(c, digits=5) for c in ("length_m", "within_tile_m", "supported_m", "retained_m", "flagged_m", "water_m", "unknown_m", "coverage", "mean_score")])
+    lengths = [_r(c, digits=5) for c in ("length_m", "within_tile_m", "supported_m", "retained_m", "flagged_m", "water_m", "unknown_m", "mean_score")]
+    return out.select("segment_id", *lengths, _r(F.col("coverage") + 1e-9, "coverage"))  # shares of samples would often lie between two rounded values
 
 
 def length_contract(spark, sf_dir):
@@ -229,13 +233,13 @@ def length_contract(spark, sf_dir):
 
 
 def crossing_audit(spark, sf_dir):
-    out = spatial.crossings(_segments(spark, sf_dir), cell=150.0)
+    out = spatial.crossings(_streets(spark, sf_dir), cell=150.0)
     return out.agg(F.count("*").alias("crossings"), F.count_if("grade_tagged").alias("grade_tagged"), F.count_if(~F.col("grade_tagged")).alias("untagged"))
 
 
 def crossing_examples(spark, sf_dir):
     """The first ten crossings; the limit is the feature."""
-    return spatial.crossings(_segments(spark, sf_dir), cell=150.0).orderBy("left_id", "right_id").limit(10)
+    return spatial.crossings(_streets(spark, sf_dir), cell=150.0).orderBy("left_id", "right_id").limit(10)
 
 
 def polygon_cover(spark, sf_dir):

@@ -129,3 +129,26 @@ def test_contracts(spark):
         require(df, {"positive": F.col("v") > 0})
     with pytest.raises(ContractError):
         require_unique(df, "k")
+
+
+@pytest.mark.parametrize("cost, state, source", [(-1.0, "clear", "A"), (float("nan"), "clear", "A"), (float("inf"), "clear", "A"), (None, "clear", "A"), (1.0, "flooded", "A"), (1.0, "clear", "")])
+def test_broken_demo_edges_raise(spark, cost, state, source):
+    edges = spark.createDataFrame([("A", "H", 1.0, "clear"), (source, "H", cost, state)], "source string, target string, cost double, state string")
+    with pytest.raises(ValueError):
+        graph.cheapest(edges, "A", "H")
+
+
+def test_broken_graphs_raise(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 30.0, 0.0)], "node_id bigint, x_m double, y_m double")
+    way = lambda *ids: spark.createDataFrame([(7, list(ids), {"highway": "residential"})], "way_id bigint, nodes array<bigint>, tags map<string,string>")
+    with pytest.raises(ValueError, match="way 7 names the missing node 9"):
+        graph.build(way(1, 2, 9), nodes)
+    with pytest.raises(ValueError, match="no edge"):
+        graph.build(way(1), nodes)
+    with pytest.raises(ValueError, match="position"):
+        graph.build(way(1, 2), nodes.union(spark.createDataFrame([(3, float("nan"), 0.0)], nodes.schema)))
+    edges = graph.build(way(1, 2), nodes)
+    far = spark.createDataFrame([("f", 99), ("g", 2)], "facility_id string, node bigint")
+    with pytest.raises(ValueError, match="outside the graph"):
+        graph.nearest_facility(edges, far)
+    assert {r["node"]: r["facility_id"] for r in graph.nearest_facility(edges, far, strict=False).collect()} == {1: "g", 2: "g"}
