@@ -1,42 +1,5 @@
-"""Tables written to the shared folder, so that loops keep a short lineage.
+"""Staged tables, as in the rest of the library."""
 
-An operator that reads an intermediate result more than once writes it as
-Parquet under ``spark.checkpoint.dir`` and reads it back.  The files outlive
-lost executors, and each is computed once.
-"""
+from causeway.staging import new_path, shared_dir, stage
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may do without that setting; it gets a temporary folder
-    for the session.  On a cluster a missing setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="causeway-"))
-    return f"{base.rstrip('/')}/causeway-{app}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "shared_dir", "stage"]
