@@ -26,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="causeway-"))
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="causeway-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/causeway-{app}"
 
 
