@@ -122,8 +122,8 @@ ORACLES: dict[str, str] = {
     "hospital_radius": "WITH " + ctes("point_v") + ", m AS (SELECT point_id, sqrt((x_m - 500) * (x_m - 500) + (y_m - 500) * (y_m - 500)) AS d FROM point_v) SELECT point_id, round(d, 6) AS distance_m FROM m WHERE d <= 250",
     "segment_clip": _W + _CLIP + "SELECT segment_id, round(t0, 6) AS t0, round(t1, 6) AS t1, round(within_m, 6) AS within_m FROM cp",
     "line_samples": _W + _CLIP + _SAMPLES + "SELECT segment_id, count(*) AS samples, round(sum(weight), 5) AS weight FROM sm GROUP BY 1",
-    "road_evidence": _W + _CLIP + _SAMPLES + _ROADEV + """SELECT segment_id, round(length_m, 5) AS length_m, round(within_tile_m, 5) AS within_tile_m, round(supported_m, 5) AS supported_m, round(retained_m, 5) AS retained_m, round(flagged_m, 5) AS flagged_m, round(water_m, 5) AS water_m,
-        round(greatest(0e0, length_m - supported_m), 5) AS unknown_m, round(least(1e0, supported_m / length_m) + 1e-9, 6) AS coverage, round(weighted / nullif(supported_m, 0), 5) AS mean_score FROM re""",
+    "road_evidence": _W + _CLIP + _SAMPLES + _ROADEV + """SELECT segment_id, round(length_m + 1e-9, 5) AS length_m, round(within_tile_m + 1e-9, 5) AS within_tile_m, round(supported_m + 1e-9, 5) AS supported_m, round(retained_m + 1e-9, 5) AS retained_m, round(flagged_m + 1e-9, 5) AS flagged_m, round(water_m + 1e-9, 5) AS water_m,
+        round(greatest(0e0, length_m - supported_m) + 1e-9, 5) AS unknown_m, round(least(1e0, supported_m / length_m) + 1e-9, 5) AS coverage, round(weighted / nullif(supported_m, 0) + 1e-9, 5) AS mean_score FROM re""",
     "length_contract": _W + _CLIP + _SAMPLES + _ROADEV + "SELECT count(*) AS segments, count(*) FILTER (within_tile_m > length_m + 1e-5 OR supported_m > within_tile_m + 1e-5 OR retained_m > supported_m + 1e-5 OR water_m > supported_m + 1e-5) AS broken FROM re",
     "crossing_audit": _W + _CROSS + "SELECT count(*) AS crossings, count(*) FILTER (grade_tagged) AS grade_tagged, count(*) FILTER (NOT grade_tagged) AS untagged FROM cr",
     "crossing_examples": _W + _CROSS + "SELECT left_id, right_id, grade_tagged FROM cr ORDER BY left_id, right_id LIMIT 10",

@@ -222,8 +222,8 @@ def _streets(spark, sf_dir):
 def road_evidence(spark, sf_dir):
     parts = spatial.clipped(_segments(spark, sf_dir), BOX)
     out = spatial.road_evidence(parts, _evidence_pixels(spark, sf_dir), step_m=STEP_M, pixel_m=PIXEL_M)
-    lengths = [_r(c, digits=5) for c in ("length_m", "within_tile_m", "supported_m", "retained_m", "flagged_m", "water_m", "unknown_m", "mean_score")]
-    return out.select("segment_id", *lengths, _r(F.col("coverage") + 1e-9, "coverage"))  # shares of samples would often lie between two rounded values
+    names = ("length_m", "within_tile_m", "supported_m", "retained_m", "flagged_m", "water_m", "unknown_m", "coverage", "mean_score")
+    return out.select("segment_id", *[_r(F.col(c) + 1e-9, c, digits=5) for c in names])  # shares of samples often lie between two rounded values
 
 
 def length_contract(spark, sf_dir):
