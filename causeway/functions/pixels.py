@@ -102,6 +102,28 @@ def brightened(value: Column, mix: float = 0.35) -> Column:
     return F.greatest(F.least((1 - mix) * value + 2 * mix, F.lit(3.0)), F.lit(-3.0))
 
 
+#: Conditions under which optical inputs are stressed.
+CONDITIONS = ("clean", "missing_optical", "block_missing", "block_brightened")
+
+
+def observed_optics(value: Column, condition: str, inside: Column, mix: float = 0.35) -> tuple[Column, Column]:
+    """Optical input and whether it is present; ``inside`` tells pixels of the stressed block.  Absent inputs are 0."""
+    if condition not in CONDITIONS:
+        raise ValueError(f"unknown optical condition {condition!r}")
+    if condition == "missing_optical":
+        return F.lit(0.0), F.lit(False)
+    if condition == "block_missing":
+        return F.when(inside, 0.0).otherwise(value), ~inside
+    if condition == "block_brightened":
+        return F.when(inside, brightened(value, mix)).otherwise(value), F.lit(True)
+    return value, F.lit(True)
+
+
+def iso_date(text: Column) -> Column:
+    """A date written ``yyyy/MM/dd`` as ISO text; anything else raises."""
+    return F.date_format(F.to_date(text, "yyyy/MM/dd"), "yyyy-MM-dd")
+
+
 def positive_weight(positives: Column, negatives: Column) -> Column:
     return F.least(F.lit(10.0), F.try_divide(negatives.cast("double"), positives.cast("double")))
 

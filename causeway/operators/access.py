@@ -16,6 +16,15 @@ def policy_grid(spark, scenarios: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "scenario_key string, scenario_id string, policy string, bridge_rule string")
 
 
+def case_grid(scenarios: DataFrame, primary: str) -> DataFrame:
+    """Keys of the case study from ``scenarios(scenario_id)``: two overlap policies for each, all policies for the primary one."""
+    spark = scenarios.sparkSession
+    policies = spark.createDataFrame([(p, p in POLICIES[:2]) for p in POLICIES], "policy string, always boolean")
+    rules = spark.createDataFrame([(b,) for b in BRIDGE_RULES], "bridge_rule string")
+    rows = scenarios.select("scenario_id").distinct().crossJoin(F.broadcast(policies)).crossJoin(F.broadcast(rules)).filter(F.col("always") | (F.col("scenario_id") == primary))
+    return rows.select(F.concat_ws("|", "scenario_id", "policy", "bridge_rule").alias("scenario_key"), "scenario_id", "policy", "bridge_rule")
+
+
 def closures(segments: DataFrame, evidence: DataFrame, water: DataFrame, grid: DataFrame, *, least_m: float = LEAST_WATER_M) -> DataFrame:
     """Segments that each key of ``grid`` removes, with the first reason that applies.
 
@@ -105,3 +114,25 @@ def length_contract(evidence: DataFrame, *, tolerance: float = 1e-5) -> DataFram
         | (F.col("water_m") > F.col("supported_m") + tolerance)
     )
     return evidence.filter(broken)
+
+
+def inspection(segments: DataFrame, evidence: DataFrame, water: DataFrame, scenario: str, *, least_m: float = LEAST_WATER_M) -> DataFrame:
+    """Segments worth a look, in one row: most exposed, first exposed bridge, first without evidence; NULL if there is none."""
+    exposed = water.filter((F.col("scenario_id") == scenario) & (F.col("supported_water_m") >= least_m)).select("segment_id", "supported_water_m")
+    rows = segments.select("segment_id", "bridge").join(exposed, "segment_id", "left").join(evidence.select("segment_id", F.lit(True).alias("seen")), "segment_id", "left")
+    wet = F.col("supported_water_m").isNotNull()
+    return rows.agg(
+        F.min(F.when(wet, F.struct((-F.col("supported_water_m")).alias("rank"), "segment_id")))["segment_id"].alias("exposed_link"),
+        F.min(F.when(wet & F.col("bridge"), F.col("segment_id"))).alias("bridge_overlap"),
+        F.min(F.when(F.col("seen").isNull(), F.col("segment_id"))).alias("outside_footprint_link"),
+    )
+
+
+def boundary_summary(paths: DataFrame, *, guard_m: float) -> DataFrame:
+    """Of ``paths(origin_id, border_m)``: how many come near the border or leave it, and the least distance."""
+    return paths.agg(
+        F.count("*").alias("paths"),
+        F.count_if(F.col("border_m") <= guard_m).alias("within_guard"),
+        F.count_if(F.col("border_m") < 0).alias("leaving"),
+        F.min("border_m").alias("least_border_m"),
+    )

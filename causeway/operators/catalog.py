@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.contracts import require_empty, require_unique
 from causeway.functions.geometry import boxes_overlap
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -63,3 +64,37 @@ def split_overlap(df: DataFrame, key: str, split: str) -> DataFrame:
     sides = df.select(key, split).distinct()
     a, b = sides.select(key, F.col(split).alias("a_split")), sides.select(key, F.col(split).alias("b_split"))
     return a.join(b, key).filter(F.col("a_split") < F.col("b_split")).groupBy("a_split", "b_split").agg(F.count("*").alias("shared"))
+
+
+def with_metadata(chips: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """``chips`` with the columns of ``metadata``; a chip without its event, or an event listed twice, raises ``ContractError``."""
+    require_unique(metadata, key)
+    require_empty(chips.join(metadata, key, "left_anti"), f"no metadata for {key}")
+    return chips.join(metadata, key)
+
+
+def inventory_audit(inventory: DataFrame, found: DataFrame, needed: DataFrame, root: str) -> DataFrame:
+    """State of each path that is listed or needed.
+
+    ``inventory(path, size)`` against ``found(path, size)`` and ``needed(path)``;
+    a path that leaves ``root`` is refused before anything else is asked of it.
+    """
+    sides = inventory.select("path", F.col("size").alias("listed")).join(found.select("path", F.col("size").alias("real")), "path", "left")
+    both = sides.join(needed.select("path", F.lit(True).alias("asked")), "path", "full_outer")
+    inside = F.col("path").startswith(root.rstrip("/") + "/") & ~F.array_contains(F.split("path", "/"), "..")
+    state = (
+        F.when(~inside, "outside_root")
+        .when(F.col("listed").isNull(), "not_listed")
+        .when(F.col("real").isNull(), "missing")
+        .when(F.col("listed") != F.col("real"), "size_differs")
+        .when(F.col("asked").isNull(), "not_needed")
+        .otherwise("complete")
+    )
+    return both.select("path", state.alias("state"))
+
+
+def key_audit(options: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Keys of both sides with how many rows ``listed`` has for each; a key on one side only shows as such."""
+    counts = listed.groupBy(key).agg(F.count("*").alias("entries"))
+    both = options.select(key, F.lit(True).alias("offered")).join(counts, key, "full_outer")
+    return both.select(key, F.coalesce("offered", F.lit(False)).alias("offered"), F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"))

@@ -166,3 +166,33 @@ def worst_rows(counts: DataFrame, keys: list[str], row: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.max(F.struct((F.col("fp") + F.col("fn")).alias("errors"), F.col(row).alias("row"))).alias("w")).select(
         *keys, F.col("w.row").alias(row), F.col("w.errors").alias("errors")
     )
+
+
+def method_counts(pixels: DataFrame, methods: dict[str, tuple[Column, float]], keys: list[str]) -> DataFrame:
+    """Confusion counts of several methods, each a score and its threshold, in one pass over the eligible pixels.
+
+    Pixels without a score count as ``undefined`` and in no other column.
+    """
+    truth, cells = F.col("label") == 1, ("tp", "fp", "fn", "tn", "undefined")
+    sums = []
+    for k, (score, cut) in enumerate(methods.values()):
+        hit = score >= F.lit(float(cut))
+        for name, where in zip(cells, (truth & hit, ~truth & hit, truth & ~hit, ~truth & ~hit, score.isNull())):
+            sums.append(F.count_if(where).alias(f"{name}_{k}"))
+    wide = pixels.filter("eligible").groupBy(*keys).agg(*sums)
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{c}_{k}").alias(c) for c in cells]) for k, m in enumerate(methods)])
+    return wide.select(*keys, F.explode(rows).alias("row")).select(*keys, "row.*")
+
+
+def retention(scored: DataFrame, keys: list[str], kept: Column) -> DataFrame:
+    """Tiles, eligible and water pixels of each key, and what stays after pixels not ``kept`` are withheld."""
+    water = F.col("label") == 1
+    out = scored.filter("eligible").groupBy(*keys).agg(
+        F.count_distinct("tile_id").alias("tiles"),
+        F.count("*").alias("eligible_pixels"),
+        F.count_if(water).alias("water_pixels"),
+        F.count_if(kept).alias("retained_pixels"),
+        F.count_if(water & ~kept).alias("withheld_water"),
+    )
+    whole = F.col("eligible_pixels").cast("double")
+    return out.withColumns({"water_prevalence": F.try_divide(F.col("water_pixels").cast("double"), whole), "retained_fraction": F.try_divide(F.col("retained_pixels").cast("double"), whole)})

@@ -23,12 +23,20 @@ def require_train(rows: DataFrame) -> DataFrame:
 
 
 def threshold_curve(pixels: DataFrame, score: Column, thresholds: list[float], *, event: str = "event_id") -> DataFrame:
-    """Event-macro IoU of ``score >= threshold`` for each threshold, in one pass over the pixels."""
-    grid = pixels.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    scored = pixels.filter("eligible").select(event, "label", score.alias("score")).crossJoin(F.broadcast(grid))
-    hit, truth = F.col("score") >= F.col("threshold"), F.col("label") == 1
-    counts = scored.groupBy("threshold", event).agg(
-        F.count_if(truth & hit).alias("tp"), F.count_if(~truth & hit).alias("fp"), F.count_if(truth & ~hit).alias("fn"), F.count_if(~truth & ~hit).alias("tn")
+    """Event-macro IoU of ``score >= threshold`` for each threshold, in one pass over the pixels.
+
+    A pixel is placed once among the sorted thresholds and counted; only these
+    counts, one per event, place and label, meet the thresholds.
+    """
+    cuts = sorted({float(t) for t in thresholds})
+    place = F.size(F.filter(F.array(*[F.lit(t) for t in cuts]), lambda t: t <= F.col("score")))
+    scored = pixels.filter("eligible").select(event, "label", score.alias("score")).filter(F.col("score").isNotNull())
+    placed = scored.groupBy(event, place.alias("place"), (F.col("label") == 1).alias("truth")).agg(F.count("*").alias("n"))
+    grid = pixels.sparkSession.createDataFrame(list(enumerate(cuts)), "k int, threshold double")
+    hit, truth = F.col("place") > F.col("k"), F.col("truth")
+    total = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).cast("bigint")
+    counts = placed.crossJoin(F.broadcast(grid)).groupBy("threshold", event).agg(
+        total(truth & hit).alias("tp"), total(~truth & hit).alias("fp"), total(truth & ~hit).alias("fn"), total(~truth & ~hit).alias("tn")
     )
     return event_macro(metrics(counts), "iou", ["threshold"])
 

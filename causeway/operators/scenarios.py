@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from causeway.functions.hashing import unit
@@ -11,6 +14,12 @@ THRESHOLDS = (0.65, 0.50, 0.35)
 SEEDS = tuple(range(501, 509))
 BLOCK = 64
 OFFSET = 0.12
+# Fixed values of the case study: a cut of the water index, variants around it, and shared offsets.
+CASE_PRIMARY = "m3_ndwi_reference"
+CASE_CUT = -0.05
+CASE_VARIANTS = (-0.10, 0.10)
+CASE_SEEDS = tuple(range(601, 609))
+CASE_OFFSET = 0.08
 #: Rows of block offsets up to which they are broadcast (about 60 bytes each).
 BROADCAST_SHIFTS = 200_000
 
@@ -29,21 +38,62 @@ def masks(
 
     Unknown pixels stay NULL in every scenario.
     """
-    spark = scored.sparkSession
+    fixed = _fixed(scored, probability, {f"threshold_{t:.2f}": float(t) for t in thresholds})
+    moved = _shifted(scored, probability, {f"offset_seed_{s}": int(s) for s in seeds}, block=block, offset=offset, salt=salt, cut=0.5)
+    return fixed.unionByName(moved)
+
+
+def _fixed(scored: DataFrame, score: str, cuts: dict[str, float]) -> DataFrame:
+    """A mask per named cut: ``score >= cut``."""
+    table = scored.sparkSession.createDataFrame(list(cuts.items()), "scenario_id string, threshold double")
+    known = F.col("eligible") & F.col(score).isNotNull()
+    return scored.crossJoin(F.broadcast(table)).withColumn("value", F.when(known, (F.col(score) >= F.col("threshold")).cast("int"))).drop("threshold")
+
+
+def _shifted(scored: DataFrame, probability: str, seeds: dict[str, int], *, block: int, offset: float, salt: str, cut: float) -> DataFrame:
+    """A mask per named seed: the probability, moved by one hash offset per block and clipped, against ``cut``."""
     known = F.col("eligible") & F.col(probability).isNotNull()
     placed = scored.withColumns({f"block_{n}": (F.floor(F.col(c) / block) * block).cast("bigint") for n, c in (("top", "px_row"), ("left", "px_col"))})
     place = ["tile_id", "block_top", "block_left"]
     # The hash is taken once per block and seed, not once per pixel.
-    seeds_table = spark.createDataFrame([(f"offset_seed_{s}", int(s)) for s in seeds], "scenario_id string, seed int")
+    seeds_table = scored.sparkSession.createDataFrame(list(seeds.items()), "scenario_id string, seed int")
     shifts = placed.select(*place).distinct().crossJoin(F.broadcast(seeds_table))
     shifts = shifts.withColumn("shift", (2 * unit(F.concat_ws(":", F.lit(salt), *place, "seed")) - 1) * offset).drop("seed")
     few = shifts.limit(BROADCAST_SHIFTS + 1).count() <= BROADCAST_SHIFTS
     moved = placed.join(F.broadcast(shifts) if few else shifts, place)
-    value = F.greatest(F.least(F.col(probability) + F.col("shift"), F.lit(1.0)), F.lit(0.0)) >= 0.5
-    moved = moved.withColumn("value", F.when(known, value.cast("int"))).drop("shift", *place[1:])
-    fixed_table = spark.createDataFrame([(f"threshold_{t:.2f}", float(t)) for t in thresholds], "scenario_id string, threshold double")
-    fixed = scored.crossJoin(F.broadcast(fixed_table)).withColumn("value", F.when(known, (F.col(probability) >= F.col("threshold")).cast("int"))).drop("threshold")
-    return fixed.unionByName(moved)
+    value = F.greatest(F.least(F.col(probability) + F.col("shift"), F.lit(1.0)), F.lit(0.0)) >= cut
+    return moved.withColumn("value", F.when(known, value.cast("int"))).drop("shift", *place[1:])
+
+
+def case_masks(
+    scored: DataFrame,
+    *,
+    slope: float,
+    intercept: float,
+    probability: str = "p",
+    index: str = "ndwi",
+    cut: float = CASE_CUT,
+    variants: tuple[float, ...] = CASE_VARIANTS,
+    seeds: tuple[int, ...] = CASE_SEEDS,
+    block: int = BLOCK,
+    offset: float = CASE_OFFSET,
+) -> DataFrame:
+    """All masks of the case study: those of :func:`masks`, a fixed cut of the index, its variants, and shared offsets.
+
+    Members with shared offsets are compared with the calibrated probability of
+    the cut, not with one half.
+    """
+    cuts = {CASE_PRIMARY: cut} | {f"m3_ndwi_threshold_{cut + v:+.2f}": cut + v for v in variants}
+    base = 1 / (1 + math.exp(-(slope * cut + intercept)))
+    shared = _shifted(scored, probability, {f"m3_shared_offset_seed_{s}": int(s) for s in seeds}, block=block, offset=offset, salt="m6-block-v1", cut=base)
+    return masks(scored, probability=probability, block=block).unionByName(_fixed(scored, index, cuts)).unionByName(shared)
+
+
+def ordered(rows: DataFrame, primary: str = CASE_PRIMARY) -> DataFrame:
+    """One row per scenario with its place for display: the primary one, the middle threshold, case members, others, then by name."""
+    name = F.col("scenario_id")
+    rank = F.when(name == primary, 0).when(name == "threshold_0.50", 1).when(name.startswith("m3_"), 2).otherwise(3)
+    return rows.withColumn("place", F.row_number().over(W.orderBy(rank, name)).cast("bigint"))  # as many rows as scenarios
 
 
 def summary(long: DataFrame, keys: list[str]) -> DataFrame:

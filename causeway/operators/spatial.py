@@ -5,25 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.contracts import require
 from causeway.functions.geometry import clip_to_box, crosses, distance, midpoints
 from causeway.staging import stage
 
 
-def snap(points: DataFrame, nodes: DataFrame, *, limit_m: float) -> DataFrame:
-    """Nearest node within ``limit_m`` of each ``point(point_id, x_m, y_m)``, the least id on ties.
-
-    Points look into the nine cells around them; cells are ``limit_m`` wide, so
-    no node within the limit is missed.
-    """
-    cell = lambda c: F.floor(F.col(c) / limit_m).cast("bigint")
+def _nearest(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """Nearest node within ``reach`` of each point: points look into the nine cells around them, cells being as wide as the reach."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("bigint")
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     spread = points.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("point_id", F.col("x_m").alias("px"), F.col("y_m").alias("py"), (cell("x_m") + F.col("dx")).alias("gx"), (cell("y_m") + F.col("dy")).alias("gy"))
     placed = nodes.select("node_id", F.col("x_m").alias("nx"), F.col("y_m").alias("ny"), cell("x_m").alias("gx"), cell("y_m").alias("gy"))
-    met = spread.join(placed, ["gx", "gy"]).withColumn("d", distance(F.col("px"), F.col("py"), F.col("nx"), F.col("ny"))).filter(F.col("d") <= limit_m)
-    best = met.groupBy("point_id").agg(F.min(F.struct("d", "node_id")).alias("b"))
-    return points.join(best, "point_id", "left").select(
-        "point_id", F.when(F.col("b").isNotNull(), "snapped").otherwise("beyond_snap_limit").alias("status"), F.col("b.node_id").alias("nearest_node_id"), F.col("b.d").alias("nearest_distance_m")
-    )
+    met = spread.join(placed, ["gx", "gy"]).withColumn("d", distance(F.col("px"), F.col("py"), F.col("nx"), F.col("ny"))).filter(F.col("d") <= reach)
+    return met.groupBy("point_id").agg(F.min(F.struct("d", "node_id")).alias("b"))
+
+
+def snap(points: DataFrame, nodes: DataFrame, *, limit_m: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Nearest node of each ``point(point_id, x_m, y_m)``, the least id on ties, and whether it counts.
+
+    A point outside ``box`` or farther than ``limit_m`` from every node keeps its
+    distance but no node.  Points that found none look twice as far in the next
+    pass, so a pass meets few nodes per point.  No node at all raises.
+    """
+    if limit_m <= 0 or nodes.isEmpty():
+        raise ValueError("snapping needs a limit above zero and nodes")
+    points = stage(points.select("point_id", "x_m", "y_m"), "snap-points")
+    finite = (F.abs(F.col("x_m")) < float("inf")) & (F.abs(F.col("y_m")) < float("inf"))  # false for NaN, which is above all
+    require(points, {"points have finite positions": finite})
+    found, left, reach = None, points, limit_m
+    while True:
+        here = stage(_nearest(left, nodes, reach), "snap-found")
+        found = here if found is None else found.unionByName(here)
+        left = stage(left.join(here, "point_id", "left_anti"), "snap-left")
+        if left.isEmpty():
+            break
+        reach *= 2
+    x, y, d = F.col("x_m"), F.col("y_m"), F.col("b.d")
+    low_x, low_y, high_x, high_y = (F.lit(float(v)) for v in box) if box else (x, y, x, y)
+    inside = (x >= low_x) & (x <= high_x) & (y >= low_y) & (y <= high_y)
+    state = F.when(~inside, "outside_study_bbox").when(d <= limit_m, "snapped").otherwise("beyond_snap_limit")
+    margin = F.when(inside, F.least(x - low_x, high_x - x, y - low_y, high_y - y)).otherwise(0.0) if box else F.lit(None).cast("double")
+    out = points.join(found, "point_id").withColumn("status", state)
+    return out.select("point_id", "status", F.when(F.col("status") == "snapped", F.col("b.node_id")).alias("nearest_node_id"), d.alias("nearest_distance_m"), margin.alias("boundary_distance_m"))
 
 
 def within_radius(points: DataFrame, x: float, y: float, radius_m: float) -> DataFrame:
@@ -59,6 +82,24 @@ def clipped(segments: DataFrame, box: tuple[float, float, float, float]) -> Data
     return out.withColumns({"t0": F.col("cut.t0"), "t1": F.col("cut.t1")}).withColumn("within_m", (F.col("t1") - F.col("t0")) * F.col("length_m")).drop("cut")
 
 
+def clip_audit(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Every segment with ``status`` kept, outside_box or no_length, and the metres inside the box."""
+    cut = clip_to_box(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"), tuple(F.lit(float(v)) for v in box))
+    within = F.when(cut.isNotNull(), (cut["t1"] - cut["t0"]) * F.col("length_m")).otherwise(0.0)
+    status = F.when(~(F.col("length_m") > 0), "no_length").when(cut.isNull(), "outside_box").otherwise("kept")
+    return segments.select("segment_id", status.alias("status"), within.alias("within_m"))
+
+
+def nearest_link(segments: DataFrame, x: float, y: float, *, limit: float, x_scale: float = 1.0) -> DataFrame:
+    """The segment under a pointer: least distance within ``limit``, the least id on ties; ``x_scale`` shrinks degrees of longitude."""
+    dx, dy = (F.col("bx") - F.col("ax")) * x_scale, F.col("by_") - F.col("ay")
+    px, py = (F.lit(float(x)) - F.col("ax")) * x_scale, F.lit(float(y)) - F.col("ay")
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0))))
+    gap = distance(px, py, along * dx, along * dy)
+    best = segments.select("segment_id", gap.alias("gap")).filter(F.col("gap") <= limit).agg(F.min(F.struct("gap", "segment_id")).alias("b"))
+    return best.filter("b IS NOT NULL").select("b.segment_id", F.col("b.gap").alias("distance"))
+
+
 def line_samples(parts: DataFrame, *, step_m: float, pixel_m: float) -> DataFrame:
     """Midpoint samples of clipped segments with their weight and the pixel they fall into."""
     sampled = parts.filter(F.col("within_m") > 0).withColumn("s", F.explode(midpoints(F.col("within_m"), step_m)))

@@ -22,13 +22,13 @@ VIEWS: dict[str, str] = {
     "doc_label_v": """
         SELECT d.doc_id, lang AS event_id, quality AS label, least(d.n_chars / 20000e0, 1e0) AS p
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
-    # Tiles of the catalog: suppliers with hashed boxes and two acquisition dates.
+    # Tiles of the catalog: suppliers with hashed boxes, on a strip that grows with them, and two acquisition dates.
     "catalog_v": """
         SELECT concat(replace(n_name, ' ', '-'), '_', s_suppkey) AS chip, n_name AS location, concat('e', n_regionkey) AS event_id,
                CASE WHEN n_regionkey <= 2 THEN 'train' WHEN n_regionkey = 3 THEN 'validation' ELSE 'final_test' END AS split,
                s_suppkey AS tile_key,
-               (s_suppkey * 7919 % 1000) / 10e0 AS xmin, (s_suppkey * 104729 % 1009) / 10e0 AS ymin,
-               (s_suppkey * 7919 % 1000) / 10e0 + 3e0 AS xmax, (s_suppkey * 104729 % 1009) / 10e0 + 3e0 AS ymax,
+               (s_suppkey * 7919 % 1000) / 10e0 + (s_suppkey - s_suppkey % 1000) / 10e0 AS xmin, (s_suppkey * 104729 % 1009) / 10e0 AS ymin,
+               (s_suppkey * 7919 % 1000) / 10e0 + (s_suppkey - s_suppkey % 1000) / 10e0 + 6e0 AS xmax, (s_suppkey * 104729 % 1009) / 10e0 + 6e0 AS ymax,
                cast(a.o_orderdate AS date) AS s1_date, cast(b.o_orderdate AS date) AS s2_date
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
              LEFT JOIN {orders} a ON a.o_orderkey = s_suppkey LEFT JOIN {orders} b ON b.o_orderkey = s_suppkey + 7""",

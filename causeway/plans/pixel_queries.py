@@ -55,11 +55,11 @@ def event_id_strings(spark, sf_dir):
 
 
 def bbox_overlap_audit(spark, sf_dir):
-    return catalog.overlaps(view(spark, sf_dir, "catalog_v"), "tile_key", cell=3.0).select("a_tile_key", "b_tile_key")
+    return catalog.overlaps(view(spark, sf_dir, "catalog_v"), "tile_key", cell=6.0).select("a_tile_key", "b_tile_key")
 
 
 def overlap_split_leakage(spark, sf_dir):
-    pairs = catalog.overlaps(view(spark, sf_dir, "catalog_v"), "tile_key", cell=3.0, carry=["split"])
+    pairs = catalog.overlaps(view(spark, sf_dir, "catalog_v"), "tile_key", cell=6.0, carry=["split"])
     return catalog.leaks(pairs).groupBy("a_split", "b_split").agg(F.count("*").alias("pairs"))
 
 

@@ -117,8 +117,9 @@ ORACLES: dict[str, str] = {
     "export_row": _W + _closed() + """SELECT scenario_key, '{"key":"' || scenario_key || '","closed":' || count(*) || '}' AS document FROM cl GROUP BY scenario_key""",
     "bundle_integrity": _W + _closed() + """, gn AS (SELECT s AS node FROM ed UNION SELECT t FROM ed) SELECT 'evidence_in_roads' AS rule, count(*) AS missing FROM ev WHERE segment_id NOT IN (SELECT segment_id FROM sg) UNION ALL SELECT 'water_in_evidence', 0
         UNION ALL SELECT 'facility_in_graph', count(*) FROM facility_v WHERE node NOT IN (SELECT node FROM gn) UNION ALL SELECT 'origin_in_graph', count(*) FROM origin_v WHERE node NOT IN (SELECT node FROM gn)""",
-    "snap_points": "WITH " + ctes("point_v", "node_v") + """, m AS (SELECT point_id AS pid, node_id, sqrt((p.x_m - n.x_m) * (p.x_m - n.x_m) + (p.y_m - n.y_m) * (p.y_m - n.y_m)) AS d FROM point_v p JOIN node_v n ON n.x_m BETWEEN p.x_m - 12 AND p.x_m + 12 AND n.y_m BETWEEN p.y_m - 12 AND p.y_m + 12),
-        k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, node_id) AS r FROM m WHERE d <= 12) WHERE r = 1) SELECT point_id, CASE WHEN pid IS NULL THEN 'beyond_snap_limit' ELSE 'snapped' END AS status, node_id AS nearest_node_id, round(d, 6) AS nearest_distance_m FROM point_v LEFT JOIN k ON point_id = pid""",
+    "snap_points": "WITH " + ctes("point_v", "node_v") + """, k AS (SELECT point_id, p.x_m AS x, p.y_m AS y, min(struct_pack(d := sqrt((p.x_m - n.x_m) * (p.x_m - n.x_m) + (p.y_m - n.y_m) * (p.y_m - n.y_m)), node := node_id)) AS b FROM point_v p CROSS JOIN node_v n GROUP BY 1, 2, 3),
+        s AS (SELECT *, CASE WHEN NOT (x BETWEEN 50 AND 950 AND y BETWEEN 50 AND 950) THEN 'outside_study_bbox' WHEN b.d <= 12 THEN 'snapped' ELSE 'beyond_snap_limit' END AS status FROM k)
+        SELECT point_id, status, CASE WHEN status = 'snapped' THEN b.node END AS nearest_node_id, round(b.d, 6) AS nearest_distance_m, CASE WHEN status = 'outside_study_bbox' THEN 0e0 ELSE round(least(x - 50, 950 - x, y - 50, 950 - y), 6) END AS boundary_distance_m FROM s""",
     "hospital_radius": "WITH " + ctes("point_v") + ", m AS (SELECT point_id, sqrt((x_m - 500) * (x_m - 500) + (y_m - 500) * (y_m - 500)) AS d FROM point_v) SELECT point_id, round(d, 6) AS distance_m FROM m WHERE d <= 250",
     "segment_clip": _W + _CLIP + "SELECT segment_id, round(t0, 6) AS t0, round(t1, 6) AS t1, round(within_m, 6) AS within_m FROM cp",
     "line_samples": _W + _CLIP + _SAMPLES + "SELECT segment_id, count(*) AS samples, round(sum(weight), 5) AS weight FROM sm GROUP BY 1",

@@ -188,8 +188,8 @@ def bundle_integrity(spark, sf_dir):
 
 
 def snap_points(spark, sf_dir):
-    out = spatial.snap(view(spark, sf_dir, "point_v"), view(spark, sf_dir, "node_v"), limit_m=12.0)
-    return out.select("point_id", "status", "nearest_node_id", _r("nearest_distance_m"))
+    out = spatial.snap(view(spark, sf_dir, "point_v"), view(spark, sf_dir, "node_v"), limit_m=12.0, box=(50.0, 50.0, 950.0, 950.0))
+    return out.select("point_id", "status", "nearest_node_id", _r("nearest_distance_m"), _r("boundary_distance_m"))
 
 
 def hospital_radius(spark, sf_dir):
