@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.geometry import covers, distance, to_utm
-from causeway.operators import access, catalog, graph, spatial
+from causeway.operators import access, catalog, graph, order, spatial
 from causeway.plans.bindings import SCENARIOS, evidence, table, view, ways
 from causeway.staging import stage
 
@@ -143,11 +143,9 @@ def access_stability(spark, sf_dir):
 
 
 def origin_table_sorted(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     rows = _solved(spark, sf_dir)["rows"].filter("scenario_key = 'wet_05|supported_overlap|bridge_exempt'")
-    order = W.orderBy(F.col("estimated_cost_seconds").asc_nulls_last(), "origin_id")
-    return rows.select("origin_id", _r("estimated_cost_seconds"), F.row_number().over(order).cast("bigint").alias("place"))
+    out = order.placed(rows.select("origin_id", "estimated_cost_seconds"), F.col("estimated_cost_seconds").asc_nulls_last(), F.col("origin_id").asc())
+    return out.select("origin_id", _r("estimated_cost_seconds"), "place")
 
 
 def scenario_lookup(spark, sf_dir):

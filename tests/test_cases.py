@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.contracts import ContractError
 from causeway.functions import pixels as px
-from causeway.operators import access, catalog, evaluate, scenarios, spatial, tiles
+from causeway.operators import access, catalog, evaluate, order, scenarios, spatial, tiles
 
 
 def _scenarios(spark):
@@ -133,3 +133,11 @@ def test_picks_and_keys(spark):
     assert tuple(access.inspection(segments, seen, water, "none").first()) == (None, None, "c")
     offered, listed = spark.createDataFrame([("k",), ("m",)], "key string"), spark.createDataFrame([("k",), ("k",), ("z",)], "key string")
     assert {tuple(r) for r in catalog.key_audit(offered, listed, "key").collect()} == {("k", True, 2), ("m", True, 0), ("z", False, 1)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_places_by_ranges(spark, n):
+    rows = spark.range(n).select("id", F.when(F.col("id") % 10 != 0, F.col("id") * 7919 % 101).alias("cost")).repartition(3)
+    got = order.placed(rows, F.col("cost").asc_nulls_last(), F.col("id").asc()).collect()
+    want = sorted(got, key=lambda r: (r["cost"] is None, r["cost"] or 0, r["id"]))
+    assert [r["place"] for r in want] == list(range(1, n + 1))
