@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.geometry import covers, distance, to_utm
-from causeway.operators import access, catalog, graph, order, spatial
+from causeway.operators import access, graph, order, spatial
+from causeway.plans import bundle, lineage
 from causeway.plans.bindings import SCENARIOS, evidence, table, view, ways
-from causeway.staging import stage
+from causeway.staging import new_path, stage
 
 BOX = (200.0, 200.0, 700.0, 650.0)
 PIXEL_M = 25.0
@@ -149,8 +150,12 @@ def origin_table_sorted(spark, sf_dir):
 
 
 def scenario_lookup(spark, sf_dir):
-    closed = closure_ids(spark, sf_dir)
-    return closed.filter("scenario_key = 'wet_05|retained_overlap|bridge_candidate'").select("segment_id", "reason")
+    segments = stage(_segments(spark, sf_dir), "segments")
+    seen, water = evidence(spark, sf_dir, segments)
+    path = new_path(spark, "bundle")
+    closed = access.closures(segments, seen, water, access.policy_grid(spark, list(SCENARIOS)))
+    closed.write.partitionBy("scenario_id", "policy", "bridge_rule").parquet(f"{path}/closures")
+    return bundle.scenario(spark, path, "wet_05", "retained_overlap", "bridge_candidate")
 
 
 def road_lookup(spark, sf_dir):
@@ -253,8 +258,9 @@ def utm_projection(spark, sf_dir):
 
 
 def latest_run(spark, sf_dir):
-    runs = view(spark, sf_dir, "run_v").filter("status = 'complete' AND hash_ok")
-    return runs.groupBy("milestone").agg(F.max(F.struct("completed_at", "run_id")).alias("r")).select("milestone", F.col("r.run_id").alias("run_id"))
+    hashed = F.sha2(F.col("run_id").cast("string"), 256)
+    runs = view(spark, sf_dir, "run_v").withColumns({"manifest_sha256": hashed, "computed_sha256": F.when(F.col("hash_ok"), hashed).otherwise("")})
+    return lineage.latest_valid(runs)
 
 
 def status_ladder(spark, sf_dir):
@@ -268,7 +274,8 @@ def manifest_files(spark, sf_dir):
     runs = view(spark, sf_dir, "run_v")
     expected = runs.filter("hash_ok").select(F.concat("milestone", F.lit("/"), "run_id").alias("path"))
     found = runs.filter("status = 'complete'").select(F.concat("milestone", F.lit("/"), "run_id").alias("path"))
-    return catalog.set_mismatch(found, expected, "path").groupBy("status").agg(F.count("*").alias("files"))
+    hashed = F.sha2("path", 256).alias("sha256")
+    return lineage.verify_outputs(expected.select("path", hashed), found.select("path", hashed)).groupBy("status").agg(F.count("*").alias("files"))
 
 
 def json_tags(spark, sf_dir):
