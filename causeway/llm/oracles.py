@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import secrets
+from causeway.llm import oracle_graphs, secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -133,4 +133,7 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": _CONTAMINATION,
     "op5_warc": _WARC,
     "op7_quality_rules": _rules_sql(),
+    "op11_conversation_trie": oracle_graphs.TRIE,
+    "op12_spelling_variants": oracle_graphs.VARIANTS,
+    "op13_embedding_duplicates": oracle_graphs.LINKS,
 }

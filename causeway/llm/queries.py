@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, decontamination, html_extraction, language_model, near_duplicates, quality_classifier, quality_rules, secrets, url_filters, warc
+from causeway.llm import (
+    bpe,
+    conversation_trie,
+    decontamination,
+    embedding_duplicates,
+    html_extraction,
+    language_model,
+    near_duplicates,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    spelling_variants,
+    url_filters,
+    warc,
+)
 
 #: The public tokenizer that the encoding query uses.
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,6 +89,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     """Place of the tokenizer file, which the installed package names."""
     import public_tokenizers
@@ -93,5 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_language_model": op9_language_model,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_duplicates": op13_embedding_duplicates,
     "url_rules": url_rules,
 }
