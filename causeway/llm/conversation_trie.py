@@ -21,7 +21,7 @@ Cases
 * Turns are ordered by ``turn`` (null first), then role, then text; repeated rows are
   turns of their own.  A null role or text counts as empty.
 * Rows without a conversation id belong to no conversation and are left out.
-* Ids are integers.  Texts are hashed and counted whole and not carried further.
+* Ids are integers; c % 20 of a negative one is negative or 0, as in SQL.  Texts are hashed and counted whole and not carried further.
 * No rows give no nodes, not even a root.  Extra columns are not read.
 """
 

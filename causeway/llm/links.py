@@ -56,7 +56,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             lower = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
             jumped = lower.join(up, "label")
         else:
-            told = labels.join(hubs, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)).cast("long")).select(F.col("v").alias("b"), "part", "label")
+            told = labels.join(hubs, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("spread", F.lit(1)).cast("long") - 1))).select(F.col("v").alias("b"), "part", "label")
             near = both.join(told, ["b", "part"]).groupBy("a").agg(F.min("label").alias("near"))
             lower = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
             jumped = salted(lower, labels.select(F.col("v").alias("label"), F.col("label").alias("above")), ["label"], "v", "inner")

@@ -5,13 +5,13 @@ distance one share a prefix, take one edit, and then the same letters.  So the
 states start at every node of the trie, one for each pair of its children: either
 one child's letter replaces the other's, or one letter is inserted before the
 other.  Words with the same prefix share their states.  Each round joins the
-frontier with the edge table, one letter further, until no state is left; a state
-whose two nodes both end a word is a pair of neighbours.
+frontier with the edge table, one edge further, until no state is left; a state whose
+two sides both end a word is a pair of neighbours.
 
-Below a node with a single word the trie holds no edges but that word's tail.  A
-state with one such side reads the letters of the tail; with two, the tails are
-compared at once.  So rounds follow the depth at which words still branch, and a
-long word costs as much as its letters.
+Nodes with one way on are passed over: an edge holds all letters to the next node
+where words branch or end, or to the end of a single word.  A state compares what its
+two sides have ahead at once and joins the edges of a side that has nothing ahead.  So
+there are as many rounds as branchings on a path, however long the words are.
 
 An edit within a run of equal letters is taken as the last one of the run, so each
 pair is found once.
@@ -129,55 +129,82 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _chain_ends(chains: DataFrame) -> DataFrame:
+    """The node that ends the chain from each of ``chains(node, end)``, where ``end`` is first the next node; rounds double."""
+    ends = stage(chains, "op12-chains")
+    while True:
+        on = ends.select(F.col("node").alias("end"), F.col("end").alias("far"))
+        ends = stage(ends.join(on, "end", "left").select("node", F.coalesce("far", "end").alias("end"), F.col("far").isNotNull().alias("moved")), "op12-chains")
+        if ends.filter("moved").isEmpty():
+            return ends.select("node", "end")
+        ends = ends.select("node", "end")
+
+
 def edges(words: DataFrame) -> DataFrame:
     """The trie of ``words(word, number)`` below its nodes of several words, as a staged edge table.
 
-    ``parent`` and ``node`` are numbers of prefixes.  ``tail`` is null where several
-    words share the node, else what its single word has after it.  ``ends`` says
-    whether the node ends a word, ``stem_ends`` whether the parent does.
+    Nodes that end no word and have one child are passed over, so an edge has its
+    first ``letter`` and, as ``tail``, all letters after it.  It leads to ``node``, of
+    several words, one of which ``ends`` there or not, or to a single ``word``; the
+    other of the two is null.  ``stem_ends`` says whether ``parent`` ends a word.
     """
     every = words.select("word").mapInArrow(_prefixes, "parent long, letter int, node long, depth int, number long, whole boolean")
     counted = every.groupBy("parent", "letter", "node").agg(F.count("*").alias("n"), F.min("depth").alias("depth"), F.min("number").alias("number"), F.max("whole").alias("ends"))
     counted = stage(counted, "op12-nodes")
-    crowded = counted.filter("n > 1").groupBy(F.col("node").alias("parent")).agg(F.max("ends").alias("stem_ends"))
-    inner = counted.join(crowded, "parent", "left").filter("parent = 0 or stem_ends is not null").withColumn("stem_ends", F.coalesce("stem_ends", F.lit(False)))
-    many = inner.filter("n > 1").select("parent", "letter", "node", "ends", "stem_ends", F.lit(None).cast("string").alias("tail"), F.lit(None).cast("long").alias("word"))
-    one = inner.filter("n = 1").join(words.select("number", "word"), "number").select("parent", "letter", "node", "ends", "stem_ends", F.expr("substring(word, depth + 1)").alias("tail"), F.col("number").alias("word"))
-    return stage(many.unionByName(one), "op12-edges")
+    children = counted.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"), F.max("node").alias("only"))
+    crowded = stage(counted.filter("n > 1").select("node", "depth", "ends").join(children, "node", "left"), "op12-crowded")
+    passed = "not ends and children = 1"
+    chains = _chain_ends(crowded.filter(passed).select("node", F.col("only").alias("end")))
+    stems = crowded.filter(f"not ({passed})").select(F.col("node").alias("parent"), F.col("ends").alias("stem_ends"))
+    inner = counted.join(stems, "parent", "left").filter("parent = 0 or stem_ends is not null").withColumn("stem_ends", F.coalesce("stem_ends", F.lit(False)))
+    far = chains.join(crowded.select(F.col("node").alias("end"), F.col("depth").alias("end_depth"), F.col("ends").alias("end_ends")), "end")
+    led = inner.join(far, "node", "left")
+    plain = led.filter("n > 1 and end is null").select("parent", "letter", "stem_ends", F.lit("").alias("tail"), "node", "ends", F.lit(None).cast("long").alias("word"))
+    named = led.filter("n = 1 or end is not null").join(words.select("number", "word"), "number")
+    tail = F.expr("CASE WHEN n = 1 THEN substring(word, depth + 1) ELSE substring(word, depth + 1, end_depth - depth) END")
+    single = F.col("n") == 1
+    named = named.select("parent", "letter", "stem_ends", tail.alias("tail"), F.when(~single, F.col("end")).alias("node"), F.when(single, F.col("ends")).otherwise(F.col("end_ends")).alias("ends"), F.when(single, F.col("number")).alias("word"))
+    return stage(plain.unionByName(named), "op12-edges")
+
+
+_SIDE = ("tail", "node", "ends", "word")
 
 
 def _child(name: str) -> list[Column]:
-    """Columns of an edge's node as one side of a state."""
-    return [F.col(c).alias(f"{name}_{c}") for c in ("node", "ends", "tail", "word")]
+    """Columns of an edge's end as one side of a state."""
+    return [F.col(c).alias(f"{name}_{c}") for c in _SIDE]
+
+
+def _trimmed(states: DataFrame) -> DataFrame:
+    """States without the letters that both sides have ahead; those that differ there are gone."""
+    both = F.least(F.length("x_tail"), F.length("y_tail"))
+    kept = states.withColumn("both", both).filter("left(x_tail, both) = left(y_tail, both)")
+    return kept.withColumns({c: F.expr(f"substring({c}, both + 1)") for c in ("x_tail", "y_tail")}).drop("both").filter(f"({_OPEN}) or ({_MET})")
+
+
+#: Both sides have ended in a word; a side at a node of several words waits for letters.
+_MET = "x_tail = '' and y_tail = '' and (x_word is not null or x_ends) and (y_word is not null or y_ends)"
+_OPEN = "(x_tail = '' and x_node is not null and y_tail <> '') or (y_tail = '' and y_node is not null and x_tail <> '') or (x_tail = '' and y_tail = '' and x_node is not null and y_node is not null)"
 
 
 def _met(states: DataFrame) -> DataFrame:
     """Pairs of words that states have reached, as ``(a, b)``."""
-    x_one, y_one = F.col("x_tail").isNotNull(), F.col("y_tail").isNotNull()
-    both = x_one & y_one & (F.col("x_tail") == F.col("y_tail"))
-    left = x_one & ~y_one & (F.col("x_tail") == "") & F.col("y_ends")
-    right = ~x_one & y_one & (F.col("y_tail") == "") & F.col("x_ends")
-    neither = ~x_one & ~y_one & F.col("x_ends") & F.col("y_ends")
-    return states.filter(both | left | right | neither).select(F.coalesce("x_word", "x_node").alias("a"), F.coalesce("y_word", "y_node").alias("b"))
+    return states.filter(_MET).select(F.coalesce("x_word", "x_node").alias("a"), F.coalesce("y_word", "y_node").alias("b"))
 
 
-def _one_letter_on(states: DataFrame, trie: DataFrame, small: bool) -> DataFrame:
-    """States whose two sides have read one more letter, the same on both."""
+def _one_edge_on(states: DataFrame, trie: DataFrame, small: bool) -> DataFrame:
+    """States whose sides have read on along an edge, the same letters on both."""
 
     def sent(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if small else rows
 
-    many = states.filter("x_tail is null and y_tail is null").select(F.col("x_node").alias("parent"), F.col("y_node").alias("other"))
+    many = states.filter("x_tail = '' and y_tail = ''").select(F.col("x_node").alias("parent"), F.col("y_node").alias("other"))
     read = trie.join(sent(many), "parent").select("letter", *_child("x"), "other")
-    one = states.filter("(x_tail is null) <> (y_tail is null)").select(F.coalesce("x_tail", "y_tail").alias("rest"), F.coalesce("x_word", "y_word").alias("word"), F.when(F.col("x_tail").isNull(), F.col("x_node")).otherwise(F.col("y_node")).alias("other"))
-    one = one.filter("rest <> ''").select(F.ascii("rest").alias("letter"), F.col("word").alias("x_node"), F.lit(False).alias("x_ends"), F.expr("substring(rest, 2)").alias("x_tail"), F.col("word").alias("x_word"), "other")
-    return _followed(sent(read.unionByName(one)), trie)
-
-
-def _followed(read: DataFrame, trie: DataFrame) -> DataFrame:
-    """States of ``read(letter, x..., other)``, whose side x has read the letter that ``other`` must read too."""
+    x_waits = F.col("x_tail") == ""
+    ahead = states.filter("x_tail <> '' or y_tail <> ''").select(*[F.when(x_waits, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"x_{c}") for c in _SIDE], F.when(x_waits, F.col("x_node")).otherwise(F.col("y_node")).alias("other"))
+    ahead = ahead.select(F.ascii("x_tail").alias("letter"), F.expr("substring(x_tail, 2)").alias("x_tail"), *[f"x_{c}" for c in _SIDE[1:]], "other")
     own = trie.select(F.col("parent").alias("other"), "letter", *_child("y"))
-    return own.join(read, ["other", "letter"]).drop("other", "letter")
+    return _trimmed(own.join(sent(read.unionByName(ahead)), ["other", "letter"]).drop("other", "letter"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -186,25 +213,20 @@ def neighbours(words: DataFrame) -> DataFrame:
     x = trie.select("parent", F.col("letter").alias("x_letter"), *_child("x"))
     y = trie.select("parent", F.col("letter").alias("y_letter"), *_child("y"))
     pairs = x.join(y, "parent").filter("x_letter <> y_letter")
-    sides = [c for c in pairs.columns if c[:2] in ("x_", "y_") and not c.endswith("letter")]
+    sides = [f"{k}_{c}" for k in "xy" for c in _SIDE]
     replaced = pairs.filter("x_letter < y_letter").select(*sides)
-    # y's letter stands before that of x: x has read its letter, and y must read it next
-    one = F.col("y_tail").isNotNull()
-    behind = pairs.filter(one & (F.ascii("y_tail") == F.col("x_letter"))).withColumn("y_tail", F.expr("substring(y_tail, 2)")).withColumn("y_ends", F.lit(False)).select(*sides)
-    ahead = _followed(pairs.filter(~one).select(F.col("x_letter").alias("letter"), *[c for c in sides if c[0] == "x"], F.col("y_node").alias("other")), trie)
-    added = trie.filter("stem_ends and ends").select(F.col("parent").alias("a"), F.col("node").alias("b"))
-    states = replaced.unionByName(behind).unionByName(ahead)
-    open_ = "x_tail is null or y_tail is null"
-    some_tail = "x_tail is not null and y_tail is not null and x_tail = y_tail"
-    states = stage(states.filter(f"({open_}) or ({some_tail})"), "op12-frontier")
+    # y's letter stands before that of x, so x is still to be read from its first letter on
+    inserted = pairs.withColumn("x_tail", F.concat(F.char("x_letter"), "x_tail")).select(*sides)
+    added = trie.filter("stem_ends and tail = '' and (word is not null or ends)").select(F.col("parent").alias("a"), F.coalesce("word", "node").alias("b"))
+    states = stage(_trimmed(replaced.unionByName(inserted)), "op12-frontier")
     found = [stage(added, "op12-pairs")]
     while True:
         found.append(_met(states))
-        left = states.filter(open_)
+        left = states.filter(_OPEN)
         count = left.limit(FRONTIER + 1).count()
         if count == 0:
             break
-        states = stage(_one_letter_on(left, trie, count <= FRONTIER).filter(f"({open_}) or ({some_tail})"), "op12-frontier")
+        states = stage(_one_edge_on(left, trie, count <= FRONTIER), "op12-frontier")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
