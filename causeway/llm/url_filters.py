@@ -17,16 +17,20 @@ Cases
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEATURES = 2048
+FEATURES = 32768
 SIZES = (3, 4, 5)
-RIDGE = 0.002
+RIDGE = 0.0005
+#: What an unwanted row counts against an ordinary one, of which there are more.
+BLOCKED_WEIGHT = 4.0
 
 
 @dataclass(frozen=True)
@@ -44,33 +48,63 @@ class Rule:
 
 RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-# A small labelled table of URLs (host and path), by topic, made up
-# without names or paths of any table that is to be judged.
-BLOCKED_URLS = """
-royal-casino.test/lobby grandcasino.test/roulette online-casino-bonus.test/signup casinoclub.test/jackpots vegas-casino.test/blackjack www.casino-palace.test/deposit mobile-casino.test/app
-sportsbetting.test/odds betnow.test/live-odds bet-king.test/football bets365days.test/accumulator crypto-bets.test/stake freebet-codes.test/claim super-bets.test/tips horse-bets.test/races
-poker-stars-club.test/tables slotsmania.test/spin mega-slots.test/bonus lottowinner.test/claim jackpot-winners.test/ticket win-big-prizes.test/wheel instant-win.test/scratch gambling-hub.test/vip bingo-cash.test/room
-adultvideos.test/watch adult-dating.test/nearby free-adult-chat.test/rooms xxxmovies.test/clips xxx-live.test/cams porntube.test/categories pornstars.test/gallery sexcams.test/models hot-sex-chat.test/join nudegirls.test/photos escorts-city.test/book erotic-stories.test/new
-buy-spam-lists.test/order spamblaster.test/mailer spam-links.test/packages link-farm-pro.test/backlinks backlinkfarm.test/buy seo-blast.test/traffic bulk-mailer.test/send comment-spam.test/bot
-buy-pills.test/cart pillsdirect.test/no-prescription cheapmeds.test/order cheap-viagra.test/buy viagra-online.test/discount cialis-store.test/deal diet-pills-now.test/trial rx-pharma-deals.test/checkout cheap-cigarettes.test/carton
-adserver.test/pixel adtracker.test/beacon ads-delivery.test/banner tracking-pixel.test/collect track-clicks.test/redirect popup-ads.test/serve clicktrack.test/go bannerads.test/rotate adsclick.test/impression retarget-track.test/sync
-malware-host.test/setup.exe trojan-loader.test/payload phishing-bank.test/verify-account account-verify-login.test/password keygen-crack.test/download warez-archive.test/full-version torrent-cracks.test/serial
-paydayloans.test/apply fast-cash-loans.test/instant easy-money.test/join get-rich-quick.test/secret crypto-doubler.test/deposit forex-signals-profit.test/register free-iphone.test/winner survey-rewards.test/claim free-giftcards.test/generator
-replica-watches.test/rolex fake-handbags.test/sale cheap-replica.test/outlet miracle-cure.test/order weight-loss-trick.test/doctors-hate fake-diplomas.test/buy
+# Words of unwanted and of ordinary hosts by topic, words that go with
+# either, and syllables of names that mean nothing to the model.
+UNWANTED = """
+casino poker slots roulette jackpot betting bets gambling lottery bingo wager blackjack
+porn xxx adult sex nude escort erotic webcam hookup fetish
+viagra cialis pills pharmacy-deals steroids slimming miracle-cure
+spam backlinks linkfarm bulkmail traffic-bot seo-blast mass-mailer
+malware phishing trojan keygen crack warez serialz ransom botnet
+payday quickloan get-rich forex-profit crypto-doubler giveaway prizes survey-cash
+replica counterfeit fake-id knockoff
+adserver popup-ads ads clicks tracker banner-ads doubleclicks
 """.split()
-ALLOWED_URLS = """
-dailyherald.test/politics www.citytimes.test/local morningpost.test/world weather.test/forecast radio.test/programmes evening-news.test/economy magazine.test/essays press-review.test/archive
-gardening.test/roses cooking.test/recipes/bread travel-notes.test/italy photo-diary.test/mountains book-club.test/reviews blog.knitting.test/patterns hiking-trails.test/map woodwork.test/projects
-university.test/courses physics.test/papers library.test/catalogue museum.test/visit school.test/pupils institute.test/research academy.test/lectures observatory.test/stars anthropology.test/journal mathematics.test/theorems
-docs.software.test/tutorial wiki.linux.test/install forum.compilers.test/thread manual.test/chapter opendata.test/tables code.test/project developer.test/reference database.test/queries algorithms.test/sorting
-hospital.test/wards clinic.test/hours health.test/advice city-council.test/notices parliament.test/debates ministry.test/statistics police.test/contact court.test/judgments embassy.test/visas
-shoes.test/sizes bakery.test/menu hotel.test/rooms railway.test/timetable bank.test/branches insurance.test/policies furniture.test/chairs bicycles.test/repairs restaurant.test/reservations
-orchestra.test/concerts theatre.test/season cinema.test/programme gallery.test/exhibition choir.test/rehearsals film-archive.test/silent poetry.test/sonnets novelists.test/interviews
-football-club.test/fixtures swimming.test/lessons chess.test/openings athletics.test/results rowing.test/regatta tennis.test/courts
-geology.test/minerals birds.test/species river-authority.test/levels forest.test/walks oceans.test/currents butterflies.test/identification
-zeitung.test/wirtschaft strasse.test/verkehr rathaus.test/termine buchhandlung.test/romane maison.test/cuisine mairie.test/horaires lumiere.test/histoire jardin.test/plantes ciudad.test/noticias mercado.test/frutas escuela.test/alumnos biblioteca.test/libros
-family.test/history another-day.test/journal brothers.test/workshop northern-lights.test/guide weatherstation.test/readings motherhood.test/stories translation.test/dictionary stationery.test/paper foundation.test/grants tradition.test/customs
+ORDINARY = """
+herald gazette times weather radio news magazine press bulletin journal
+garden cooking recipes travel photo books knitting hiking woodwork museum
+university physics library school institute academy history mathematics chemistry biology
+software wiki forum manual data code developer database algorithms statistics
+hospital clinic health council parliament ministry police court embassy station
+shoes bakery hotel railway bank insurance furniture bicycles restaurant market
+orchestra theatre cinema gallery choir film poetry novels opera dance
+football swimming chess athletics rowing tennis sailing cycling skating climbing
+geology birds river forest ocean butterfly mountain island valley coast
+zeitung strasse rathaus maison mairie jardin ciudad mercado escuela biblioteca
 """.split()
+EITHER = "online club best new my city live top world info now pro center home direct plus daily first point group".split()
+SYLLABLES = "an ba be bra co da de dor el en er est fa fi fra ga ge go ha he hel in ion ka ke kla la le li lo ma me mi mon na ne ni no nor on or ou pa pe po ra re ri ro sa se si sta ta te ter th the ti to tre tri ul un ur va ve vi wa we wi za ze".split()
+ENDINGS = ("com", "org", "net", "info", "test", "co.uk", "de", "fr", "example.com", "example.org")
+PATHS = ("/", "/index.html", "/en/{k}", "/de/{k}.html", "/fr/{k}/", "/es/{k}", "/p/{k}", "/{k}", "/page/{k}.html", "/about", "/a/b/{k}")
+#: Rows of names without meaning, all ordinary; so a host is not unwanted for want of known words.
+NAMES = 900
+
+
+def _pick(values: Sequence[str], *keys: object) -> str:
+    """One of ``values``, chosen by a checksum of the keys."""
+    return values[zlib.crc32(repr(keys).encode()) % len(values)]
+
+
+def _url(stem: str, k: int) -> str:
+    front = _pick(("", "", "", "www.", "m.", "blog."), "front", stem, k)
+    return f"http://{front}{stem}.{_pick(ENDINGS, 'end', stem, k)}{_pick(PATHS, 'path', stem, k).format(k=zlib.crc32(f'{stem}{k}'.encode()) % 1000)}"
+
+
+def _stems(word: str) -> list[str]:
+    """Host names with a word: alone, and with words and syllables that go with anything."""
+    shapes = ("{w}", "{h}-{w}", "{w}-{h}", "{w}{h}", "{h}{w}", "{w}-{n}", "{n}-{w}", "{w}{n}", "{h}-{w}-{n}", "{n}-{w}-{h}")
+    return [shape.format(w=word, h=_pick(EITHER, word, k), n=_pick(SYLLABLES, word, k) + _pick(SYLLABLES, k, word)) for k, shape in enumerate(shapes)]
+
+
+def labelled_urls() -> list[tuple[str, bool, str]]:
+    """The labelled table by rule: URL, whether it is unwanted, and the word it was made of."""
+    rows = [(_url(stem, k), blocked, word) for words, blocked in ((UNWANTED, True), (ORDINARY, False)) for word in words for k, stem in enumerate(_stems(word))]
+    for k in range(NAMES):
+        name = "".join(_pick(SYLLABLES, "name", k, i) for i in range(2 + k % 3))
+        stem = name if k % 4 else f"{name}-{''.join(_pick(SYLLABLES, 'second', k, i) for i in range(2))}"
+        rows.append((_url(stem, k), False, f"name {k}"))
+    rows += [(_url(f"{_pick(EITHER, 'one', k)}-{_pick(EITHER, 'two', k)}", k), False, f"either {k}") for k in range(60)]
+    return rows
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -104,18 +138,17 @@ def slots(host: Column, path: Column) -> Column:
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The labelled table ``(url, blocked)``."""
-    rows = [(f"http://{u}", 1.0) for u in BLOCKED_URLS] + [(f"http://{u}", 0.0) for u in ALLOWED_URLS]
-    return spark.createDataFrame(rows, "url string, blocked double")
+    return spark.createDataFrame([(url, float(blocked)) for url, blocked, _ in labelled_urls()], "url string, blocked double")
 
 
 def train(table: DataFrame) -> tuple[list[float], float]:
     """Weights of the slots and intercept, from ``table(url, blocked)`` of at most thousands of rows."""
     host, path = parts(F.col("url"))
-    own = table.select(slots(host, path).alias("slots"), "blocked").coalesce(1)
-    wide = F.transform(F.sequence(F.lit(0), F.lit(FEATURES - 1)), lambda i: F.array_contains("slots", i.cast("bigint")).cast("double"))
-    rows = own.select(array_to_vector(wide).alias("features"), F.col("blocked").alias("label"))
-    model = LogisticRegression(regParam=RIDGE, standardization=False, maxIter=50, tol=1e-6).fit(rows)
-    return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
+    weight = F.when(F.col("blocked") == 1, F.lit(BLOCKED_WEIGHT)).otherwise(F.lit(1.0))
+    own = table.select(slots(host, path).cast("array<string>").alias("slots"), F.col("blocked").alias("label"), weight.alias("weight")).coalesce(1)
+    places = CountVectorizerModel.from_vocabulary([str(k) for k in range(FEATURES)], inputCol="slots", outputCol="features")
+    model = LogisticRegression(regParam=RIDGE, standardization=False, maxIter=80, tol=1e-6, weightCol="weight").fit(places.setBinary(True).transform(own))
+    return [round(float(w), 4) for w in model.coefficients.toArray()], float(model.intercept)
 
 
 def logit(host: Column, path: Column, weights: list[float], intercept: float) -> Column:

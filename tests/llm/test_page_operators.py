@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 import struct
 
 import duckdb
@@ -162,22 +163,43 @@ def test_url_model_equals_its_weights(spark):
 
 
 #: URLs of hosts that are not in the labelled table, written before any of them was judged.
-HELD_OUT_BLOCKED = "lucky-casino-games.test/play poker-nights.test/join bets-today.test/odds slot-jackpots.test/bonus hotadult.test/cams xxx-clips.test/new porn-videos.test/free spam-mailers.test/order pills-shop.test/buy viagra-deals.test/cart ad-banners.test/serve clicktracker.test/pixel cracked-software.test/serial replica-bags.test/outlet cash-loans-now.test/apply casino-win.example.com/en/5 free-bets.example.org/fr/20 ads-track.example.com/de/3.html cheap-pills.example.org/es/9 spam-farm.example.com/en/77 adult-x.example.org/de/8".split()
-HELD_OUT_ALLOWED = "eveningpost.test/sports archaeology.test/finds kitchen-garden.test/herbs townhall.test/minutes botany.test/plants lighthouse.test/history pianolessons.test/teachers cathedral.test/tours chemistry.test/journals bookshop.test/novels veterinary.test/hours airport.test/arrivals kindergarten.test/anmeldung boulangerie.test/pain montana.test/viajes statistics.test/yearbook architecture.test/houses sailing.test/harbours ththat.example.com/en/12 tiontion.example.org/fr/7 therha.example.com/es/44.html".split()
-
-
-def test_url_model_on_held_out_hosts(spark):
-    """The labelled table holds no host of the tables, and hosts outside it are judged by their topics."""
-    stem = lambda u: re.sub(r"^(www|m|blog)\.", "", u.split("/")[0].lower()).split(".")[0]
-    taught = {stem(u) for u in [*url_filters.BLOCKED_URLS, *url_filters.ALLOWED_URLS]}
-    pages = [r["url"].split("://")[-1] for r in spark.read.parquet(f"{DATA}/pages.parquet").filter("url LIKE '%://%'").collect()]
-    assert not taught & {stem(u) for u in [*pages, *HELD_OUT_BLOCKED, *HELD_OUT_ALLOWED]}
-    rows = [(f"http://{u}", v) for us, v in ((HELD_OUT_BLOCKED, "block"), (HELD_OUT_ALLOWED, "allow")) for u in us]
-    frame = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
-    found = {r["page_id"]: r["verdict"] for r in url_filters.judge(frame, rules=()).collect()}
-    wrong = [u for k, (u, v) in enumerate(rows) if found[k] != v]
-    print(len(wrong), "of", len(rows), "wrong:", wrong)
-    assert len(wrong) <= 0.15 * len(rows)
+def _verdicts(spark, urls, table=None):
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] == "block" for r in url_filters.judge(frame, rules=(), table=table).collect()}
+    return [found[k] for k in range(len(urls))]
+
+
+def test_url_model_on_unseen_hosts_of_known_words(spark):
+    """Hosts in no training row, made of the table's words and a word that it lacks."""
+    taught = {u.split("/")[2] for u, _, _ in url_filters.labelled_urls()}
+    fresh = {blocked: [f"http://{w}{end}.example.info/{w}" for w in words for end in ("zone", "-hub")] for blocked, words in ((True, url_filters.UNWANTED), (False, url_filters.ORDINARY))}
+    assert not taught & {u.split("/")[2] for us in fresh.values() for u in us}
+    blocked, ordinary = (_verdicts(spark, fresh[k]) for k in (True, False))
+    print(sum(blocked), "of", len(blocked), "blocked,", sum(ordinary), "of", len(ordinary), "falsely")
+    assert sum(blocked) >= 0.85 * len(blocked) and sum(ordinary) <= 0.02 * len(ordinary)
+
+
+def test_url_model_leaves_ordinary_pages_alone(spark):
+    """Hosts of the pages are no training rows; those that are syllables only are allowed, of the others more than half are not."""
+    pages = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("url LIKE '%://%'").select("url").distinct().collect()]
+    host = lambda u: u.split("://")[1].split("/")[0].lower()
+    assert not {u.split("/")[2] for u, _, _ in url_filters.labelled_urls()} & {host(u) for u in pages}
+    verdicts = dict(zip(pages, _verdicts(spark, pages), strict=True))
+    planted = [v for u, v in verdicts.items() if "-" in host(u)]
+    ordinary = [v for u, v in verdicts.items() if "-" not in host(u)]
+    print(sum(planted), "of", len(planted), "planted blocked,", sum(ordinary), "of", len(ordinary), "ordinary blocked")
+    assert sum(ordinary) <= 0.02 * len(ordinary) and sum(planted) >= 0.5 * len(planted)
+
+
+def test_url_model_on_unseen_words(spark):
+    """A model that never saw a quarter of the words does not block what it does not know."""
+    held = lambda w: zlib.crc32(f"h{w}".encode()) % 4 == 0
+    rows = url_filters.labelled_urls()
+    table = spark.createDataFrame([(u, float(b)) for u, b, w in rows if not held(w)], "url string, blocked double")
+    unseen = [(u, b) for u, b, w in rows if held(w)]
+    verdicts = _verdicts(spark, [u for u, _ in unseen], table)
+    false = [v for (_, b), v in zip(unseen, verdicts, strict=True) if not b]
+    assert sum(false) <= 0.05 * len(false)
 
 
 @pytest.fixture(scope="module")
