@@ -172,6 +172,7 @@ def nearest_facility(
     are plain numbers that tasks reduce before they are dealt.  Facilities follow
     along edges of cheapest paths; equal costs go to the least facility.  With
     ``strict`` a facility outside the graph raises ``ValueError``; else it is left out.
+    No facility at all raises, and so does a cost that is negative or no finite number.
     """
     spark = edges.sparkSession
     names = sorted(r[0] for r in scenarios.select("scenario_key").distinct().collect()) if scenarios is not None else ["baseline"]
@@ -184,10 +185,14 @@ def nearest_facility(
         roads_in = roads_in.withColumn("shut", F.lit(None).cast("array<int>"))
     roads_in = roads_in.select("from_node", "to_node", "cost_seconds", F.coalesce("shut", F.array().cast("array<int>")).alias("shut"))
     roads_in = stage(roads_in.repartition("from_node"), "path-edges")
+    if not roads_in.filter(~F.coalesce(_finite("cost_seconds") & (F.col("cost_seconds") >= 0), F.lit(False))).isEmpty():
+        raise ValueError("an edge has a cost that is negative or no number")
     inside = roads_in.select(F.col("to_node").alias("node")).union(roads_in.select("from_node")).distinct()
     if strict and not facilities.join(inside, "node", "left_anti").isEmpty():
         raise ValueError("a facility lies outside the graph")
     sources = stage(facilities.join(inside, "node").groupBy("node").agg(F.min("facility_id").alias("facility_id")), "path-sources")
+    if sources.isEmpty():
+        raise ValueError("no facility in the graph")
     state = stage(keys.select("key").crossJoin(sources.select("node")).select("key", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")), "path-state")
     for _ in range(rounds):
         state = stage(_relaxed(_relaxed(state, roads_in), roads_in), "path-state")

@@ -25,13 +25,18 @@ def snap(points: DataFrame, nodes: DataFrame, *, limit_m: float, box: tuple[floa
 
     A point outside ``box`` or farther than ``limit_m`` from every node keeps its
     distance but no node.  Points that found none look twice as far in the next
-    pass, so a pass meets few nodes per point.  No node at all raises.
+    pass, so a pass meets few nodes per point, and the reach is bounded by the box of both
+    sides.  No node at all raises, and so does a position that is not a finite number,
+    of a point or a node.
     """
     if limit_m <= 0 or nodes.isEmpty():
         raise ValueError("snapping needs a limit above zero and nodes")
     points = stage(points.select("point_id", "x_m", "y_m"), "snap-points")
     finite = (F.abs(F.col("x_m")) < float("inf")) & (F.abs(F.col("y_m")) < float("inf"))  # false for NaN, which is above all
     require(points, {"points have finite positions": finite})
+    require(nodes, {"nodes have finite positions": finite})
+    ends = points.select("x_m", "y_m").union(nodes.select("x_m", "y_m")).agg(*[f(c) for c in ("x_m", "y_m") for f in (F.min, F.max)]).first()
+    widest = 2 * (abs(ends[1] - ends[0]) + abs(ends[3] - ends[2])) + limit_m if ends[0] is not None else limit_m
     found, left, reach = None, points, limit_m
     while True:
         here = stage(_nearest(left, nodes, reach), "snap-found")
@@ -39,6 +44,8 @@ def snap(points: DataFrame, nodes: DataFrame, *, limit_m: float, box: tuple[floa
         left = stage(left.join(here, "point_id", "left_anti"), "snap-left")
         if left.isEmpty():
             break
+        if reach > widest:  # not reached: within the box of both sides each point has a node
+            raise ValueError("points without a node in reach")
         reach *= 2
     x, y, d = F.col("x_m"), F.col("y_m"), F.col("b.d")
     low_x, low_y, high_x, high_y = (F.lit(float(v)) for v in box) if box else (x, y, x, y)

@@ -76,6 +76,8 @@ VIEWS: dict[str, str] = {
         FROM {orders}""",
 }
 
+#: The image over the plane of the nodes, within which roads have evidence.
+IMAGE = (100.0, 0.0, 800.0, 1010.0)
 #: Water thresholds on the discount of a line, by scenario.
 SCENARIOS = {"wet_03": 0.03, "wet_05": 0.05, "wet_08": 0.08}
 
@@ -103,10 +105,12 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evidence of the segments inside the image, and their water by scenario.
 
-    Every second way lies in the image; others have no row, which is unknown.
+    The image is the box ``IMAGE``; segments that do not lie in it whole have no row, which is unknown.
     """
     lines = view(spark, sf_dir, "way_node_v").select("way_id", F.col("idx").cast("bigint").alias("idx"), "l_discount", "l_tax")
-    seen = segments.select("segment_id", "way_id", "idx", "length_m").join(lines, ["way_id", "idx"]).filter(F.floor(F.col("way_id") / 10) % 2 == 0)
+    low_x, low_y, high_x, high_y = IMAGE
+    inside = F.col("ax").between(low_x, high_x) & F.col("bx").between(low_x, high_x) & F.col("ay").between(low_y, high_y) & F.col("by_").between(low_y, high_y)
+    seen = segments.filter(inside).select("segment_id", "way_id", "idx", "length_m").join(lines, ["way_id", "idx"])
     seen = seen.withColumn("retained_m", F.when(F.col("l_tax") < 0.04, F.col("length_m")).otherwise(F.col("length_m") * 0.6))
     rows = seen.select("segment_id", "length_m", F.col("length_m").alias("within_tile_m"), F.col("length_m").alias("supported_m"), "retained_m", "l_discount")
     grid = spark.createDataFrame(list(SCENARIOS.items()), "scenario_id string, threshold double")

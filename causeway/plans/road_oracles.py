@@ -26,7 +26,7 @@ def _closed(names: list[str] | None = None) -> str:
     own = names or list(SCENARIOS)
     keys = _KEYS.format(names=", ".join(f"'{n}'" for n in own), values=", ".join(f"{SCENARIOS[n]}e0" for n in own))
     return f""", ky AS (SELECT concat_ws('|', scenario_id, policy, rule) AS scenario_key, * FROM ({keys})),
-ev AS (SELECT segment_id, length_m, cast(floor(way_id / 10) AS BIGINT) % 2 = 0 AS seen, CASE WHEN l_tax < 0.04e0 THEN length_m ELSE length_m * 0.6e0 END AS retained, l_discount, is_bridge, is_tunnel FROM sg),
+ev AS (SELECT segment_id, length_m, ax BETWEEN 100 AND 800 AND bx BETWEEN 100 AND 800 AND ay BETWEEN 0 AND 1010 AND by_ BETWEEN 0 AND 1010 AS seen, CASE WHEN l_tax < 0.04e0 THEN length_m ELSE length_m * 0.6e0 END AS retained, l_discount, is_bridge, is_tunnel FROM sg),
 cl AS (SELECT * FROM (SELECT scenario_key, scenario_id, policy, rule, segment_id, CASE WHEN seen AND l_discount >= threshold AND (CASE WHEN policy = 'retained_overlap' THEN retained ELSE length_m END) >= 15 AND NOT is_tunnel AND (NOT is_bridge OR rule = 'bridge_candidate')
     THEN CASE WHEN policy = 'retained_overlap' THEN 'retained_overlap' ELSE 'supported_overlap' END
   WHEN policy = 'supported_plus_within_tile_unknown' AND seen AND length_m > 0 AND retained < length_m - 1e-6 THEN 'within_tile_unknown'
