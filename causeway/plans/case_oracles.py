@@ -70,4 +70,7 @@ ORACLES: dict[str, str] = {
     "nearest_link": ro._W + """, q AS (SELECT segment_id, (bx - ax) * 0.78e0 AS dx, by_ - ay AS dy, (512.5e0 - ax) * 0.78e0 AS qx, 487.5e0 - ay AS qy FROM sg), f AS (SELECT *, greatest(0e0, least(1e0, (qx * dx + qy * dy) / (dx * dx + dy * dy))) AS u FROM q),
         g AS (SELECT segment_id, sqrt((qx - u * dx) * (qx - u * dx) + (qy - u * dy) * (qy - u * dy)) AS gap FROM f) SELECT segment_id, round(gap, 6) AS distance FROM g WHERE gap <= 9 ORDER BY gap, segment_id LIMIT 1""",
     "boundary_audit": f"SELECT count(*) AS paths, count(*) FILTER (border_m <= 50) AS within_guard, count(*) FILTER (border_m < 0) AS leaving, min(border_m) AS least_border_m FROM ({ro.ORACLES['path_audit']})",
+    "run_gates": ro._RUNS + """, a AS (SELECT run_id, o_custkey, status = 'complete' AND hash_ok AS sound, row_number() OVER (PARTITION BY o_custkey ORDER BY completed_at, run_id) AS k FROM run_v JOIN orders ON o_orderkey = run_id),
+        b AS (SELECT *, max(CASE WHEN NOT sound THEN k END) OVER (PARTITION BY o_custkey ORDER BY k) AS bad FROM a)
+        SELECT b.run_id, bad IS NULL AS valid, c.run_id AS cause, b.k - bad AS depth FROM b LEFT JOIN a c ON c.o_custkey = b.o_custkey AND c.k = b.bad""",
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import pixels as px
 from causeway.operators import access, catalog, evaluate, scenarios, spatial, tiles
-from causeway.plans import pixel_queries, road_queries
+from causeway.plans import pixel_queries, road_queries, runlog
 from causeway.plans.bindings import SCENARIOS, evidence, table, view
 from causeway.staging import stage
 
@@ -166,10 +166,18 @@ def boundary_audit(spark, sf_dir):
     return out
 
 
+def run_gates(spark, sf_dir):
+    """Which runs stand, if each rests on the one before it of the same customer."""
+    runs = view(spark, sf_dir, "run_v").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), "o_custkey"), "run_id")
+    before = F.lag("run_id").over(Window.partitionBy("o_custkey").orderBy("completed_at", "run_id"))
+    runs = stage(runs.select("run_id", ((F.col("status") == "complete") & F.col("hash_ok")).alias("sound"), before.alias("rests_on")), "runs")
+    return runlog.gates(runs.select("run_id", "sound"), runs.filter("rests_on IS NOT NULL").select("run_id", "rests_on"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         case_scores, case_grid, final_methods, final_macro, final_retention, chip_event_join, footprint_audit, tile_quality, case_observation, inventory_audit, fusion_conditions,
-        budget_grid, normalized_dates, inspection_picks, closure_index_audit, clip_rejects, nearest_link, boundary_audit,
+        budget_grid, normalized_dates, inspection_picks, closure_index_audit, clip_rejects, nearest_link, boundary_audit, run_gates,
     )
 }
