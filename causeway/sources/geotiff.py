@@ -50,6 +50,8 @@ INFO = "path string, width int, height int, bands int, dtype string, block_heigh
 BLOCKS = "name string, place int, content binary"
 #: Bytes of a file beyond which its rows of blocks are dealt over several partitions.
 SPLIT_BYTES = 64 << 20
+#: Small files that one task reads at most.
+TOGETHER = 32
 _FAR = 1 << 40
 
 
@@ -87,9 +89,9 @@ class _File:
 
 @dataclass
 class _Part(InputPartition):
-    path: str
-    first: int
-    stop: int
+    """Files with the rows to read of each."""
+
+    pieces: list[tuple[str, int, int]]
 
 
 class _PixelReader(DataSourceReader):
@@ -118,6 +120,7 @@ class _PixelReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         out: list[InputPartition] = []
+        small, held = [], 0
         for path, size in files(self.root):
             low, stop = self.rows
             if size > SPLIT_BYTES:
@@ -126,27 +129,33 @@ class _PixelReader(DataSourceReader):
                 low, stop = max(low, 0), min(stop, layout.height)
                 high = layout.block[0]
                 step = max(1, layout.down * SPLIT_BYTES // size) * high
-                out += [_Part(path, max(low, top), min(stop, top + step)) for top in range(low // high * high, stop, step)]
+                out += [_Part([(path, max(low, top), min(stop, top + step))]) for top in range(low // high * high, stop, step)]
             else:
-                out.append(_Part(path, low, stop))
-        return out or [_Part("", 0, 0)]
+                if small and (held + size > SPLIT_BYTES or len(small) == TOGETHER):
+                    out.append(_Part(small))
+                    small, held = [], 0
+                small.append((path, low, stop))
+                held += size
+        return [*out, *([_Part(small)] if small else [])] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        with _File(self.root, partition.path) as file:
+        for piece in partition.pieces:
+            yield from self._pixels(*piece)
+
+    def _pixels(self, path: str, first: int, stop: int) -> Iterator[pa.RecordBatch]:
+        with _File(self.root, path) as file:
             layout = tiff.directory(file.read)
             bands = list(range(layout.bands)) if self.bands is None else self.bands
             if any(not 0 <= b < layout.bands for b in bands):
-                raise tiff.TiffError(f"{partition.path} has {layout.bands} bands")
-            for top, left, values in tiff.window(layout, file.read, (partition.first, partition.stop), self.columns, bands):
+                raise tiff.TiffError(f"{path} has {layout.bands} bands")
+            for top, left, values in tiff.window(layout, file.read, (first, stop), self.columns, bands):
                 high, wide = values.shape[:2]
                 n = high * wide
                 flat = pa.array(np.ascontiguousarray(values, np.float64).reshape(-1))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(bands)), flat)
                 rows = np.repeat(np.arange(top, top + high, dtype=np.int64), wide)
                 columns = np.tile(np.arange(left, left + wide, dtype=np.int64), high)
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * n), pa.array(rows), pa.array(columns), listed], names=["path", "px_row", "px_col", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(rows), pa.array(columns), listed], names=["path", "px_row", "px_col", "values"])
 
 
 class _InfoReader(DataSourceReader):
