@@ -4,17 +4,21 @@ Pages of one host share a template.  Up to ``LENDERS`` different pages of a host
 their trees, which are aligned and merged into one, so a block that some of them
 lack, or an odd page among them, does no harm.  Every page of the host is aligned
 with the merged tree by simple tree matching, and for each of its nodes Spark counts
-the pages that have it and those with the text most lenders have there.  Nodes with the same text on nearly all pages are template; the slots that
-vary are content.  What a page itself marks as furniture (navigation, header,
-footer, side column, notice, advert, form, comments, by tag, role, class or id)
-is left out even where it varies.  Template is left out everywhere, also inside an
+the pages that have it and those with the text most lenders have there.  A node that
+at least ``SPREAD`` of the host's pages have, nearly all of them with the same text, is
+template; the slots that vary are content.  What a page itself marks as furniture
+(navigation, header, footer, side column, notice, advert, form, comments, by tag, role,
+class or id) is left out even where it varies, and so are lists of entries that readers
+signed (see ``_signed``).  Template is left out everywhere, also inside an
 article or main part.  What such a mark says is evidence for the choice among the
 slots that vary: if the marked ones hold at least ``MARKED`` of their text, the
 page is read from there, else (an article that is only a teaser) from all slots.
 
-Trees are small: runs of like siblings count as one node, and texts as hashes.  All
-nodes take part.  Siblings align with those at most ``BAND`` places away, which keeps
-long pages linear.
+Every element is a node, texts are hashes.  The matching is the largest one that keeps
+order and depth, over all pairs of siblings; of the largest, one with most equal
+siblings.  Sizes are kept by pairs of shapes, and a row of siblings is compared with all
+others at once, so a page of n like siblings takes n steps over arrays and memory for
+about two square roots of n of them.
 
 Cases
 * null or empty html, and pages without text, give the empty string;
@@ -25,6 +29,8 @@ Cases
   text stays;
 * equal pages of a host count once, so that copies do not make their content template;
 * a line in which some text varies stays whole, with the constant text around it;
+* very long pages are aligned whole; edited copies of one page that make up less than
+  ``SPREAD`` of a host do not make their content template;
 * repeated rows get equal results; extra columns are ignored.
 """
 
@@ -35,8 +41,10 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +53,8 @@ from causeway.llm.staging import stage
 
 #: Pages of a host from which on equal text means template, and the share of them.
 LEAST_PAGES, CONSTANT = 5, 0.9
+#: Share of a host's pages that must have a node before it can be template.
+SPREAD = 0.4
 #: Share of a page's varying text from which its marked article or main parts stand for all of it.
 MARKED = 0.5
 #: Bytes of host trees or templates up to which a join broadcasts them.
@@ -54,8 +64,8 @@ SALTS = 16
 BROADCAST_COPIES = 100_000
 #: Different pages of a host whose trees are merged.
 LENDERS = 8
-#: Places by which aligned siblings may differ.
-BAND = 64
+#: Numbers that an alignment holds at once (rows of a matching, weights by shape), and sizes that it remembers.
+HELD, REMEMBERED = 4_000_000, 500_000
 #: Levels of a tree.
 DEEPEST = 200
 
@@ -85,20 +95,30 @@ NEUTRAL = frozenset(
 )
 #: Words that make an article one that readers or advertisers wrote, or a pointer elsewhere.
 FOREIGN = frozenset("comment comments reply respond disqus related advert advertisement adverts ad ads promo promotion sponsor sponsored".split())
+#: Words that say so whatever stands beside them.
+READERS = frozenset("comments disqus".split())
+#: Words that name readers' comments if entries with names stand below, else a part of the text.
+PERHAPS = frozenset("comment discussion discussions response responses reply replies feedback reader readers thread threads reactions".split())
+#: Words of a class that mark the name, or the date, of who wrote an entry.
+AUTHOR = frozenset("author user username name nick nickname commenter poster byline by avatar".split())
+DATED = frozenset("date time timestamp ago when posted datetime".split())
 MAIN = frozenset("article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"\s*[^\W\d_][\w.'-]*(?: [\w.'-]+){0,3}\s*(?::|(?:says|said|wrote|writes)\b)")
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
 class Node:
-    """An element: its label, whether it is furniture or a main part, and its children and texts."""
+    """An element: its label, whether it is furniture, a main part or perhaps comments, whom it names, its children and texts."""
 
-    __slots__ = ("tag", "label", "skip", "main", "kids")
+    __slots__ = ("tag", "label", "skip", "main", "perhaps", "names", "dates", "kids")
 
-    def __init__(self, tag: str, label: str, skip: bool, main: bool):
+    def __init__(self, tag: str, label: str, skip: bool, main: bool, words: set[str] = frozenset()):
         self.tag, self.label, self.skip, self.main = tag, label, skip, main
+        self.perhaps = not words.isdisjoint(PERHAPS)
+        self.names, self.dates = not words.isdisjoint(AUTHOR), tag == "time" or not words.isdisjoint(DATED)
         self.kids: list[Node | str] = []
 
 
@@ -117,10 +137,77 @@ def _element(tag: str, attributes: str) -> Node:
         for _, a, b, c in _MARKS.findall(attributes):
             marks += (a or b or c).lower().split()
     said = {word for mark in marks for word in _furniture(mark)}
+    words = {word for mark in marks for word in re.split(r"[-_\d]+", mark)} if marks else frozenset()
+    said |= words & READERS
     main = tag in MAIN or "main" in marks
     named = not said.isdisjoint(FOREIGN) if main else bool(said)
     skip = tag in SKIPPED or (tag not in ("html", "body", "main") and named) or bool(attributes and _HIDDEN.search(attributes))
-    return Node(tag, ".".join([tag, *marks[:2]]), skip, main)
+    return Node(tag, ".".join([tag, *marks[:2]]), skip, main, words)
+
+
+def _signed(entry: Node, strict: bool) -> bool:
+    """Whether an element is an entry of a reader: it names an author and a date in elements of their own.
+
+    Unless ``strict``, one of the two is enough, or a text that begins with a name and a colon.
+    """
+    named = dated = False
+    first = ""
+    pending = [entry]
+    while pending:
+        node = pending.pop()
+        named, dated = named or node.names, dated or node.dates
+        for kid in reversed(node.kids):
+            if isinstance(kid, Node):
+                pending.append(kid)
+        first = first or next((k for k in node.kids if isinstance(k, str) and k.strip()), "")
+    return (named and dated) if strict else (named or dated or _NAMED.match(first) is not None)
+
+
+def _has_main_text(root: Node) -> bool:
+    """Whether a main part holds text outside headings and furniture."""
+    pending = [(root, False)]
+    while pending:
+        node, main = pending.pop()
+        if node.skip or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            continue
+        main = main or node.main
+        if main and any(isinstance(k, str) and not k.isspace() for k in node.kids):
+            return True
+        pending += [(k, main) for k in node.kids if isinstance(k, Node)]
+    return False
+
+
+def _leave_out_comments(root: Node) -> None:
+    """Mark lists of readers' entries as furniture: by a word that may mean so and signed entries, or by two or more strictly signed ones.
+
+    The latter only where a main part keeps text beside them, so a forum's thread stays.
+    """
+    strict: list[Node] = []
+    pending = [root]
+    while pending:
+        node = pending.pop()
+        below = [k for k in node.kids if isinstance(k, Node) and not k.skip]
+        if node.perhaps and node.tag not in ("html", "body", "main"):
+            entries = [k for k in below if k.tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "br", "hr")]
+            while len(entries) == 1 and entries[0].tag in ("ul", "ol", "div", "section"):
+                inner = [k for k in entries[0].kids if isinstance(k, Node) and not k.skip]
+                if not inner:
+                    break
+                entries = inner
+            if entries and all(_signed(k, False) for k in entries):
+                node.skip = True
+                continue
+        alike = Counter(k.label for k in below if not k.main and k.tag not in ("p", "body"))
+        for label in [x for x, n in alike.items() if n > 1]:
+            entries = [k for k in below if k.label == label]
+            if all(_signed(k, True) for k in entries):
+                for k in entries:
+                    k.skip = True
+                strict += entries
+        pending += [k for k in below if not k.skip]
+    if strict and not _has_main_text(root):
+        for k in strict:
+            k.skip = False
 
 
 def parse(source: str) -> Node:
@@ -128,6 +215,7 @@ def parse(source: str) -> Node:
     root = Node("", "", False, False)
     stack = [root]
     at = 0
+    told = False  # whether an element may hold comments or names who wrote something
     while True:
         found = _TOKEN.search(source, at)
         if found is None:
@@ -161,6 +249,7 @@ def parse(source: str) -> Node:
                 if stack[depth].tag in stops:
                     break
         node = _element(tag, found[3])
+        told = told or node.perhaps or node.names
         stack[min(len(stack), DEEPEST) - 1].kids.append(node)
         if tag in RAW and not found[3].endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -170,6 +259,8 @@ def parse(source: str) -> Node:
             stack.append(node)
     if at < len(source):
         stack[-1].kids.append(source[at:])
+    if told:
+        _leave_out_comments(root)
     return root
 
 
@@ -177,105 +268,194 @@ def _own_text(node: Node) -> str:
     return " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
 
 
-def _grouped(nodes: list[Node], groups: dict[int, list[Node]]) -> list:
-    """A node for like siblings, as ``[label, text hash, children]``; ``groups`` keeps its elements."""
-    text = "\n".join(_own_text(n) for n in nodes)
-    lists: list[list[Node]] = []
-    for n in nodes:
-        for k in n.kids:
-            if isinstance(k, Node):
-                if lists and lists[-1][0].label == k.label:
-                    lists[-1].append(k)
-                else:
-                    lists.append([k])
-    out = [nodes[0].label, crc32(text.encode()) if text.strip() else 0, [_grouped(g, groups) for g in lists]]
-    groups[id(out)] = nodes
-    return out
+class Slot:
+    """A node to align: label, hash of its own text, children; number of nodes, and hashes of its labels and of all it holds."""
 
+    __slots__ = ("label", "text", "kids", "node", "votes", "count", "shape", "whole")
 
-def skeleton(root: Node) -> list:
-    """Nested ``[label, text hash, children]`` in which runs of like siblings are one node."""
-    return _grouped([root], {})
+    def __init__(self, label: str, text: int, kids: list[Slot], node: Node | None = None):
+        self.label, self.text, self.kids, self.node = label, text, kids, node
+        self.votes: Counter = Counter()
+        self.settle()
 
+    def settle(self) -> None:
+        self.count = 1 + sum(k.count for k in self.kids)
+        self.shape = hash((self.label, *[k.shape for k in self.kids]))
+        self.whole = hash((self.label, self.text, *[k.whole for k in self.kids]))
 
-def align(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching: size of the largest match that keeps order and depth, and its pairs.
 
-    Siblings at most ``BAND`` places apart, beyond a common start, can match.
-    """
-    if a[0] != b[0]:
-        return 0, []
-    rows, columns = a[2], b[2]
-    best: list[dict[int, int]] = [{}]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(rows):
-        row: dict[int, int] = {}
-        before, left = best[-1], 0
-        for j in range(max(0, i - BAND), min(len(columns), i + BAND + 1)):
-            y, size = columns[j], 0
-            if x[0] == y[0]:
-                inner[i, j] = align(x, y)
-                size = inner[i, j][0]
-            left = row[j + 1] = max(_at(before, j) + size, _at(before, j + 1), left)
-        best.append(row)
-    pairs: list[tuple[list, list]] = [(a, b)]
-    i, j = len(rows), max(best[-1], default=0)
-    total = _at(best[-1], j)
-    while i and j:
-        here = _at(best[i], j)
-        if here == _at(best[i - 1], j):
-            i -= 1
-        elif here == _at(best[i], j - 1):
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += inner[i, j][1]
-    return 1 + total, pairs
+def skeleton(node: Node) -> Slot:
+    """The tree below ``node`` with hashes for texts."""
+    text = _own_text(node)
+    return Slot(node.label, crc32(text.encode()) if text else 0, [skeleton(k) for k in node.kids if isinstance(k, Node)], node)
+
 
+def nested(tree: Slot) -> list:
+    return [tree.label, tree.text, [nested(k) for k in tree.kids]]
 
-def _at(row: dict[int, int], j: int) -> int:
-    """Best match up to column ``j``: beyond the band of a row it is that of the band's end, before it none."""
-    if j in row:
-        return row[j]
-    last = next(reversed(row), 0)
-    return row[last] if last and j > last else 0
 
+def slots(tree: list) -> Slot:
+    return Slot(tree[0], tree[1], [slots(k) for k in tree[2]])
 
-def merged(trees: list[list]) -> list:
+
+def _next(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Heaviest matchings with one more sibling, by the number of siblings on the other side."""
+    out = np.zeros_like(row)
+    np.maximum(row[1:], row[:-1] + weights, out=out[1:])
+    return np.maximum.accumulate(out)
+
+
+def _path(n: int, m: int, weights) -> list[tuple[int, int]]:
+    """Pairs of the heaviest matching that keeps order, last first; rows between kept ones are computed again on the way back."""
+    step = n if n * m <= HELD else isqrt(n) + 1
+    blocks = (n - 1) // step
+    row = np.zeros(m + 1, dtype=np.int64)
+    kept = [row]
+    for i in range(blocks * step):
+        row = _next(row, weights(i))
+        if (i + 1) % step == 0:
+            kept.append(row)
+    out, j = [], m
+    for block in range(blocks, -1, -1):
+        first = block * step
+        rows = [kept[block]]
+        for i in range(first, min(first + step, n)):
+            rows.append(_next(rows[-1], weights(i)))
+        for i in range(len(rows) - 1, 0, -1):
+            if rows[i][j] != rows[i - 1][j]:
+                j = int(np.searchsorted(rows[i], rows[i][j]))  # the first column with this value ends in a pair
+                j -= 1
+                out.append((first + i - 1, j))
+    return out
+
+
+class Matcher:
+    """Simple tree matching that remembers the sizes of matches by pairs of shapes."""
+
+    def __init__(self) -> None:
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def size(self, a: Slot, b: Slot) -> int:
+        """Nodes of the largest match of two trees that keeps order and depth."""
+        if a.label != b.label:
+            return 0
+        if a.shape == b.shape:
+            return a.count
+        found = self.sizes.get((a.shape, b.shape))
+        if found is None:
+            start, rows, columns = _trimmed(a.kids, b.kids, "shape")
+            ends = sum(k.count for k in a.kids) - sum(k.count for k in rows)
+            row = np.zeros(len(columns) + 1, dtype=np.int64)
+            weights = self._weights(rows, columns, False)
+            for i in range(len(rows) if columns else 0):
+                row = _next(row, weights(i))
+            if len(self.sizes) > REMEMBERED:
+                self.sizes.clear()
+            found = self.sizes[a.shape, b.shape] = 1 + ends + int(row[-1])
+        return found
+
+    def _weights(self, rows: list[Slot], columns: list[Slot], ties: bool):
+        """Function from a row's number to its weights: sizes of matches, and with ``ties`` one more for an equal sibling."""
+        scale = 1 + min(len(rows), len(columns)) if ties else 1
+        kinds: dict[int, int] = {}
+        kind = np.array([kinds.setdefault(y.shape, len(kinds)) for y in columns], dtype=np.int64)
+        of_kind = {y.shape: y for y in columns}
+        equal: dict[int, list[int]] = {}
+        if ties:
+            for j, y in enumerate(columns):
+                equal.setdefault(y.whole, []).append(j)
+        known: dict[int, np.ndarray] = {}
+
+        def weights(i: int) -> np.ndarray:
+            x = rows[i]
+            out = known.get(x.shape)
+            if out is None:
+                if len(known) * len(columns) > HELD:
+                    known.clear()
+                by_kind = np.array([self.size(x, of_kind[shape]) for shape in kinds], dtype=np.int64)
+                out = known[x.shape] = scale * by_kind[kind]
+            if x.whole in equal:
+                out = out.copy()
+                out[equal[x.whole]] += 1
+            return out
+
+        return weights
+
+    def matched(self, a: list[Slot], b: list[Slot]) -> list[tuple[Slot, Slot]]:
+        """Pairs of siblings of the largest match; of the largest, one with most equal siblings."""
+        start, rows, columns = _trimmed(a, b, "whole")
+        ends = list(zip(a[:start], b[:start])) + list(zip(a[start + len(rows) :], b[start + len(columns) :]))
+        if len(rows) == len(columns) and all(x.shape == y.shape for x, y in zip(rows, columns)):
+            return ends + list(zip(rows, columns))
+        if not rows or not columns:
+            return ends
+        return ends + [(rows[i], columns[j]) for i, j in _path(len(rows), len(columns), self._weights(rows, columns, True))]
+
+    def pairs(self, a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
+        """All pairs of nodes of the match of two trees."""
+        out, pending = [], [(a, b)] if a.label == b.label else []
+        while pending:
+            pair = pending.pop()
+            out.append(pair)
+            pending += self.matched(pair[0].kids, pair[1].kids)
+        return out
+
+
+def _trimmed(a: list[Slot], b: list[Slot], key: str) -> tuple[int, list[Slot], list[Slot]]:
+    """Length of the common start, and what is left without common start and end; a heaviest match pairs these ends."""
+    start = 0
+    while start < min(len(a), len(b)) and getattr(a[start], key) == getattr(b[start], key):
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and getattr(a[-1 - end], key) == getattr(b[-1 - end], key):
+        end += 1
+    return start, a[start : len(a) - end], b[start : len(b) - end]
+
+
+def merged(trees: list[Slot]) -> Slot:
     """One tree with the nodes of all ``trees``; each has the text most of them have there."""
 
-    def counted(node: list) -> list:
-        return [node[0], Counter([node[1]]), [counted(k) for k in node[2]]]
+    def counted(node: Slot) -> Slot:
+        out = Slot(node.label, node.text, [counted(k) for k in node.kids])
+        out.votes[node.text] += 1
+        return out
 
-    def settled(node: list) -> list:
-        return [node[0], min(node[1], key=lambda h: (-node[1][h], h)), [settled(k) for k in node[2]]]
+    def settled(node: Slot) -> Slot:
+        for kid in node.kids:
+            settled(kid)
+        node.text = min(node.votes, key=lambda h: (-node.votes[h], h))
+        node.settle()
+        return node
 
+    matcher = Matcher()
     out = counted(trees[0])
     for tree in trees[1:]:
-        pairs = align(out, tree)[1]
+        pairs = matcher.pairs(out, tree)
         place = {id(own): known for known, own in pairs}
         for known, own in pairs:
-            known[1][own[1]] += 1
-            at = 0
-            for kid in own[2]:
+            known.votes[own.text] += 1
+            number = {id(k): i for i, k in enumerate(known.kids)}
+            kids, at = [], 0
+            for kid in own.kids:
                 if id(kid) in place:
-                    at = next(k for k, x in enumerate(known[2]) if x is place[id(kid)]) + 1
+                    stop = number[id(place[id(kid)])] + 1
+                    kids += known.kids[at:stop]
+                    at = stop
                 else:
-                    known[2].insert(at, counted(kid))
-                    at += 1
-    return settled(out)
+                    kids.append(counted(kid))
+            known.kids = kids + known.kids[at:]
+        settled(out)
+    return out
 
 
-def numbered(tree: list) -> dict[int, int]:
+def numbered(tree: Slot) -> dict[int, int]:
     """Number in document order of each node object."""
     order: dict[int, int] = {}
-
-    def walk(node: list) -> None:
+    pending = [tree]
+    while pending:
+        node = pending.pop()
         order[id(node)] = len(order)
-        for kid in node[2]:
-            walk(kid)
-
-    walk(tree)
+        pending += reversed(node.kids)
     return order
 
 
@@ -347,27 +527,31 @@ def _blocks(root: Node, constant: set[int]) -> tuple[list[str], list[str]]:
     return every, marked
 
 
-def _constant_nodes(root: Node, reference: list, template: set[int]) -> set[int]:
-    """Elements of a page that are aligned with template nodes of the host's tree and have their text."""
-    groups: dict[int, list[Node]] = {}
-    own = _grouped([root], groups)
-    order = numbered(reference)
-    _, pairs = align(reference, own)
-    return {id(n) for r, o in pairs if order[id(r)] in template and r[1] == o[1] for n in groups[id(o)]}
+class Wrapper:
+    """What the pages of a host share: its tree, the numbers of its nodes, those that are template, and a matcher."""
+
+    def __init__(self, tree: str, template: list[int] = ()):
+        self.tree = slots(json.loads(tree))
+        self.order = numbered(self.tree)
+        self.template = set(template)
+        self.matcher = Matcher()
+
+    def constant(self, root: Node) -> set[int]:
+        """Elements of a page that are aligned with template nodes and have their text."""
+        return {id(o.node) for r, o in self.matcher.pairs(self.tree, skeleton(root)) if self.order[id(r)] in self.template and r.text == o.text}
 
 
-def main_text(source: str, reference: list | None = None, template: set[int] = frozenset()) -> str:
-    """Main text of a page, given its host's tree and the numbers of its template nodes."""
+def main_text(source: str, wrapper: Wrapper | None = None) -> str:
+    """Main text of a page, given what its host's pages share."""
     root = parse(source)
-    constant = _constant_nodes(root, reference, template) if reference is not None and template else set()
-    every, marked = _blocks(root, constant)
+    every, marked = _blocks(root, wrapper.constant(root) if wrapper else set())
     return "\n".join(marked if sum(map(len, marked)) >= MARKED * sum(map(len, every)) else every)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and node of its tree: pages aligned there, and those with the same text; equal pages share one vote."""
     counts: dict[tuple[str, int], list[float]] = {}
-    trees: dict[str, tuple[list, dict[int, int]]] = {}
+    wrappers: dict[str, Wrapper] = {}
 
     def rows() -> pa.RecordBatch:
         keys = list(counts)
@@ -376,20 +560,18 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["host", "node", "pages", "same"],
         )
         counts.clear()
-        trees.clear()
+        wrappers.clear()
         return out
 
     for batch in batches:
         for host, source, tree, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-            if host not in trees:
-                reference = json.loads(tree.as_py())
-                trees[host] = reference, numbered(reference)
-            reference, order = trees[host]
-            own = skeleton(parse(source.as_py()))
-            for r, o in align(reference, own)[1]:
-                seen = counts.setdefault((host, order[id(r)]), [0.0, 0.0])
+            if host not in wrappers:
+                wrappers[host] = Wrapper(tree.as_py())
+            wrapper = wrappers[host]
+            for r, o in wrapper.matcher.pairs(wrapper.tree, skeleton(parse(source.as_py()))):
+                seen = counts.setdefault((host, wrapper.order[id(r)]), [0.0, 0.0])
                 seen[0] += 1 / copies
-                seen[1] += (r[1] == o[1] and r[1] != 0) / copies
+                seen[1] += (r.text == o.text and r.text != 0) / copies
         if len(counts) > 200_000:
             yield rows()
     yield rows()
@@ -397,22 +579,22 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees = [json.dumps(merged([skeleton(parse(s)) for s in bodies.as_py()]), separators=(",", ":")) for bodies in batch.column(1)]
+        trees = [json.dumps(nested(merged([skeleton(parse(s)) for s in bodies.as_py()])), separators=(",", ":")) for bodies in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["host", "tree"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[list, set[int]]] = {}
+    known: dict[str, Wrapper] = {}
     for batch in batches:
         texts = []
         for host, source, tree, nodes in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5)):
             template = nodes.as_py()
             if template:
                 if host not in known:
-                    if len(known) > 2_000:
+                    if len(known) > 200:
                         known.clear()
-                    known[host] = json.loads(tree.as_py()), set(template)
-                texts.append(main_text(source.as_py(), *known[host]))
+                    known[host] = Wrapper(tree.as_py(), template)
+                texts.append(main_text(source.as_py(), known[host]))
             else:
                 texts.append(main_text(source.as_py()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
@@ -445,8 +627,13 @@ def templates(pages: DataFrame) -> DataFrame:
     trees = stage(lenders.filter(F.col("n_pages") >= LEAST_PAGES - 1e-6).select("host", "bodies").mapInArrow(_trees, "host string, tree string"), "op3-trees")
     aligned = _with_host(pages, trees, "inner").select("host", "body", "tree", "copies").mapInArrow(_aligned, "host string, node int, pages double, same double")
     summed = aligned.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = summed.filter((F.col("pages") >= LEAST_PAGES - 1e-6) & (F.col("same") >= CONSTANT * F.col("pages") - 1e-6))
-    nodes = constant.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("template"))  # nodes of LENDERS pages
+    seen = summed.groupBy("host").agg(
+        F.collect_list(F.struct("node", "pages", "same")).alias("seen"),  # nodes of LENDERS pages
+        F.max(F.when(F.col("node") == 0, F.col("pages"))).alias("all_pages"),  # every page has the root
+    )
+    least = F.greatest(F.lit(LEAST_PAGES), SPREAD * F.col("all_pages")) - 1e-6
+    constant = F.filter("seen", lambda n: (n["pages"] >= least) & (n["same"] >= CONSTANT * n["pages"] - 1e-6))
+    nodes = seen.select("host", F.array_sort(F.transform(constant, lambda n: n["node"])).alias("template")).filter(F.size("template") > 0)
     return trees.join(nodes, "host")
 
 

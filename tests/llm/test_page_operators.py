@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import random
 import re
 import zlib
 import struct
@@ -85,11 +86,95 @@ def test_template_of_merged_trees(spark):
     assert all(got[k] == "\n".join(f"part {j} of {k}" for j in range(700)) for k in range(30)) and got[-1] == "Gone" and got[-2] == ""
 
 
-def test_tree_matching_keeps_order():
-    tree = lambda *kids: ["x", 0, list(kids)]
-    leaf = lambda name: [name, 0, []]
-    size, pairs = html_extraction.align(tree(leaf("a"), leaf("b"), leaf("c")), tree(leaf("b"), leaf("a"), leaf("c")))
-    assert size == 3 and len(pairs) == 3
+def test_constant_blocks_of_long_and_uneven_pages(spark):
+    """A constant block goes wherever it stands: after up to 240 siblings of varying number, and last of a run of like ones."""
+    pairs = lambda k: "".join(f"<p>story {k} part {j}</p><div>aside {k} of {j}</div>" for j in range(1 + 4 * k))
+    rows = [(k, f"http://far.test/{k}", f"<body><main>{pairs(k)}<section>Printed in our town</section></main></body>") for k in range(31)]
+    runs = lambda k: "".join(f"<p>story {k} line {j}</p>" for j in range(2 + k % 4))
+    rows += [(100 + k, f"http://runs.test/{k}", f"<body><article>{runs(k)}<p>Share this story with friends</p></article></body>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(f"story {k} part {j}\naside {k} of {j}" for j in range(1 + 4 * k)) for k in range(31))
+    assert all(got[100 + k] == "\n".join(f"story {k} line {j}" for j in range(2 + k % 4)) for k in range(20))
+
+
+def test_edited_copies_are_no_template(spark):
+    """A third of a host's pages are edited copies of one text, longer than the others; they keep it."""
+    shared = "".join(f"<p>passage {j} of the family</p>" for j in range(30))
+    rows = [(k, f"http://fam.test/{k}", f"<body><article><h1>Copy {k}</h1>{shared}<p>edit {k}</p></article><div>Our town</div></body>") for k in range(10)]
+    rows += [(10 + k, f"http://fam.test/o{k}", f"<body><article><h1>Own {k}</h1><p>text {k}</p><p>more {k}</p></article><div>Our town</div></body>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join([f"Copy {k}", *(f"passage {j} of the family" for j in range(30)), f"edit {k}"]) for k in range(10))
+    assert all(got[10 + k] == f"Own {k}\ntext {k}\nmore {k}" for k in range(20))
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<article><p>Story</p><div id="discussion"><p>Reader: bad</p></div></article>', "Story"),
+        ('<article><p>Story</p><section class="responses"><h3>Responses</h3><ul><li><b class="author">Ann</b> no</li><li><b class="author">Bo</b> yes</li></ul></section></article>', "Story"),
+        ('<article><p>Story</p><div class="comments-section-wide"><p>what</p></div></article>', "Story"),
+        ('<article><p>Story</p><div class="z"><div class="e"><i class="user">Ann</i><time>1 May</time>no</div><div class="e"><i class="user">Bo</i><time>2 May</time>yes</div></div></article>', "Story"),
+        ('<article><p>Result</p><section id="discussion"><p>We find that this holds.</p><p>It may not elsewhere.</p></section></article>', "Result\nWe find that this holds.\nIt may not elsewhere."),
+        ('<main><div class="post"><i class="user">Ann</i><time>1 May</time><p>ask</p></div><div class="post"><i class="user">Bo</i><time>2 May</time><p>answer</p></div></main>', "Ann1 May\nask\nBo2 May\nanswer"),
+    ],
+)
+def test_readers_comments(source, text):
+    assert html_extraction.main_text(source) == text
+
+
+def _brute(a, b):
+    """Largest match by plain recursion over all order-keeping choices of siblings."""
+    if a.label != b.label:
+        return 0
+
+    def best(i, j):
+        if i == len(a.kids) or j == len(b.kids):
+            return 0
+        return max(best(i + 1, j), best(i, j + 1), _brute(a.kids[i], b.kids[j]) + best(i + 1, j + 1))
+
+    return 1 + best(0, 0)
+
+
+def _brute_pairs(a, b):
+    """Best (sum of sizes, equal siblings) over all order-keeping choices of the children of two nodes."""
+
+    def best(i, j):
+        if i == len(a) or j == len(b):
+            return 0, 0
+        size = _brute(a[i], b[j])
+        here = best(i + 1, j + 1)
+        return max(best(i + 1, j), best(i, j + 1), (here[0] + size, here[1] + (html_extraction.nested(a[i]) == html_extraction.nested(b[j]))) if size else (0, 0))
+
+    return best(0, 0)
+
+
+def test_tree_matching_equals_brute_force(monkeypatch):
+    draw = random.Random(5)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(draw.randint(0, 5))] if depth else []
+        return html_extraction.Slot(draw.choice("ab"), draw.randint(0, 2), kids)
+
+    for k in range(300):
+        monkeypatch.setattr(html_extraction, "HELD", (4_000_000, 3)[k % 2])  # with and without rows computed again
+        a, b = tree(2), tree(2)
+        b.label = a.label
+        matcher = html_extraction.Matcher()
+        assert matcher.size(a, b) == _brute(a, b)
+        pairs = matcher.pairs(a, b)
+        assert len(pairs) == _brute(a, b)
+        top = matcher.matched(a.kids, b.kids)
+        places = sorted((a.kids.index(x), b.kids.index(y)) for x, y in top)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:]))
+        assert (sum(_brute(x, y) for x, y in top), sum(x.whole == y.whole for x, y in top)) == _brute_pairs(a.kids, b.kids)
+
+
+def test_long_runs_of_siblings_align():
+    """Thousands of siblings on both sides, with rows computed again on the way back."""
+    leaf = lambda k: html_extraction.Slot("p", k, [])
+    a, b = (html_extraction.Slot("x", 0, [leaf(k) for k in range(first, 3000, step)]) for first, step in ((0, 1), (1, 2)))
+    pairs = html_extraction.Matcher().pairs(a, b)
+    assert len(pairs) == 1501 and all(x.text == y.text for x, y in pairs)
 
 
 def _archive() -> bytes:
