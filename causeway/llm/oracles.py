@@ -47,8 +47,12 @@ _WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_byte
   SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM f"""
 
 
+#: Concentration steps of the SQL, more than the given tables need.
+_STEPS = 20
+
+
 def _rules_sql() -> str:
-    """The quality rules, their statistics, three starts, twelve concentration steps, reweighting and cut."""
+    """The quality rules, their statistics, three starts, concentration steps, reweighting and cut; a step after the last fall changes nothing, so any number from there on gives the same."""
     n = range(4)
     floors = (0.0144, 0.0064, 0.0144, 0.04)  # squares of the least standard deviations
 
@@ -102,7 +106,7 @@ def _rules_sql() -> str:
         )
         + ")",
     ]
-    for k in range(12):
+    for k in range(_STEPS):
         parts += [
             f"d{k} AS MATERIALIZED (SELECT *, floor(ln(dd + 1e-6) * 32)::INTEGER AS cell FROM ({far('ft', f'e{k}', ', e.st', 'INNER')}))",
             f"k{k} AS MATERIALIZED (SELECT gl, gs, st, min(cell) AS last FROM (SELECT *, sum(n) OVER (PARTITION BY gl, gs, st ORDER BY cell) AS reached, sum(n) OVER (PARTITION BY gl, gs, st) AS whole FROM (SELECT gl, gs, st, cell, count(*) AS n FROM d{k} GROUP BY ALL)) WHERE reached >= 0.5 * whole GROUP BY ALL)",
@@ -110,7 +114,7 @@ def _rules_sql() -> str:
             f"e{k + 1} AS MATERIALIZED (SELECT o.gl, o.gs, o.st, {', '.join(f'CASE WHEN w.det < o.det - 1e-9 THEN w.{c} ELSE o.{c} END AS {c}' for c in ('m, ' + place + ', det').split(', '))} FROM e{k} o JOIN n{k} w ON o.gl = w.gl AND o.gs = w.gs AND o.st = w.st)",
         ]
     parts += [
-        f"be AS MATERIALIZED (SELECT gl, gs, {place} FROM (SELECT *, row_number() OVER (PARTITION BY gl, gs ORDER BY det, st) AS k FROM e12) WHERE k = 1)",
+        f"be AS MATERIALIZED (SELECT gl, gs, {place} FROM (SELECT *, row_number() OVER (PARTITION BY gl, gs ORDER BY det, st) AS k FROM e{_STEPS}) WHERE k = 1)",
         f"nr AS MATERIALIZED (SELECT gl, gs, x0, x1, x2, x3 FROM ({far('ft', 'be', '', 'INNER')}) WHERE dd <= 11.1433)",
         f"fi AS MATERIALIZED (SELECT gl, gs, {place} FROM ({spread('nr', 'gl, gs', '1.0645e0')}) WHERE m >= 25)",
     ]

@@ -33,8 +33,8 @@ MIN_WORDS = 50
 MIN_GROUP = 50
 #: Share of a group that a concentration step keeps.
 CORE = 0.5
-#: Steps after which concentration ends although the determinant still falls.
-MOST_STEPS = 12
+#: Steps after which concentration raises an error; it ends when no determinant falls, which takes far fewer.
+MOST_STEPS = 1_000
 #: Fixed values of the chi-squared law with four degrees of freedom: its 0.975 and
 #: 0.999 quantiles, and the factors that make the covariance of the nearest half,
 #: and of the nearest 0.975, consistent at a normal law (share / P(chi2 of 6 <= quantile)).
@@ -265,6 +265,8 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
         estimates = stepped.drop("moved")
         if stepped.filter("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"a determinant still falls after {MOST_STEPS} concentration steps")
     least = estimates.groupBy("g_lang", "g_source").agg(F.min(F.struct("logdet", "start", *_PLACE)).alias("best")).select("g_lang", "g_source", *[F.col(f"best.{c}").alias(c) for c in _PLACE])
     near = _distances(vectors, stage(least, "op7-least"), "inner").filter(F.col("d2") <= NEAR)
     moments = near.groupBy("g_lang", "g_source").agg(*[F.expr(sql).alias(name) for name, sql in _MOMENTS])

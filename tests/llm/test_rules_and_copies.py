@@ -90,6 +90,14 @@ def test_mcd_by_dense_linear_algebra_with_a_third_of_junk(spark):
     assert (d2[:400] <= quality_rules.CUT).all() and (d2[400:] > quality_rules.CUT).all()
 
 
+def test_concentration_ends_only_when_nothing_falls(spark, monkeypatch):
+    rows = [("=en", "=s", *map(float, r)) for r in np.random.default_rng(4).normal(size=(200, 4))]
+    df = spark.createDataFrame(rows, "g_lang string, g_source string, " + ", ".join(f"x_{i} double" for i in range(4)))
+    monkeypatch.setattr(quality_rules, "MOST_STEPS", 1)
+    with pytest.raises(RuntimeError, match="still falls"):
+        quality_rules.mcd_estimates(df)
+
+
 def test_keep_good_carries_all_columns(spark, mixed):
     out = quality_rules.keep_good(mixed)
     assert out.columns == mixed.columns and out.filter("doc_id = 0").count() == 2
