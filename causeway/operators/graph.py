@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from causeway.functions import roads
@@ -37,16 +41,55 @@ def steps(ways: DataFrame) -> DataFrame:
     return ways.select("*", F.posexplode(pairs).alias("idx", "pair")).withColumns({"a": F.col("pair.a"), "b": F.col("pair.b")}).drop("pair", "nodes")
 
 
-def segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roads.SPEEDS_KMH) -> DataFrame:
+def _unseen(rows: DataFrame, name: str, **counts: Column) -> DataFrame:
+    return rows
+
+
+def _observed(seen: Observation) -> dict[str, int]:
+    """What was observed; nothing where the plan left the empty rows of an observation out."""
+    try:
+        return seen.get
+    except Py4JJavaError as problem:
+        if problem.java_exception.getClass().getName() != "java.lang.AssertionError":
+            raise
+        return {}
+
+
+def counted_segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roads.SPEEDS_KMH) -> tuple[DataFrame, dict[str, int]]:
+    """``segments`` as a staged table, and counts of what was taken and left out.
+
+    The counts (``ways``, ``rejected_ways``, ``steps``, ``self_loops``, ``unplaced``,
+    ``near_zero``, ``segments``) are observed in the pass that writes the table, so
+    nothing is read a second time.  A stage that runs again after a lost executor may
+    count rows twice; exact figures then come from ``rejections``.
+    """
+    seen: dict[str, Observation] = {}
+
+    def look(rows: DataFrame, name: str, **counts: Column) -> DataFrame:
+        seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return rows.observe(seen[name], *[c.cast("bigint").alias(n) for n, c in counts.items()])
+
+    out = stage(segments(ways, nodes, defaults, look=look), "segments")
+    told = {n: int(v or 0) for o in seen.values() for n, v in _observed(o).items()}
+    told = {n: told.get(n, 0) for n in ("ways", "rejected_ways", "steps", "self_loops", "placed", "near_zero")}
+    told["unplaced"] = told["steps"] - told["self_loops"] - told["placed"]
+    told["segments"] = told.pop("placed") - told["near_zero"]
+    return out, told
+
+
+def segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roads.SPEEDS_KMH, *, look: Callable[..., DataFrame] = _unseen) -> DataFrame:
     """Physical segments of accepted ways: ends, length, and travel attributes.
 
     ``nodes(node_id, x_m, y_m)`` are joined twice; self-loops and near-zero steps
-    are left out.
+    are left out.  ``look`` is given the rows before each filter, with what to count.
     """
-    kept = steps(judged_ways(ways, defaults).filter(F.col("reject_reason").isNull())).filter(F.col("a") != F.col("b"))
+    judged = look(judged_ways(ways, defaults), "judged", ways=F.count("*"), rejected_ways=F.count_if(F.col("reject_reason").isNotNull()))
+    stepped = look(steps(judged.filter(F.col("reject_reason").isNull())), "stepped", steps=F.count("*"), self_loops=F.count_if(F.col("a") == F.col("b")))
+    kept = stepped.filter(F.col("a") != F.col("b"))
     na = nodes.select(F.col("node_id").alias("a"), F.col("x_m").alias("ax"), F.col("y_m").alias("ay"))
     nb = nodes.select(F.col("node_id").alias("b"), F.col("x_m").alias("bx"), F.col("y_m").alias("by_"))
     placed = kept.join(na, "a").join(nb, "b").withColumn("length_m", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_")))
+    placed = look(placed, "placed", placed=F.count("*"), near_zero=F.count_if(F.col("length_m") < NEAR_ZERO_M))
     return placed.filter(F.col("length_m") >= NEAR_ZERO_M).select(
         F.concat(F.lit("osm:"), F.col("way_id"), F.lit(":"), F.col("idx")).alias("segment_id"),
         "way_id",
