@@ -45,14 +45,14 @@ def _unseen(rows: DataFrame, name: str, **counts: Column) -> DataFrame:
     return rows
 
 
-def _observed(seen: Observation) -> dict[str, int]:
-    """What was observed; nothing where the plan left the empty rows of an observation out."""
+def _observed(seen: Observation, rows: DataFrame, counts: list[Column]) -> dict[str, int]:
+    """What was observed; where the plan left the observed rows out, since others it joins are empty, they are counted."""
     try:
         return seen.get
     except Py4JJavaError as problem:
         if problem.java_exception.getClass().getName() != "java.lang.AssertionError":
             raise
-        return {}
+        return rows.agg(*counts).first().asDict()
 
 
 def counted_segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roads.SPEEDS_KMH) -> tuple[DataFrame, dict[str, int]]:
@@ -63,14 +63,15 @@ def counted_segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, floa
     nothing is read a second time.  A stage that runs again after a lost executor may
     count rows twice; exact figures then come from ``rejections``.
     """
-    seen: dict[str, Observation] = {}
+    seen: list[tuple[Observation, DataFrame, list[Column]]] = []
 
     def look(rows: DataFrame, name: str, **counts: Column) -> DataFrame:
-        seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
-        return rows.observe(seen[name], *[c.cast("bigint").alias(n) for n, c in counts.items()])
+        wanted = [c.cast("bigint").alias(n) for n, c in counts.items()]
+        seen.append((Observation(f"{name}-{uuid.uuid4().hex}"), rows, wanted))
+        return rows.observe(seen[-1][0], *wanted)
 
     out = stage(segments(ways, nodes, defaults, look=look), "segments")
-    told = {n: int(v or 0) for o in seen.values() for n, v in _observed(o).items()}
+    told = {n: int(v or 0) for observed in seen for n, v in _observed(*observed).items()}
     told = {n: told.get(n, 0) for n in ("ways", "rejected_ways", "steps", "self_loops", "placed", "near_zero")}
     told["unplaced"] = told["steps"] - told["self_loops"] - told["placed"]
     told["segments"] = told.pop("placed") - told["near_zero"]
