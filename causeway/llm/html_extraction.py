@@ -117,8 +117,9 @@ class Node:
 
     def __init__(self, tag: str, label: str, skip: bool, main: bool, words: set[str] = frozenset()):
         self.tag, self.label, self.skip, self.main = tag, label, skip, main
-        self.perhaps = not words.isdisjoint(PERHAPS)
-        self.names, self.dates = not words.isdisjoint(AUTHOR), tag == "time" or not words.isdisjoint(DATED)
+        self.perhaps, self.names, self.dates = False, False, tag == "time"
+        if words:
+            self.perhaps, self.names, self.dates = not words.isdisjoint(PERHAPS), not words.isdisjoint(AUTHOR), self.dates or not words.isdisjoint(DATED)
         self.kids: list[Node | str] = []
 
 
@@ -132,16 +133,17 @@ def _furniture(mark: str) -> list[str]:
 
 
 def _element(tag: str, attributes: str) -> Node:
+    if not attributes:
+        return Node(tag, tag, tag in SKIPPED, tag in MAIN)
     marks: list[str] = []
-    if attributes:
-        for _, a, b, c in _MARKS.findall(attributes):
-            marks += (a or b or c).lower().split()
+    for _, a, b, c in _MARKS.findall(attributes):
+        marks += (a or b or c).lower().split()
     said = {word for mark in marks for word in _furniture(mark)}
     words = {word for mark in marks for word in re.split(r"[-_\d]+", mark)} if marks else frozenset()
     said |= words & READERS
     main = tag in MAIN or "main" in marks
     named = not said.isdisjoint(FOREIGN) if main else bool(said)
-    skip = tag in SKIPPED or (tag not in ("html", "body", "main") and named) or bool(attributes and _HIDDEN.search(attributes))
+    skip = tag in SKIPPED or (tag not in ("html", "body", "main") and named) or bool(_HIDDEN.search(attributes))
     return Node(tag, ".".join([tag, *marks[:2]]), skip, main, words)
 
 
@@ -264,10 +266,6 @@ def parse(source: str) -> Node:
     return root
 
 
-def _own_text(node: Node) -> str:
-    return " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
-
-
 class Slot:
     """A node to align: label, hash of its own text, children; number of nodes, and hashes of its labels and of all it holds."""
 
@@ -275,10 +273,13 @@ class Slot:
 
     def __init__(self, label: str, text: int, kids: list[Slot], node: Node | None = None):
         self.label, self.text, self.kids, self.node = label, text, kids, node
-        self.votes: Counter = Counter()
+        self.votes: Counter | None = None
         self.settle()
 
     def settle(self) -> None:
+        if not self.kids:
+            self.count, self.shape, self.whole = 1, hash((self.label,)), hash((self.label, self.text))
+            return
         self.count = 1 + sum(k.count for k in self.kids)
         self.shape = hash((self.label, *[k.shape for k in self.kids]))
         self.whole = hash((self.label, self.text, *[k.whole for k in self.kids]))
@@ -286,8 +287,14 @@ class Slot:
 
 def skeleton(node: Node) -> Slot:
     """The tree below ``node`` with hashes for texts."""
-    text = _own_text(node)
-    return Slot(node.label, crc32(text.encode()) if text else 0, [skeleton(k) for k in node.kids if isinstance(k, Node)], node)
+    texts, kids = [], []
+    for k in node.kids:
+        if isinstance(k, str):
+            texts.append(k)
+        else:
+            kids.append(skeleton(k))
+    text = " ".join(" ".join(texts).split()) if texts else ""
+    return Slot(node.label, crc32(text.encode()) if text else 0, kids, node)
 
 
 def nested(tree: Slot) -> list:
@@ -300,9 +307,10 @@ def slots(tree: list) -> Slot:
 
 def _next(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Heaviest matchings with one more sibling, by the number of siblings on the other side."""
-    out = np.zeros_like(row)
+    out = np.empty(len(row), dtype=np.int64)
+    out[0] = 0
     np.maximum(row[1:], row[:-1] + weights, out=out[1:])
-    return np.maximum.accumulate(out)
+    return np.maximum.accumulate(out, out=out)
 
 
 def _path(n: int, m: int, weights) -> list[tuple[int, int]]:
@@ -376,7 +384,8 @@ class Matcher:
                 out = known[x.shape] = scale * by_kind[kind]
             if x.whole in equal:
                 out = out.copy()
-                out[equal[x.whole]] += 1
+                for j in equal[x.whole]:
+                    out[j] += 1
             return out
 
         return weights
@@ -397,7 +406,8 @@ class Matcher:
         while pending:
             pair = pending.pop()
             out.append(pair)
-            pending += self.matched(pair[0].kids, pair[1].kids)
+            if pair[0].kids and pair[1].kids:
+                pending += self.matched(pair[0].kids, pair[1].kids)
         return out
 
 
@@ -417,7 +427,7 @@ def merged(trees: list[Slot]) -> Slot:
 
     def counted(node: Slot) -> Slot:
         out = Slot(node.label, node.text, [counted(k) for k in node.kids])
-        out.votes[node.text] += 1
+        out.votes = Counter((node.text,))
         return out
 
     def settled(node: Slot) -> Slot:
