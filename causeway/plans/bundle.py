@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.contracts import require_empty
+from causeway.sources.layout import in_view, link_under, write_layout
 from causeway.sources.writers import write_closures
 
 TABLES = ("roads", "evidence", "summary", "about")
 
 
 def build(path: str, *, segments: DataFrame, evidence: DataFrame, closed: DataFrame, summary: DataFrame, about: dict[str, str]) -> None:
-    """Write a bundle after its reference checks: evidence and closures name known roads."""
+    """Write a bundle after its reference checks: evidence and closures name known roads.
+
+    Roads are written twice, as they come and along a curve for lookups by place.
+    """
     require_empty(evidence.join(segments, "segment_id", "left_anti"), "evidence without road")
     require_empty(closed.join(segments, "segment_id", "left_anti"), "closure without road")
     spark = segments.sparkSession
     segments.write.parquet(f"{path}/roads")
+    place_roads(segments, f"{path}/places")
     evidence.write.parquet(f"{path}/evidence")
     summary.write.parquet(f"{path}/summary")
     write_closures(closed.select("scenario_id", "policy", "bridge_rule", "segment_id", "reason"), f"{path}/closures")
@@ -35,10 +40,19 @@ def road(spark: SparkSession, path: str, segment_id: str) -> DataFrame:
     return one.join(seen, "segment_id", "left").withColumn("state", state).drop("seen")
 
 
+def place_roads(segments: DataFrame, path: str, *, rows_per_file: int = 1_000_000) -> None:
+    """Write segments along a curve by the boxes of their ends."""
+    write_layout(segments, path, (F.least("ax", "bx"), F.least("ay", "by_"), F.greatest("ax", "bx"), F.greatest("ay", "by_")), rows_per_file=rows_per_file)
+
+
 def roads_in_view(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """Roads whose box meets a viewport."""
-    rows = load(spark, path, "roads")
-    return rows.filter((F.least("ax", "bx") <= box[2]) & (F.greatest("ax", "bx") >= box[0]) & (F.least("ay", "by_") <= box[3]) & (F.greatest("ay", "by_") >= box[1]))
+    """Roads whose box meets a viewport; few files are opened."""
+    return in_view(spark, f"{path}/places", box)
+
+
+def road_under(spark: SparkSession, path: str, x: float, y: float, *, limit: float, x_scale: float = 1.0) -> DataFrame:
+    """The road under a pointer with its distance; no row if none is within ``limit``."""
+    return link_under(spark, f"{path}/places", x, y, limit=limit, x_scale=x_scale)
 
 
 def scenario(spark: SparkSession, path: str, scenario_id: str, policy: str, bridge_rule: str) -> DataFrame:

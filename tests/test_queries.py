@@ -9,12 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from causeway.plans import case_queries, pixel_queries, replay_queries, road_queries, shape_queries
+from causeway.plans import case_queries, pixel_queries, place_queries, replay_queries, road_queries, shape_queries
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that solve shortest paths under all assumptions take long; one of them stands for all here.
 SLOW = {"batched_scenario_cost", "access_rows", "ranking_reversals", "access_stability", "origin_table_sorted", "path_audit", "graph_quality", "boundary_audit"}
-NAMES = [n for n in [*pixel_queries.QUERIES, *road_queries.QUERIES, *case_queries.QUERIES, *shape_queries.QUERIES, *replay_queries.QUERIES] if n in entry_module.oracle_sql() and n not in SLOW]
+NAMES = [n for n in [*pixel_queries.QUERIES, *road_queries.QUERIES, *case_queries.QUERIES, *shape_queries.QUERIES, *replay_queries.QUERIES, *place_queries.QUERIES] if n in entry_module.oracle_sql() and n not in SLOW]
 
 
 @pytest.fixture(scope="module")
@@ -43,5 +43,5 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_every_query_without_sql_is_known():
-    own = {**pixel_queries.QUERIES, **road_queries.QUERIES, **case_queries.QUERIES, **shape_queries.QUERIES, **replay_queries.QUERIES}
+    own = {**pixel_queries.QUERIES, **road_queries.QUERIES, **case_queries.QUERIES, **shape_queries.QUERIES, **replay_queries.QUERIES, **place_queries.QUERIES}
     assert {n for n in own if n not in entry_module.oracle_sql()} == {"utm_projection", "logistic_fit", "monotone_fit"}
