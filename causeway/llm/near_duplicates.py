@@ -44,8 +44,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.staging import stage
+from causeway.llm.links import components, is_few
 from causeway.llm.textkit import LOWER, PLAIN, chunks, mix, shingles, words
+from causeway.staging import stage
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -55,6 +56,8 @@ PICK = 3
 SLOTS = 1 << 18
 #: Tasks over which the rows of one hot key are dealt.
 SALTS = 16
+#: Members of a bucket, or pairs of a head, for each task that compares them.
+DEALT = 20_000
 #: Row ids (8 bytes each) up to which a selection of sequences is broadcast; beyond it is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -267,23 +270,14 @@ def _salted(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFra
     return rows.join(few, [*on, "salt"], how).drop("salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Least vertex of each connected component of ``edges(a, b)``, as ``(v, label)``.
+def _part(parts: Column) -> Column:
+    """Task among ``parts`` of a row, by its id."""
+    return F.pmod(F.xxhash64("rid"), parts).cast("int")
 
-    Labels spread along edges and then jump to the label of the label; every
-    round is a staged table.
-    """
-    both = stage(edges.union(edges.select("b", "a")).distinct(), "op10-edges")
-    labels = stage(both.groupBy(F.col("a").alias("v")).agg(F.min(F.least("a", "b")).alias("label")), "op10-labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("v").alias("u"), F.col("label").alias("above"))
-        jumped = lower.join(up, F.col("label") == F.col("u")).select("v", "old", F.least("label", "above").alias("label"))
-        jumped = stage(jumped, "op10-labels")
-        labels = jumped.select("v", "label")
-        if jumped.filter("old <> label").isEmpty():
-            return labels
+
+def _copies(parts: Column) -> Column:
+    """A copy for each of ``parts`` tasks."""
+    return F.explode(F.sequence(F.lit(0), parts - 1))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> DataFrame:
@@ -297,7 +291,7 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     if found.isEmpty():
         return labels
     between = _labelled(_labelled(found, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
-    joined = components(between)
+    joined = components(between, "op10-components")
     fresh = joined.select(F.col("v").alias("old"), F.col("label").alias("new"))
     known = labels.join(fresh, F.col("label") == F.col("old"), "left").select("v", F.coalesce("new", "label").alias("label"))
     return stage(known.union(joined.join(labels.select("v"), "v", "left_anti")), "op10-components")
@@ -312,14 +306,18 @@ def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Similar ones of ``pairs(head, rid)`` as staged ``(a, b)``.
 
-    A row's own sequence joins first; what is then dealt by a hot head is split by
-    size, as its partner side is one row.
+    A row's own sequence joins first; the pairs of a hot head are then dealt over as
+    many tasks as they fill, each with a copy of the head's sequence.
     """
     pairs = stage(pairs.distinct(), "op10-pairs")
+    hot = pairs.groupBy("head").agg(F.count("*").alias("met")).filter(F.col("met") > DEALT).select("head", F.ceil(F.col("met") / DEALT).cast("int").alias("parts"))
+    hot = stage(hot, "op10-hot")
+    hot = F.broadcast(hot) if is_few(hot) else hot
     own = _only(table, pairs.select("rid").union(pairs.select("head")).distinct()).select("rid", "shingles")
     left = own.select("rid", F.col("shingles").alias("sa"))
-    right = own.select(F.col("rid").alias("head"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "rid").join(right, "head").select(F.least("rid", "head").alias("a"), F.greatest("rid", "head").alias("b"), "sa", "sb")
+    right = own.select(F.col("rid").alias("head"), F.col("shingles").alias("sb")).join(hot, "head", "left").withColumn("part", _copies(F.coalesce("parts", F.lit(1)))).drop("parts")
+    dealt = pairs.join(hot, "head", "left").withColumn("part", _part(F.coalesce("parts", F.lit(1)))).drop("parts")
+    joined = dealt.join(left, "rid").join(right, ["head", "part"]).select(F.least("rid", "head").alias("a"), F.greatest("rid", "head").alias("b"), "sa", "sb")
     return stage(joined.mapInArrow(_verified, "a long, b long").distinct(), "op10-links")
 
 
@@ -346,12 +344,17 @@ def _meet_heads(members: DataFrame, table: DataFrame, labels: DataFrame) -> tupl
 
 
 def _meet_others(members: DataFrame) -> DataFrame:
-    """Pairs of ``members(bucket, rid, n, at, label)`` in different components that the bounds admit."""
-    largest = members.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("largest"))
+    """Pairs of ``members(bucket, rid, n, at, label)`` in different components that the bounds admit.
+
+    A bucket of more than ``DEALT`` members is dealt over as many tasks as it fills,
+    each with all of its members outside the largest component.
+    """
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("largest"), F.ceil(F.sum("size") / DEALT).cast("int").alias("parts"))
     told = stage(_salted(members, largest, ["bucket"], "inner"), "op10-told")
-    few = told.filter("label <> largest").select(F.col("bucket").alias("shared"), F.col("rid").alias("head"), F.col("n").alias("head_n"), F.col("at").alias("head_at"), F.col("label").alias("head_label"))
+    few = told.filter("label <> largest").select("bucket", _copies(F.col("parts")).alias("part"), F.col("rid").alias("head"), F.col("n").alias("head_n"), F.col("at").alias("head_at"), F.col("label").alias("head_label"))
     once = (F.col("label") == F.col("largest")) | (F.col("rid") < F.col("head"))
-    met = told.join(few, (F.col("bucket") == F.col("shared")) & (F.col("label") != F.col("head_label")) & once & _admitted("n", "at", "head_n", "head_at"))
+    met = told.withColumn("part", _part(F.col("parts"))).join(few, ["bucket", "part"]).filter((F.col("label") != F.col("head_label")) & once & _admitted("n", "at", "head_n", "head_at"))
     return met.select("head", "rid")
 
 

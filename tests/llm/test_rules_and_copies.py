@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -206,8 +207,10 @@ def test_banded_alignment_equals_plain_dynamic_programming():
         assert near_duplicates.similar(a, b) == (best[-1] >= 0.8 * (len(a) + len(b) - best[-1]) - 1e-9)
 
 
-def test_hot_bucket_is_parted(spark):
-    """Many unlike texts with one long common passage stay apart, near copies among them are found."""
+@pytest.mark.parametrize("dealt", [near_duplicates.DEALT, 7])
+def test_hot_bucket_is_parted(spark, monkeypatch, dealt):
+    """Many unlike texts with one long common passage stay apart, near copies among them are found, however many tasks a bucket or head is dealt over."""
+    monkeypatch.setattr(near_duplicates, "DEALT", dealt)
     rng = random.Random(4)
     passage = _text(rng, 150)
     rows = [(k, passage + " " + _text(rng, 60)) for k in range(150)]
@@ -220,6 +223,41 @@ def test_hot_bucket_is_parted(spark):
     assert {tuple(sorted(g)) for g in groups.values()} == expected
 
 
+def test_pairs_of_a_hot_bucket_are_all_met_once(spark, monkeypatch):
+    """Members outside the largest component of a bucket meet all others of it that the bounds admit, in one task or in many."""
+    rng = random.Random(21)
+    rows = [(b, rid, rng.randrange(40, 60), rng.randrange(0, 12), rng.randrange(9)) for b in (1, 2, 3) for rid in range(90 if b == 1 else 6)]
+    members = spark.createDataFrame(rows, "bucket long, rid long, n long, at int, label long").repartition(5)
+    expected = Counter()
+    for b in (1, 2, 3):
+        own = [r for r in rows if r[0] == b]
+        sizes = Counter(r[4] for r in own)
+        largest = max(sizes, key=lambda x: (sizes[x], x))
+        for r in own:
+            for h in own:
+                apart = h[4] != largest and r[4] != h[4] and (r[4] == largest or r[1] < h[1])
+                if apart and min(r[2] - r[3], h[2] - h[3]) >= math.ceil(0.8 / 1.8 * (r[2] + h[2]) - 1e-9):
+                    expected[h[1], r[1]] += 1
+    assert sum(expected.values()) > 400  # enough pairs for the test to mean something
+    for dealt in (near_duplicates.DEALT, 11, 1):
+        monkeypatch.setattr(near_duplicates, "DEALT", dealt)
+        assert Counter((r["head"], r["rid"]) for r in near_duplicates._meet_others(members).collect()) == expected
+
+
+def test_pairs_of_a_hot_head_are_all_verified(spark, monkeypatch):
+    rng = random.Random(22)
+    head = [rng.randrange(1 << 20) for _ in range(50)]
+    rows = [(0, head)] + [(k, head[: 50 - k % 15] + [rng.randrange(1 << 20) for _ in range(k % 15)]) for k in range(1, 80)]
+    table = spark.createDataFrame(rows, "rid long, shingles array<int>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 80)] + [(5, 6), (0, 3)], "head long, rid long")
+    sequences = {k: np.array(v, dtype=np.int32) for k, v in rows}
+    expected = {(min(h, r), max(h, r)) for h, r in pairs.collect() if near_duplicates.similar(sequences[h], sequences[r])}
+    assert 20 < len(expected) < 79
+    for dealt in (near_duplicates.DEALT, 9, 1):
+        monkeypatch.setattr(near_duplicates, "DEALT", dealt)
+        assert sorted(map(tuple, near_duplicates._linked(pairs, table).collect())) == sorted(expected)
+
+
 def test_dealing_crowded_buckets_again_loses_no_pair():
     """2,000 pairs at 0.80 to 0.83 share a bucket after dealing again, and unlike texts with a common passage do not."""
     rng = np.random.default_rng(8)
