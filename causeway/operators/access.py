@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.contracts import total_join
+
 POLICIES = ("supported_overlap", "retained_overlap", "supported_plus_within_tile_unknown", "supported_plus_all_unknown")
 BRIDGE_RULES = ("bridge_exempt", "bridge_candidate")
 LEAST_WATER_M = 15.0
@@ -70,16 +72,22 @@ def access_rows(origins: DataFrame, keys: DataFrame, baseline: DataFrame, solved
 
 
 def summarise(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of origins and the mean and greatest paired increase."""
+    """Counts of origins and the mean and greatest paired increase.
+
+    Closing roads cannot make a path cheaper: an increase below -1e-7 s raises, so
+    ``improved`` is 0 wherever there is a result.
+    """
     delta = F.col("cost_delta_seconds")
+    improved = F.count_if(delta < -1e-7)
+    checked = lambda value: F.when(improved > 0, F.raise_error(F.concat(improved.cast("string"), F.lit(" origins have a negative increase")))).otherwise(value)
     return rows.groupBy(*keys).agg(
         F.count("*").alias("origins"),
         F.count_if("baseline_unreachable").alias("baseline_unreachable"),
         F.count_if("newly_disconnected").alias("newly_disconnected"),
         F.count(delta).alias("paired_reachable"),
-        F.avg(delta).alias("mean_increase_seconds"),
-        F.max(delta).alias("greatest_increase_seconds"),
-        F.count_if(delta < -1e-7).alias("improved"),
+        checked(F.avg(delta)).alias("mean_increase_seconds"),
+        checked(F.max(delta)).alias("greatest_increase_seconds"),
+        checked(improved).alias("improved"),
     )
 
 
@@ -105,6 +113,25 @@ def stability(rows: DataFrame) -> DataFrame:
     )
 
 
+def first_disconnected(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Least origin that each key newly disconnects, NULL where it disconnects none."""
+    return rows.groupBy(*keys).agg(F.min(F.when(F.col("newly_disconnected"), F.col("origin_id"))).alias("origin_id"))
+
+
+def origin_overview(origins: DataFrame, nodes: DataFrame, baseline: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row per origin: place, baseline cost and its range over all keys.
+
+    ``origins(origin_id, node)``; ``nodes(node_id, x_m, y_m)``;
+    ``baseline(node, cost_seconds)`` lacks nodes that reach nothing, which is NULL;
+    ``stability`` as from ``stability``.  An origin without a node or without
+    stability raises, and so do repeated ones.
+    """
+    placed = total_join(origins, nodes.select(F.col("node_id").alias("node"), "x_m", "y_m"), ["node"], "node of an origin")
+    ranged = total_join(placed, stability, ["origin_id"], "stability of an origin")
+    cost = baseline.select("node", F.col("cost_seconds").alias("baseline_cost_seconds"))
+    return ranged.join(cost, "node", "left")
+
+
 def length_contract(evidence: DataFrame, *, tolerance: float = 1e-5) -> DataFrame:
     """Segments whose evidence lengths do not nest: water, retained <= supported <= within <= length."""
     broken = (

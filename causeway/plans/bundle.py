@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.contracts import require_empty
@@ -32,12 +32,17 @@ def load(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{table}")
 
 
+def road_states(roads: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Roads with their evidence and ``state``, whether the image saw them."""
+    seen = evidence.withColumn("seen", F.lit(True)).drop("length_m")
+    state = F.when(F.col("seen"), "within_image").otherwise("outside_image_unknown")
+    return roads.join(seen, "segment_id", "left").withColumn("state", state).drop("seen")
+
+
 def road(spark: SparkSession, path: str, segment_id: str) -> DataFrame:
     """One road with its evidence, and whether the image saw it; no row when unknown."""
     one = load(spark, path, "roads").filter(F.col("segment_id") == segment_id)
-    seen = load(spark, path, "evidence").withColumn("seen", F.lit(True)).drop("length_m")
-    state = F.when(F.col("seen"), "within_image").otherwise("outside_image_unknown")
-    return one.join(seen, "segment_id", "left").withColumn("state", state).drop("seen")
+    return road_states(one, load(spark, path, "evidence").filter(F.col("segment_id") == segment_id))
 
 
 def place_roads(segments: DataFrame, path: str, *, rows_per_file: int = 1_000_000) -> None:
@@ -70,8 +75,13 @@ def options(spark: SparkSession, path: str, *, scenario_id: str | None = None, p
     return rows
 
 
+def document(names: list[str]) -> Column:
+    """A JSON document of the named columns, NULL ones included."""
+    return F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("document")
+
+
 def export(spark: SparkSession, path: str, scenario_id: str, policy: str, bridge_rule: str) -> DataFrame:
     """One document with a selection and its counts."""
-    own = scenario(spark, path, scenario_id, policy, bridge_rule)
-    counts = own.agg(F.count("*").alias("closed"))
-    return counts.select(F.to_json(F.struct(F.lit(scenario_id).alias("scenario_id"), F.lit(policy).alias("policy"), F.lit(bridge_rule).alias("bridge_rule"), "closed")).alias("document"))
+    chosen = {"scenario_id": scenario_id, "policy": policy, "bridge_rule": bridge_rule}
+    counts = scenario(spark, path, scenario_id, policy, bridge_rule).agg(F.count("*").alias("closed"))
+    return counts.withColumns({k: F.lit(v) for k, v in chosen.items()}).select(document([*chosen, "closed"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LADDER = (
@@ -53,6 +53,12 @@ def latest_valid(runs: DataFrame) -> DataFrame:
     return good.groupBy("milestone").agg(F.max_by("run_id", F.struct("completed_at", "run_id")).alias("run_id"))
 
 
+def latest_complete(runs: DataFrame, valid: Column) -> DataFrame:
+    """Latest completed run of each milestone, and whether it is valid; a condition that is NULL is not met."""
+    last = runs.filter("status = 'complete'").withColumn("valid", F.coalesce(valid, F.lit(False)))
+    return last.groupBy("milestone").agg(F.max(F.struct("completed_at", "run_id", "valid")).alias("r")).select("milestone", "r.run_id", "r.valid")
+
+
 def ladder(valid: DataFrame) -> str:
     """The highest milestone up to which every one has a valid run."""
     held = {r["milestone"] for r in valid.select("milestone").distinct().limit(len(LADDER) + 1).collect()}

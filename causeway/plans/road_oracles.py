@@ -111,6 +111,8 @@ ORACLES: dict[str, str] = {
     "ranking_reversals": _W + _access() + """, pr AS (SELECT a.scenario_key, (a.base < b.base) <> (a.cost < b.cost) AS flipped FROM ar a JOIN ar b ON a.scenario_key = b.scenario_key AND a.origin_id < b.origin_id WHERE a.delta IS NOT NULL AND b.delta IS NOT NULL
         AND abs(a.base - b.base) > 1e-9 * greatest(abs(a.base), abs(b.base)) AND abs(a.cost - b.cost) > 1e-9 * greatest(abs(a.cost), abs(b.cost))) SELECT scenario_key, count(*) AS comparable_pairs, count(*) FILTER (flipped) AS reversed_pairs, round(count(*) FILTER (flipped) / count(*)::DOUBLE, 6) AS reversal_fraction FROM pr GROUP BY 1""",
     "access_stability": _W + _access() + "SELECT origin_id, count(*) AS members, count(cost) AS reachable_members, round(min(cost), 6) AS least_cost_seconds, round(max(cost), 6) AS greatest_cost_seconds, count(*) FILTER (base IS NOT NULL AND cost IS NULL) AS newly_disconnected FROM ar GROUP BY 1",
+    "first_disconnected": _W + _access() + "SELECT scenario_key, min(origin_id) FILTER (base IS NOT NULL AND cost IS NULL) AS origin_id FROM ar GROUP BY 1",
+    "origin_overview": _W + _access() + "SELECT ar.origin_id, x_m, y_m, round(max(base), 6) AS baseline_cost_seconds, count(cost) AS reachable_members, round(max(cost), 6) AS greatest_cost_seconds FROM ar JOIN origin_v o ON o.origin_id = ar.origin_id JOIN node_v ON node_id = o.node GROUP BY 1, 2, 3",
     "origin_table_sorted": _W + _access() + "SELECT origin_id, round(cost, 6) AS estimated_cost_seconds, row_number() OVER (ORDER BY cost NULLS LAST, origin_id) AS place FROM ar WHERE scenario_key = 'wet_05|supported_overlap|bridge_exempt'",
     "scenario_lookup": _W + _closed() + "SELECT segment_id, reason FROM cl WHERE scenario_key = 'wet_05|retained_overlap|bridge_candidate'",
     "road_lookup": _W + _closed() + "SELECT sg.segment_id, highway, CASE WHEN seen THEN 'within_image' ELSE 'outside_image_unknown' END AS state, CASE WHEN seen THEN round(sg.length_m, 6) END AS supported_m, CASE WHEN seen THEN round(retained, 6) END AS retained_m FROM sg JOIN ev ON sg.segment_id = ev.segment_id",

@@ -143,6 +143,17 @@ def access_stability(spark, sf_dir):
     return access.stability(rows).select("origin_id", "members", "reachable_members", _r("least_cost_seconds"), _r("greatest_cost_seconds"), "newly_disconnected")
 
 
+def first_disconnected(spark, sf_dir):
+    return access.first_disconnected(_solved(spark, sf_dir)["rows"], ["scenario_key"])
+
+
+def origin_overview(spark, sf_dir):
+    found = _solved(spark, sf_dir)
+    ranges = stage(access.stability(found["rows"]), "stability")
+    out = access.origin_overview(view(spark, sf_dir, "origin_v"), view(spark, sf_dir, "node_v"), found["solved"].filter("scenario_key = 'baseline'"), ranges)
+    return out.select("origin_id", "x_m", "y_m", _r("baseline_cost_seconds"), "reachable_members", _r("greatest_cost_seconds"))
+
+
 def origin_table_sorted(spark, sf_dir):
     rows = _solved(spark, sf_dir)["rows"].filter("scenario_key = 'wet_05|supported_overlap|bridge_exempt'")
     out = order.placed(rows.select("origin_id", "estimated_cost_seconds"), F.col("estimated_cost_seconds").asc_nulls_last(), F.col("origin_id").asc())
@@ -161,15 +172,14 @@ def scenario_lookup(spark, sf_dir):
 def road_lookup(spark, sf_dir):
     segments = stage(_segments(spark, sf_dir), "segments")
     seen, _ = evidence(spark, sf_dir, segments)
-    joined = segments.select("segment_id", "highway").join(seen.select("segment_id", "supported_m", "retained_m"), "segment_id", "left")
-    state = F.when(F.col("supported_m").isNull(), "outside_image_unknown").otherwise("within_image")
-    return joined.select("segment_id", "highway", state.alias("state"), _r("supported_m"), _r("retained_m"))
+    states = bundle.road_states(segments.select("segment_id", "highway"), seen)
+    return states.select("segment_id", "highway", "state", _r("supported_m"), _r("retained_m"))
 
 
 def export_row(spark, sf_dir):
     closed = closure_ids(spark, sf_dir)
-    counts = closed.groupBy("scenario_key").agg(F.count("*").alias("n"))
-    return counts.select("scenario_key", F.to_json(F.struct(F.col("scenario_key").alias("key"), F.col("n").alias("closed"))).alias("document"))
+    counts = closed.groupBy("scenario_key").agg(F.count("*").alias("closed")).withColumn("key", F.col("scenario_key"))
+    return counts.select("scenario_key", bundle.document(["key", "closed"]))
 
 
 def bundle_integrity(spark, sf_dir):
@@ -264,9 +274,7 @@ def latest_run(spark, sf_dir):
 
 
 def status_ladder(spark, sf_dir):
-    runs = view(spark, sf_dir, "run_v").filter("status = 'complete'")
-    latest = runs.groupBy("milestone").agg(F.max(F.struct("completed_at", "run_id", "hash_ok", "reference")).alias("r")).select("milestone", F.col("r.run_id").alias("run_id"), F.col("r.hash_ok").alias("hash_ok"), F.col("r.reference").alias("reference"))
-    return latest.select("milestone", "run_id", (F.col("hash_ok") & (F.col("reference") < 4)).alias("valid"))
+    return lineage.latest_complete(view(spark, sf_dir, "run_v"), F.col("hash_ok") & (F.col("reference") < 4))
 
 
 def manifest_files(spark, sf_dir):
@@ -287,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         road_class_filter, road_speed, travel_direction, layer_parse, way_segments, directed_edges, edge_costs, graph_quality, weak_components, nearest_facility, path_audit, closure_ids,
-        closure_reasons, policy_grid, batched_scenario_cost, access_rows, access_summary_by_policy, ranking_reversals, access_stability, origin_table_sorted, scenario_lookup, road_lookup,
+        closure_reasons, policy_grid, batched_scenario_cost, access_rows, access_summary_by_policy, ranking_reversals, access_stability, first_disconnected, origin_overview, origin_table_sorted, scenario_lookup, road_lookup,
         export_row, bundle_integrity, snap_points, hospital_radius, segment_clip, line_samples, road_evidence, length_contract, crossing_audit, crossing_examples, polygon_cover,
         utm_projection, latest_run, status_ladder, manifest_files, json_tags,
     )

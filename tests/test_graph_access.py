@@ -105,6 +105,27 @@ def test_paired_access(spark, case):
     assert all(r["improved"] == 0 for r in summary.values())
 
 
+def test_cheaper_closures_and_incomplete_origins_raise(spark):
+    rows = spark.createDataFrame(
+        [("k", "o2", 5.0, 1.0, False), ("k", "o1", None, None, True), ("k", "o3", None, None, True), ("n", "o1", 6.0, 2.0, False)],
+        "scenario_key string, origin_id string, estimated_cost_seconds double, cost_delta_seconds double, newly_disconnected boolean",
+    ).withColumn("baseline_unreachable", F.lit(False))
+    assert {tuple(r) for r in access.first_disconnected(rows, ["scenario_key"]).collect()} == {("k", "o1"), ("n", None)}
+    assert access.summarise(rows, ["scenario_key"]).filter("scenario_key = 'k'").first()["mean_increase_seconds"] == 1.0
+    lower = rows.withColumn("cost_delta_seconds", F.col("cost_delta_seconds") - 1.5)
+    with pytest.raises(Exception, match="1 origins have a negative increase"):
+        access.summarise(lower, ["scenario_key"]).collect()
+    origins = spark.createDataFrame([("o1", 1), ("o2", 2)], "origin_id string, node long")
+    nodes = spark.createDataFrame([(1, 0.0, 1.0), (2, 3.0, 4.0), (9, 0.0, 0.0), (9, 0.0, 0.0)], "node_id long, x_m double, y_m double")
+    base = spark.createDataFrame([(2, 4.0)], "node long, cost_seconds double")
+    ranges = access.stability(rows)
+    got = {r["origin_id"]: (r["x_m"], r["baseline_cost_seconds"], r["reachable_members"]) for r in access.origin_overview(origins, nodes, base, ranges).collect()}
+    assert got == {"o1": (0.0, None, 1), "o2": (3.0, 4.0, 1)}
+    for o, n, s in ((origins, nodes.filter("node_id > 1"), ranges), (origins, nodes, ranges.filter("origin_id = 'o1'")), (origins, nodes.union(nodes), ranges)):
+        with pytest.raises(ContractError):
+            access.origin_overview(o, n, base, s)
+
+
 def test_path_walk(spark, case):
     edges, _, _ = case
     goal = spark.createDataFrame([("h", 3)], "facility_id string, node long")

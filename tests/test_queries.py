@@ -13,7 +13,7 @@ from causeway.plans import case_queries, pixel_queries, place_queries, replay_qu
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that solve shortest paths under all assumptions take long; one of them stands for all here.
-SLOW = {"batched_scenario_cost", "access_rows", "ranking_reversals", "access_stability", "origin_table_sorted", "path_audit", "graph_quality", "boundary_audit"}
+SLOW = {"batched_scenario_cost", "access_rows", "ranking_reversals", "access_stability", "first_disconnected", "origin_overview", "origin_table_sorted", "path_audit", "graph_quality", "boundary_audit"}
 NAMES = [n for n in [*pixel_queries.QUERIES, *road_queries.QUERIES, *case_queries.QUERIES, *shape_queries.QUERIES, *replay_queries.QUERIES, *place_queries.QUERIES] if n in entry_module.oracle_sql() and n not in SLOW]
 
 
