@@ -13,6 +13,7 @@ Cases
 * a definition with a normalizer, another splitter or special flags raises ``ValueError``;
 * decoding unknown ids is an error; bytes that are no UTF-8 decode to U+FFFD;
 * repeated rows and null ids are encoded like others;
+* workers forget pieces at the end of a task, so idle ones hold the vocabulary's tables only;
 * extra columns are carried through.
 """
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that the memo of pieces and that of token pairs may hold in a Python worker.
 MEMO = 400_000
+#: Code points of the longest piece that is remembered, so that entries bound the memo's memory as well.
+LONG = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,7 +55,7 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.coder.encode_piece(piece.encode()), dtype="<i4").tobytes()
-        if len(self) < MEMO:
+        if len(self) < MEMO and len(piece) <= LONG:
             self[piece] = ids
         return ids
 
@@ -206,6 +209,16 @@ class Coder:
                 parts += map(self.pieces.__getitem__, self.find(part))
         return b"".join(parts)
 
+    def forget(self) -> None:
+        """Drop all memos; the vocabulary's own tables stay.
+
+        An executor keeps idle Python workers and deals tasks to them in turn, so
+        what a worker remembers between tasks is held once for each of them.
+        """
+        for memo in (self.pieces, self.beside, self.whole, self.right, self.left):
+            memo.clear()
+        pa.default_memory_pool().release_unused()
+
 
 _READY: dict[tuple[type, int], Coder | Alphabet] = {}
 
@@ -246,20 +259,23 @@ def encode(docs: DataFrame, definition: str, *, text: str = "text", ids: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _ready(shared, Coder)
-        for batch in batches:
-            # A few texts at a time bound the memory, however long they are.
-            column, first = batch.column(1), 0
-            while first < batch.num_rows:
-                parts, total, stop = [], 0, first
-                while stop < batch.num_rows and total < 8_000_000:
-                    parts.append(coder.encode(column[stop].as_py()))
-                    total += len(parts[-1])
-                    stop += 1
-                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
-                flat = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:stop], lists], names=["row", "ids"])
-                first = stop
+        try:
+            for batch in batches:
+                # A few texts at a time bound the memory, however long they are.
+                column, first = batch.column(1), 0
+                while first < batch.num_rows:
+                    parts, total, stop = [], 0, first
+                    while stop < batch.num_rows and total < 8_000_000:
+                        parts.append(coder.encode(column[stop].as_py()))
+                        total += len(parts[-1])
+                        stop += 1
+                    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
+                    flat = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[first:stop], lists], names=["row", "ids"])
+                    first = stop
+        finally:
+            coder.forget()
 
     kind = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {kind}, ids array<int>")
@@ -305,14 +321,17 @@ def round_trip(docs: DataFrame, definition: str, *, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, alphabet = _ready(shared, Coder), _ready(shared, Alphabet)
-        for batch in batches:
-            counts, ids_sums, text_sums = [], [], []
-            for body in batch.column(1):
-                ids = np.frombuffer(coder.encode(body.as_py()), dtype="<i4")
-                decoded = alphabet.decode_bytes(ids).tobytes().decode("utf-8", "replace")
-                counts.append(len(ids))
-                ids_sums.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
-                text_sums.append(sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sums, pa.string()), pa.array(text_sums, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                counts, ids_sums, text_sums = [], [], []
+                for body in batch.column(1):
+                    ids = np.frombuffer(coder.encode(body.as_py()), dtype="<i4")
+                    decoded = alphabet.decode_bytes(ids).tobytes().decode("utf-8", "replace")
+                    counts.append(len(ids))
+                    ids_sums.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                    text_sums.append(sha256(decoded.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sums, pa.string()), pa.array(text_sums, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            coder.forget()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

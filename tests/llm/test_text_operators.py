@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,34 @@ def test_encoding_equals_the_library(spark, definition):
     assert bpe.round_trip(df.limit(0), definition).count() == 0
 
 
+@pytest.mark.parametrize("way", ["round_trip", "encode"])
+def test_idle_workers_hold_no_memo(spark, definition, way):
+    """Tasks go to the idle workers in turn: a memo left in each of them adds up in an executor."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abetionsrh", k=9)) for _ in range(50))) for i in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert len(getattr(bpe, way)(df, definition).collect()) == 64
+
+    def held(batches):
+        for batch in batches:
+            coders = [c for (kind, _), c in bpe._READY.items() if kind is bpe.Coder]
+            n = sum(len(m) for c in coders for m in (c.pieces, c.beside, c.whole, c.right, c.left))
+            yield pa.RecordBatch.from_pydict({"coders": [len(coders)] * batch.num_rows, "n": [n] * batch.num_rows})
+
+    seen = spark.range(0, 32, numPartitions=32).mapInArrow(held, "coders long, n long").collect()
+    assert sum(r["coders"] for r in seen) > 0
+    assert sum(r["n"] for r in seen) == 0
+
+
+def test_long_pieces_are_not_remembered(definition):
+    coder = bpe.Coder(bpe.checked(definition))
+    text = "ab" * 5000 + " short"
+    ids = coder.encode(text)
+    assert list(coder.pieces) == [" short"]
+    coder.forget()
+    assert not coder.pieces and coder.encode(text) == ids
+
+
 def test_unsupported_definitions_raise(definition):
     import json
 
