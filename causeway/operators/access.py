@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.contracts import total_join
@@ -34,20 +34,57 @@ def closures(segments: DataFrame, evidence: DataFrame, water: DataFrame, grid: D
     ``evidence(segment_id, within_tile_m, retained_m)``, no row meaning unknown;
     ``water(segment_id, scenario_id, supported_water_m, retained_water_m)``.
     """
-    known = segments.join(evidence.select("segment_id", "within_tile_m", "retained_m", F.lit(True).alias("seen")), "segment_id", "left")
-    crossed = known.crossJoin(F.broadcast(grid)).join(water, ["segment_id", "scenario_id"], "left")
-    retained = F.col("policy") == "retained_overlap"
-    observed = F.coalesce(F.when(retained, F.col("retained_water_m")).otherwise(F.col("supported_water_m")), F.lit(0.0))
-    able = ~F.col("tunnel") & (~F.col("bridge") | (F.col("bridge_rule") == "bridge_candidate"))
+    return judged(known(segments, evidence, water), grid, least_m=least_m)
+
+
+def known(segments: DataFrame, evidence: DataFrame, water: DataFrame) -> DataFrame:
+    """Segments with ``seen``, ``within_tile_m``, ``retained_m`` and ``water``, a map from scenario to metres of water; one row each."""
+    own = evidence.select("segment_id", "within_tile_m", "retained_m", F.lit(True).alias("seen"))
+    wet = F.struct("scenario_id", F.struct(F.col("supported_water_m").alias("supported_m"), F.col("retained_water_m").alias("retained_m")).alias("m"))
+    held = water.groupBy("segment_id").agg(F.map_from_entries(F.collect_list(wet)).alias("water"))
+    return segments.join(own, "segment_id", "left").join(held, "segment_id", "left")
+
+
+def _reason(retained: Column, tile: Column, anything: Column, bridges: Column, observed: Column, least_m: float) -> Column:
+    """First reason that removes a row of ``known``, by what its policy looks at."""
     seen = F.coalesce("seen", F.lit(False))
-    within = (F.col("policy") == "supported_plus_within_tile_unknown") & seen & (F.col("within_tile_m") > 0) & (F.col("retained_m") < F.col("within_tile_m") - 1e-6)
-    anywhere = (F.col("policy") == "supported_plus_all_unknown") & (~seen | (F.col("retained_m") < F.col("length_m") - 1e-6))
-    reason = (
-        F.when((observed >= least_m) & able, F.when(retained, "retained_overlap").otherwise("supported_overlap"))
+    able = ~F.col("tunnel") & (~F.col("bridge") | bridges)
+    within = tile & seen & (F.col("within_tile_m") > 0) & (F.col("retained_m") < F.col("within_tile_m") - 1e-6)
+    anywhere = anything & (~seen | (F.col("retained_m") < F.col("length_m") - 1e-6))
+    return (
+        F.when((F.coalesce(observed, F.lit(0.0)) >= least_m) & able, F.when(retained, "retained_overlap").otherwise("supported_overlap"))
         .when(F.coalesce(within, F.lit(False)), "within_tile_unknown")
         .when(F.coalesce(anywhere, F.lit(False)), "outside_or_partial_unknown")
     )
-    return crossed.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("scenario_key", "scenario_id", "policy", "bridge_rule", "segment_id", "reason")
+
+
+def judged(known: DataFrame, grid: DataFrame, *, least_m: float = LEAST_WATER_M) -> DataFrame:
+    """``closures`` of rows as from ``known``; each key looks at each row, and nothing is dealt anew."""
+    policy, wet = F.col("policy"), F.try_element_at("water", F.col("scenario_id"))
+    observed = F.when(policy == "retained_overlap", wet["retained_m"]).otherwise(wet["supported_m"])
+    reason = _reason(policy == "retained_overlap", policy == "supported_plus_within_tile_unknown", policy == "supported_plus_all_unknown", F.col("bridge_rule") == "bridge_candidate", observed, least_m)
+    crossed = known.crossJoin(F.broadcast(grid)).withColumn("reason", reason)
+    return crossed.filter(F.col("reason").isNotNull()).select("scenario_key", "scenario_id", "policy", "bridge_rule", "segment_id", "reason")
+
+
+def shut_words(known: DataFrame, grid: DataFrame, names: list[str], *, least_m: float = LEAST_WATER_M) -> DataFrame:
+    """``known`` with ``shut``: bit ``k % 63`` of word ``k // 63`` is set if key ``names[k]`` of the small table ``grid`` removes the row."""
+    rows = {r["scenario_key"]: r for r in grid.collect()}
+    scenarios = sorted({r["scenario_id"] for r in rows.values()})
+    wide = known.withColumns({f"wet_{n}": F.try_element_at("water", F.lit(s)) for n, s in enumerate(scenarios)})
+    words = []
+    for start in range(0, len(names), 63):
+        word = F.lit(0).cast("bigint")
+        for k, name in enumerate(names[start : start + 63]):
+            if name in rows:
+                r = rows[name]
+                wet = F.col(f"wet_{scenarios.index(r['scenario_id'])}")
+                retained = r["policy"] == "retained_overlap"
+                is_policy = lambda p: F.lit(r["policy"] == p)  # noqa: B023, E731
+                reason = _reason(F.lit(retained), is_policy("supported_plus_within_tile_unknown"), is_policy("supported_plus_all_unknown"), F.lit(r["bridge_rule"] == "bridge_candidate"), wet["retained_m" if retained else "supported_m"], least_m)
+                word = word + F.when(reason.isNotNull(), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        words.append(word)
+    return wide.withColumn("shut", F.array(*words)).drop(*[f"wet_{n}" for n in range(len(scenarios))])
 
 
 def access_rows(origins: DataFrame, keys: DataFrame, baseline: DataFrame, solved: DataFrame) -> DataFrame:

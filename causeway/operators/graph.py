@@ -81,12 +81,25 @@ def counted_segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, floa
 def segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roads.SPEEDS_KMH, *, look: Callable[..., DataFrame] = _unseen) -> DataFrame:
     """Physical segments of accepted ways: ends, length, and travel attributes.
 
-    ``nodes(node_id, x_m, y_m)`` are joined twice; self-loops and near-zero steps
+    ``nodes(node_id, x_m, y_m)`` are joined twice, with rows that hold no tags any more; self-loops and near-zero steps
     are left out.  ``look`` is given the rows before each filter, with what to count.
+    If ways have ``marks``, an array with a struct for each node, the fields of a segment's first node come along.
     """
     judged = look(judged_ways(ways, defaults), "judged", ways=F.count("*"), rejected_ways=F.count_if(F.col("reject_reason").isNotNull()))
     stepped = look(steps(judged.filter(F.col("reject_reason").isNull())), "stepped", steps=F.count("*"), self_loops=F.count_if(F.col("a") == F.col("b")))
-    kept = stepped.filter(F.col("a") != F.col("b"))
+    marks = [F.get("marks", "idx")[f.name].alias(f.name) for f in ways.schema["marks"].dataType.elementType.fields] if "marks" in ways.columns else []
+    own = [
+        F.try_element_at("tags", F.lit("highway")).alias("highway"),
+        F.col("way_direction.direction").alias("direction"),
+        F.col("way_direction.source").alias("direction_source"),
+        F.col("way_speed.kmh").alias("speed_kmh"),
+        F.col("way_speed.source").alias("speed_source"),
+        "bridge",
+        "tunnel",
+        "layer",
+        *marks,
+    ]
+    kept = stepped.filter(F.col("a") != F.col("b")).select("way_id", F.col("idx").cast("bigint").alias("idx"), "a", "b", *own)
     na = nodes.select(F.col("node_id").alias("a"), F.col("x_m").alias("ax"), F.col("y_m").alias("ay"))
     nb = nodes.select(F.col("node_id").alias("b"), F.col("x_m").alias("bx"), F.col("y_m").alias("by_"))
     placed = kept.join(na, "a").join(nb, "b").withColumn("length_m", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_")))
@@ -94,7 +107,7 @@ def segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roa
     return placed.filter(F.col("length_m") >= NEAR_ZERO_M).select(
         F.concat(F.lit("osm:"), F.col("way_id"), F.lit(":"), F.col("idx")).alias("segment_id"),
         "way_id",
-        F.col("idx").cast("bigint").alias("idx"),
+        "idx",
         "a",
         "b",
         "ax",
@@ -102,15 +115,16 @@ def segments(ways: DataFrame, nodes: DataFrame, defaults: dict[str, float] = roa
         "bx",
         "by_",
         "length_m",
-        F.try_element_at("tags", F.lit("highway")).alias("highway"),
-        F.col("way_direction.direction").alias("direction"),
-        F.col("way_direction.source").alias("direction_source"),
-        F.col("way_speed.kmh").alias("speed_kmh"),
-        F.col("way_speed.source").alias("speed_source"),
-        (F.col("length_m") / F.col("way_speed.kmh") * F.lit(3.6)).alias("cost_seconds"),
+        "highway",
+        "direction",
+        "direction_source",
+        "speed_kmh",
+        "speed_source",
+        (F.col("length_m") / F.col("speed_kmh") * F.lit(3.6)).alias("cost_seconds"),
         "bridge",
         "tunnel",
         "layer",
+        *kept.columns[12:],
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causeway.functions.geometry import covers, distance, to_utm
 from causeway.operators import access, graph, order, spatial
 from causeway.plans import bundle, lineage
-from causeway.plans.bindings import SCENARIOS, evidence, table, view, ways
+from causeway.plans.bindings import SCENARIOS, evidence, known, table, view, ways
 from causeway.staging import new_path, stage
 
 BOX = (200.0, 200.0, 700.0, 650.0)
@@ -22,7 +22,7 @@ def _r(column, name: str | None = None, digits: int = 6):
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.segments(ways(spark, sf_dir), view(spark, sf_dir, "node_v"))
+    return graph.segments(ways(spark, sf_dir, marked=True), view(spark, sf_dir, "node_v"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +98,7 @@ def path_audit(spark, sf_dir):
 
 
 def closure_ids(spark, sf_dir):
-    segments = stage(_segments(spark, sf_dir), "segments")
-    seen, water = evidence(spark, sf_dir, segments)
-    return access.closures(segments, seen, water, access.policy_grid(spark, list(SCENARIOS))).select("scenario_key", "segment_id", "reason")
+    return access.judged(known(_segments(spark, sf_dir)), access.policy_grid(spark, list(SCENARIOS))).select("scenario_key", "segment_id", "reason")
 
 
 def closure_reasons(spark, sf_dir):
@@ -161,10 +159,9 @@ def origin_table_sorted(spark, sf_dir):
 
 
 def scenario_lookup(spark, sf_dir):
-    segments = stage(_segments(spark, sf_dir), "segments")
-    seen, water = evidence(spark, sf_dir, segments)
     path = new_path(spark, "bundle")
-    closed = access.closures(segments, seen, water, access.policy_grid(spark, list(SCENARIOS)))
+    own = stage(known(_segments(spark, sf_dir)).select("segment_id", "length_m", "bridge", "tunnel", "seen", "within_tile_m", "retained_m", "water"), "known", tidy=True)
+    closed = access.judged(own, access.policy_grid(spark, list(SCENARIOS)))
     closed.write.partitionBy("scenario_id", "policy", "bridge_rule").parquet(f"{path}/closures")
     return bundle.scenario(spark, path, "wet_05", "retained_overlap", "bridge_candidate")
 
