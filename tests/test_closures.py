@@ -10,7 +10,7 @@ from causeway.plans import bindings, case_queries, road_queries
 DATA = "/root/testdata/sf0.001"
 QUERIES = {**road_queries.QUERIES, **case_queries.QUERIES}
 #: Queries over all closures.
-OVER_CLOSURES = ["closure_ids", "closure_index_audit", "closure_reasons"]
+OVER_CLOSURES = ["closure_ids", "closure_index_audit", "closure_reasons", "export_row"]
 
 
 def _plan(df) -> list[str]:
