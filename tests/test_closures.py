@@ -24,6 +24,14 @@ def test_crossed_rows_are_not_dealt_by_segment(spark, name):
     assert not any("Exchange hashpartitioning(segment_id" in line for line in plan[:cross])
 
 
+def test_lookup_writes_closures_without_a_shuffle(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(access, "judged", lambda *args, f=access.judged, **kw: plans.append(f(*args, **kw)) or plans[-1])
+    rows = road_queries.scenario_lookup(spark, DATA)
+    assert rows.count() > 0 and len(plans) == 1
+    assert not any("hashpartitioning" in line for line in _plan(plans[0]))
+
+
 @pytest.fixture(scope="module")
 def joined(spark):
     segments = spark.createDataFrame([("a", 100.0, False, False), ("b", 100.0, True, False), ("c", 100.0, False, True), ("d", 9.0, False, False)], "segment_id string, length_m double, bridge boolean, tunnel boolean")
