@@ -11,37 +11,48 @@ from causeway.staging import stage
 
 
 def _nearest(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
-    """Nearest node within ``reach`` of each point: points look into the nine cells around them, cells being as wide as the reach."""
+    """Points with ``b``, the nearest of ``nodes(x_m, y_m, node_id)`` within ``reach``, else NULL.
+
+    Nodes are dealt to the nine cells around them, cells being as wide as the reach, so a point looks into one.
+    """
     cell = lambda c: F.floor(F.col(c) / reach).cast("bigint")
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    spread = points.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("point_id", F.col("x_m").alias("px"), F.col("y_m").alias("py"), (cell("x_m") + F.col("dx")).alias("gx"), (cell("y_m") + F.col("dy")).alias("gy"))
-    placed = nodes.select("node_id", F.col("x_m").alias("nx"), F.col("y_m").alias("ny"), cell("x_m").alias("gx"), cell("y_m").alias("gy"))
-    met = spread.join(placed, ["gx", "gy"]).withColumn("d", distance(F.col("px"), F.col("py"), F.col("nx"), F.col("ny"))).filter(F.col("d") <= reach)
-    return met.groupBy("point_id").agg(F.min(F.struct("d", "node_id")).alias("b"))
+    spread = nodes.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("node_id", F.col("x_m").alias("nx"), F.col("y_m").alias("ny"), (cell("x_m") + F.col("dx")).alias("gx"), (cell("y_m") + F.col("dy")).alias("gy"))
+    placed = points.withColumns({"gx": cell("x_m"), "gy": cell("y_m")})
+    d = distance(F.col("x_m"), F.col("y_m"), F.col("nx"), F.col("ny"))
+    met = placed.join(spread, ["gx", "gy"], "left").withColumn("d", d)
+    best = F.min(F.when(F.col("d") <= reach, F.struct("d", "node_id")))
+    return met.groupBy("gx", "gy", "point_id", "x_m", "y_m").agg(best.alias("b")).select("point_id", "x_m", "y_m", "b")
 
 
 def snap(points: DataFrame, nodes: DataFrame, *, limit_m: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Nearest node of each ``point(point_id, x_m, y_m)``, the least id on ties, and whether it counts.
 
     A point outside ``box`` or farther than ``limit_m`` from every node keeps its
-    distance but no node.  Points that found none look twice as far in the next
-    pass, so a pass meets few nodes per point, and the reach is bounded by the box of both
+    distance but no node.  Of nodes in one place the least id stands for all.  The first
+    pass looks as far as a node is to be expected, at most ``limit_m``; points that found none look twice as far in the next
+    pass, so a pass meets few nodes per point, however dense they are, and the reach is bounded by the box of both
     sides.  No node at all raises, and so does a position that is not a finite number,
     of a point or a node.
     """
     if limit_m <= 0 or nodes.isEmpty():
         raise ValueError("snapping needs a limit above zero and nodes")
-    points = stage(points.select("point_id", "x_m", "y_m"), "snap-points")
     finite = (F.abs(F.col("x_m")) < float("inf")) & (F.abs(F.col("y_m")) < float("inf"))  # false for NaN, which is above all
     require(points, {"points have finite positions": finite})
     require(nodes, {"nodes have finite positions": finite})
-    ends = points.select("x_m", "y_m").union(nodes.select("x_m", "y_m")).agg(*[f(c) for c in ("x_m", "y_m") for f in (F.min, F.max)]).first()
-    widest = 2 * (abs(ends[1] - ends[0]) + abs(ends[3] - ends[2])) + limit_m if ends[0] is not None else limit_m
-    found, left, reach = None, points, limit_m
+    places = stage(nodes.groupBy("x_m", "y_m").agg(F.min("node_id").alias("node_id")), "snap-places", tidy=True)
+    bounds = [f(c) for c in ("x_m", "y_m") for f in (F.min, F.max)]
+    own = places.agg(*bounds, F.count("*")).first()
+    ends = points.select("x_m", "y_m").union(places.select("x_m", "y_m")).agg(*bounds).first()
+    widest = 2 * (abs(ends[1] - ends[0]) + abs(ends[3] - ends[2])) + limit_m
+    area = (own[1] - own[0]) * (own[3] - own[2])
+    reach = min(limit_m, max((area / own[4]) ** 0.5, limit_m / 1024)) if area > 0 else limit_m
+    found, left = None, points.select("point_id", "x_m", "y_m")
     while True:
-        here = stage(_nearest(left, nodes, reach), "snap-found")
-        found = here if found is None else found.unionByName(here)
-        left = stage(left.join(here, "point_id", "left_anti"), "snap-left")
+        here = stage(_nearest(left, places, reach), "snap-found", tidy=True)
+        got = here.filter("b IS NOT NULL")
+        found = got if found is None else found.unionByName(got)
+        left = here.filter("b IS NULL").drop("b")
         if left.isEmpty():
             break
         if reach > widest:  # not reached: within the box of both sides each point has a node
@@ -52,7 +63,7 @@ def snap(points: DataFrame, nodes: DataFrame, *, limit_m: float, box: tuple[floa
     inside = (x >= low_x) & (x <= high_x) & (y >= low_y) & (y <= high_y)
     state = F.when(~inside, "outside_study_bbox").when(d <= limit_m, "snapped").otherwise("beyond_snap_limit")
     margin = F.when(inside, F.least(x - low_x, high_x - x, y - low_y, high_y - y)).otherwise(0.0) if box else F.lit(None).cast("double")
-    out = points.join(found, "point_id").withColumn("status", state)
+    out = found.withColumn("status", state)
     return out.select("point_id", "status", F.when(F.col("status") == "snapped", F.col("b.node_id")).alias("nearest_node_id"), d.alias("nearest_distance_m"), margin.alias("boundary_distance_m"))
 
 
